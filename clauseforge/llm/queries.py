@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, pairs, readability, sentences, vectors, visual
+from . import leakage, packing, pairs, readability, sentences, spans, vectors, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +20,24 @@ def _query(fn: Query) -> Query:
     return fn
 
 
+@_query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "contracts"))
+
+
+@_query
+def p1_share(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each contract is shared."""
+    contracts = table(spark, d, "contracts")
+    return spans.shared_share(spans.shared_spans(contracts), contracts)
+
+
+@_query
+def p1_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Collinear chains of each contract with the partners of its seeds."""
+    return spans.shared_passages(table(spark, d, "contracts"))
+
+
 @_query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest_pairs(table(spark, d, "vectors"))
@@ -53,6 +71,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, d, "ask_responses"))
 
 
+@_query
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Container of each text, or of each part of a text that is larger than the container, for every capacity."""
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+@_query
+def p6_utilisation(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and wasted share for every capacity."""
+    return packing.utilisation(p6_packed(spark, d))
+
+
 @_query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
