@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The 33 English stop words of the search index.
 STOPWORDS = (
@@ -94,7 +95,7 @@ def join_hyphenated(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(_col(c), r"(?<=\p{L})-\n(?=\p{Ll})", ""), r"\s*\n\s*", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_inline(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility form, soft hyphens dropped, horizontal space squeezed, trimmed; once per distinct value."""
     for s in batches:
