@@ -27,8 +27,9 @@ from pyspark.sql import Window as W
 
 from ..session import materialise, salted_join
 
-#: Characters of a shared run, of a seed; cost of a character skipped in a chain, in seed characters.
-SPAN, SEED, GAP_COST = 300, 60, 0.02
+#: Characters of a shared run, of a seed (half a run: shorter ones stand in many records that share no run); cost of a
+#: character skipped in a chain, in seed characters.
+SPAN, SEED, GAP_COST = 300, 150, 0.02
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -160,9 +161,11 @@ def _links(records: DataFrame, span: int, k: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows = []
             for dk, t in zip(b["dk"], b["t"]):
                 _, place, _, _, value, context = seeds(t, span, k)
-                yield pd.DataFrame({"h": value.view(np.int64), "c": context.view(np.int64), "dk": dk, "pos": place.astype(np.int32)})
+                rows.append((value.view(np.int64), context.view(np.int64), np.full(len(place), dk, np.int64), place.astype(np.int32)))
+            yield pd.DataFrame({n: np.concatenate([r[i] for r in rows]) if rows else [] for i, n in enumerate(("h", "c", "dk", "pos"))})
 
     s = materialise(records.select("dk", "t").mapInPandas(cut, "h long, c long, dk long, pos int").withColumn("hc", F.xxhash64("h", "c")), "seeds")
     where = F.struct("dk", "pos")
@@ -193,35 +196,38 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "full_text", sp
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows = []
             for dk, t, own in zip(b["dk"], b["t"], b["links"]):
                 h, place, first, last, _, _ = seeds(t, span, k)
                 at = {int(p): i for i, p in enumerate(place)}
                 by_rep: dict[int, list[dict]] = {}
                 for x in own:
                     by_rep.setdefault(x["rep"], []).append(x)
-                sure, ask = [], []
+                sure, ask = [], [np.zeros(0, dtype=np.int64)]
                 for group in by_rep.values():
                     for _, line in chains([(x["pos"], x["rep_pos"]) for x in group], k):
                         for j in line:
                             i, x = at[group[j]["pos"]], group[j]
                             if x["equal"]:
-                                if sure and sure[-1][1] >= first[i] >= sure[-1][0]:
+                                if sure and sure[-1][0] <= first[i] <= sure[-1][1]:
                                     sure[-1] = (sure[-1][0], max(sure[-1][1], int(last[i]) + span))
                                 else:
                                     sure.append((int(first[i]), int(last[i]) + span))
                             if x["ask"]:
                                 ask.append(np.arange(first[i], last[i] + 1))
-                w = np.concatenate(ask) if ask else np.zeros(0, dtype=np.int64)
-                wh = h.of(w, w + span).view(np.int64)
-                yield pd.DataFrame(
-                    {
-                        "wh": pd.array(np.concatenate([wh, np.zeros(len(sure), np.int64)]), dtype="int64"),
-                        "sure": np.concatenate([np.zeros(len(wh), bool), np.ones(len(sure), bool)]),
-                        "dk": dk,
-                        "a": np.concatenate([w, np.array([s for s, _ in sure], dtype=np.int64)]).astype(np.int32),
-                        "b": np.concatenate([w + span, np.array([e for _, e in sure], dtype=np.int64)]).astype(np.int32),
-                    }
+                w = np.concatenate(ask)
+                starts, ends = np.array([s for s, _ in sure], dtype=np.int64), np.array([e for _, e in sure], dtype=np.int64)
+                n = len(w) + len(sure)
+                rows.append(
+                    (
+                        np.concatenate([h.of(w, w + span).view(np.int64), np.zeros(len(sure), np.int64)]),
+                        np.arange(n) >= len(w),
+                        np.full(n, dk, np.int64),
+                        np.concatenate([w, starts]).astype(np.int32),
+                        np.concatenate([w + span, ends]).astype(np.int32),
+                    )
                 )
+            yield pd.DataFrame({n: np.concatenate([r[i] for r in rows]) if rows else [] for i, n in enumerate(("wh", "sure", "dk", "a", "b"))})
 
     found = materialise(_by_record(records, links).mapInPandas(align, "wh long, sure boolean, dk long, a int, b int"), "windows")
     windows = found.filter(~F.col("sure")).select("wh", "dk", "a", "b")
