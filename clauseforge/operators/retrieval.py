@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..functions.udfs import stems
+from ..session import materialise
 
 K1, B, CANDIDATES, FINAL = 1.5, 0.75, 50, 8
 #: Largest query set (rows) that is broadcast; beyond it a join on the term is shuffled.
@@ -208,6 +209,7 @@ def run_pipeline(config: Config, questions: DataFrame, chunks: DataFrame, index:
     """All lists of one setting, each kept: ``config_id, qid, stage, rank, chunk_id, score``; the last stage is ``final``.
 
     ``dense_list`` is the vector stage, computed once for all settings that share it.
+    A stage feeds the next one and the result, so each is written to the shared folder once it is made.
     """
     q = questions.select("qid", "doc_id", "question", "contract_name")
     if not config.raw_query:
@@ -216,15 +218,16 @@ def run_pipeline(config: Config, questions: DataFrame, chunks: DataFrame, index:
         q = q.withColumn("doc_id", F.lit(None).cast("string"))
     stages = []
     if config.sparse:
-        stages.append(bm25(index, query_terms(q), config.k_candidates, scoped=config.doc_filter))
+        stages.append(materialise(bm25(index, query_terms(q), config.k_candidates, scoped=config.doc_filter), "sparse"))
     if config.dense_model:
-        stages.append(dense_list.filter(F.col("rank") <= config.k_candidates))
+        stages.append(materialise(dense_list.filter(F.col("rank") <= config.k_candidates), "dense"))
     last = stages[-1]
     if config.fusion:
         last = rrf(stages[0].unionByName(stages[1]), cut=config.k_candidates) if config.fusion == "rrf" else weighted(*stages, config.alpha, config.k_candidates)
+        last = materialise(last, "fusion")
         stages.append(last)
     if config.reranker:
-        last = rerank(last, q, chunks, scorer)
+        last = materialise(rerank(last, q, chunks, scorer), "rerank")
         stages.append(last)
     stages.append(last.filter(F.col("rank") <= config.k_final).withColumn("stage", F.lit("final")))
     out = stages[0]

@@ -279,10 +279,10 @@ _LONG = "lg AS (UNPIVOT (SELECT config_id, qid, recall_1::DOUBLE AS \"recall@1\"
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    bm = _bm25_list(s, d, 8)
+    bm = materialise(_bm25_list(s, d, 8), "bm25")
     rr = retrieval.rerank(bm, _questions(s, d), _fixed(s, d))
-    lists = bm.withColumn("config_id", F.lit("bm25")).unionByName(rr.withColumn("config_id", F.lit("rerank")))
-    held = labels.relevant_chunks(_placed(s, d), table(s, d, "chunks").filter("strategy = 'fixed'"))
+    lists = materialise(bm.withColumn("config_id", F.lit("bm25")).unionByName(rr.withColumn("config_id", F.lit("rerank"))), "lists")
+    held = materialise(labels.relevant_chunks(_placed(s, d), table(s, d, "chunks").filter("strategy = 'fixed'")), "held")
     return metrics.score_lists(lists, held, ks=(1, 3, 5))
 
 
@@ -626,8 +626,8 @@ def _alpha_scores(s: SparkSession, d: str) -> DataFrame:
     for alpha in (0.0, 0.25, 0.5, 0.75, 1.0):
         part = retrieval.weighted(bm, dn, alpha, 8).withColumn("config_id", F.lit(f"{alpha:g}"))
         lists = part if lists is None else lists.unionByName(part)
-    held = labels.relevant_chunks(_placed(s, d), table(s, d, "chunks").filter("strategy = 'fixed'"))
-    return metrics.score_lists(lists, held)
+    held = materialise(labels.relevant_chunks(_placed(s, d), table(s, d, "chunks").filter("strategy = 'fixed'")), "held")
+    return metrics.score_lists(materialise(lists, "lists"), held)
 
 
 @query()
