@@ -39,14 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) is a temporary folder
-    made and remembered in the session.
+    Only where the session names none (tests, a laptop) a temporary folder is
+    made, once for the application.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        own = spark.sparkContext.getCheckpointDir()
-        found = own or f"file://{tempfile.mkdtemp(prefix='clauseforge-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='clauseforge-')}")
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
