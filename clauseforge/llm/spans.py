@@ -148,8 +148,9 @@ def chains(matches: list[tuple[int, int]], k: int = SEED, gap: float = GAP_COST)
 
 
 def _records(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
+    """Texts long enough; repeated rows stay, since dropping them would shuffle every text, and count once further on."""
     d = df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter(F.col("id").isNotNull() & (F.length("t") >= span))
-    return d.dropDuplicates(["id"]).withColumn("dk", F.xxhash64("id"))
+    return d.withColumn("dk", F.xxhash64("id"))
 
 
 def _links(records: DataFrame, span: int, k: int) -> DataFrame:
@@ -180,7 +181,7 @@ def _links(records: DataFrame, span: int, k: int) -> DataFrame:
 
 def _by_record(records: DataFrame, links: DataFrame) -> DataFrame:
     """Records with their links; a record has no more links than characters."""
-    own = links.groupBy("dk").agg(F.collect_list(F.struct("pos", "equal", "ask", "rep", "rep_pos")).alias("links"))
+    own = links.groupBy("dk").agg(F.collect_set(F.struct("pos", "equal", "ask", "rep", "rep_pos")).alias("links"))
     return records.select("dk", "t").join(own, "dk")
 
 
@@ -238,7 +239,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "full_text", sp
     reach = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum(F.when(reach >= F.col("a"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
     merged = shared.withColumn("island", island).groupBy("dk", "island").agg(F.min("a").alias("char_start"), F.max("b").alias("char_end"))
-    names = records.select("dk", F.col("id").alias(key))
+    names = records.select("dk", F.col("id").alias(key)).distinct()
     return merged.join(names, "dk").select(key, "char_start", "char_end")
 
 
@@ -270,9 +271,9 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "full_text",
                         out.append((dk, rep, m[line[0]][0], m[line[-1]][0] + k, len(line), round(score, 4)))
             yield pd.DataFrame(out, columns=["dk", "rep", "char_start", "char_end", "seeds", "score"])
 
-    own = _links(records, span, k).groupBy("dk").agg(F.collect_list(F.struct("pos", "rep", "rep_pos")).alias("links"))
+    own = _links(records, span, k).groupBy("dk").agg(F.collect_set(F.struct("pos", "rep", "rep_pos")).alias("links"))
     lines = own.mapInPandas(line_up, "dk long, rep long, char_start int, char_end int, seeds int, score double")
-    names = records.select("dk", "id")
+    names = records.select("dk", "id").distinct()
     here = salted_join(lines, names.withColumnRenamed("id", key), "dk")
     there = salted_join(here, names.select(F.col("dk").alias("rep"), F.col("id").alias("partner")), "rep")
     return there.select(key, "partner", "char_start", "char_end", "seeds", "score")
