@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..functions.udfs import sentence_spans
+from ..session import frame
 
 CHUNK_SCHEMA = "doc_id string, chunk_index long, char_start long, char_end long"
 
@@ -63,7 +64,7 @@ def sentence_units(blocks: DataFrame) -> DataFrame:
                 for d, k, t, s, c in b[["doc_id", "block_id", "block_type", "text", "char_start"]].itertuples(index=False)
                 for x, y in sentence_spans(s or "")
             ]
-            yield pd.DataFrame(out, columns=["doc_id", "block_id", "block_type", "s", "e", "tokens"])
+            yield frame(out, ["doc_id", "block_id", "block_type", "s", "e", "tokens"])
 
     sents = rows.filter(F.col("block_type").isin("paragraph", "list_item")).mapInPandas(cut, "doc_id string, block_id string, block_type string, s long, e long, tokens long")
     return whole.unionByName(sents)

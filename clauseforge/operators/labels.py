@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.udfs import locate
-from ..session import salted_join
+from ..session import frame, salted_join
 
 
 def spans_of(questions: DataFrame) -> DataFrame:
@@ -42,9 +42,7 @@ def align(questions: DataFrame, documents: DataFrame, least: float = 85.0) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(q, d, i, *(locate(x, t, least) or (None,) * 5)) for q, d, i, x, t in b[["qid", "doc_id", "span_index", "span", "full_text"]].itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["qid", "doc_id", "span_index", "char_start", "char_end", "score", "method", "occurrences"]).astype(
-                {"char_start": "Int64", "char_end": "Int64", "occurrences": "Int64"}
-            )
+            yield frame(rows, ["qid", "doc_id", "span_index", "char_start", "char_end", "score", "method", "occurrences"])
 
     return s.mapInPandas(run, "qid string, doc_id string, span_index long, char_start long, char_end long, score double, method string, occurrences long")
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,11 @@ def materialise(df: DataFrame, label: str = "t", partition_by: Sequence[str] = (
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
+    """Rows for Spark; plain objects, since inferred string types of an empty or all-null column don't convert."""
+    return pd.DataFrame(rows, columns=list(names), dtype=object)
+
+
 def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, share: float = HOT_SHARE) -> list:
     """Keys that hold at least ``rows`` rows and ``share`` of all rows (at most ``1/share``).
 

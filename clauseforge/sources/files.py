@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import frame
+
 
 
 #: Records exchanged as JSON lines; reading with one of them refuses malformed lines.
@@ -134,8 +136,7 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
                 p.close()
                 p.flush()
                 out += [(k, i, *x) for i, x in enumerate(p.out)]
-            df = pd.DataFrame(out, columns=["k", "pos", "block_type", "level", "text", "rows"])
-            yield df.astype({"level": "Int32", "pos": "int64"})
+            yield frame(out, ["k", "pos", "block_type", "level", "text", "rows"])
 
     src = pages.select(F.col(key).alias("k"), F.col(html).alias("h"))
     return src.mapInPandas(run, f"k {kind}, pos long, block_type string, level int, text string, rows array<array<string>>").withColumnRenamed("k", key)
