@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import frame
 from .visual import LOOKALIKES, strip_invisible
 
 #: Items are broadcast; more characters than this are refused (the automaton takes about 400 bytes a character).
@@ -258,7 +259,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, coverage: float = 0.5)
         auto = _automaton(shared.value, coverage)
         for b in batches:
             out = [(d, *f) for d, t in zip(b["doc_id"], b["text"]) for f in auto.found(t)]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "run_words", "item_words"])
+            yield frame(out, ["doc_id", "item_id", "run_words", "item_words"])
 
     kind, item_kind = documents.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     src = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") >= least))

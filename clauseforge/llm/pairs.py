@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import frame
 from .languages import WORD, language, votes
 from .sentences import GOVERNING
 from .visual import strip_invisible, visual_form
@@ -262,12 +263,7 @@ def defective_pairs(df: DataFrame, key: str = "request_id", question: str = "que
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             autos: dict[str, SuffixAutomaton] = {}
-            keys, found = [], []
-            for k, q, a in zip(b["k"], b["q"], b["a"]):
-                for d in defects(q, a, autos):
-                    keys.append(k)
-                    found.append(d)
-            yield pd.DataFrame({"k": keys, "defect": pd.Series(found, dtype=object)})
+            yield frame([(k, d) for k, q, a in zip(b["k"], b["q"], b["a"]) for d in defects(q, a, autos)], ["k", "defect"])
 
     kind = df.schema[key].dataType.simpleString()
     src = df.select(F.col(key).alias("k"), F.col(question).alias("q"), F.col(answer).alias("a"))

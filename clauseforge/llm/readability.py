@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import frame
 from .languages import SCRIPTS, VOTES, script_counts
 from .leakage import folded
 
@@ -222,7 +223,7 @@ def reading_levels(documents: DataFrame, model: LevelModel, min_words: int = MIN
             for d, t in zip(b["doc_id"], b["text"]):
                 if levels and (r := scorer.score(t, min_words)):
                     out.append((d, r[0], r[1], levels[int(r[2].argmax())], round(float(r[2] @ value), 6), [round(float(x), 6) for x in r[2]]))
-            yield pd.DataFrame(out, columns=["doc_id", "language", "words", "band", "difficulty", "shares"])
+            yield frame(out, ["doc_id", "language", "words", "band", "difficulty", "shares"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     src = documents.select("doc_id", "text").filter(F.length("text") >= 2 * min_words - 1)

@@ -267,7 +267,7 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
                         keys.append(k)
                         starts.append(s)
                         ends.append(e)
-            yield pd.DataFrame({"k": keys, "s": pd.Series(starts, dtype="int32"), "e": pd.Series(ends, dtype="int32")})
+            yield pd.DataFrame({"k": pd.Series(keys, dtype=object), "s": pd.Series(starts, dtype="int32"), "e": pd.Series(ends, dtype="int32")})
 
     kind = df.schema[key].dataType.simpleString()
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import materialise, salted_join
+from ..session import frame, materialise, salted_join
 
 #: Characters of a shared run, of a seed (half a run: shorter ones stand in many records that share no run); cost of a
 #: character skipped in a chain, in seed characters.
@@ -269,7 +269,7 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "full_text",
                 for rep, m in by_rep.items():
                     for score, line in chains(m, k):
                         out.append((dk, rep, m[line[0]][0], m[line[-1]][0] + k, len(line), round(score, 4)))
-            yield pd.DataFrame(out, columns=["dk", "rep", "char_start", "char_end", "seeds", "score"])
+            yield frame(out, ["dk", "rep", "char_start", "char_end", "seeds", "score"])
 
     own = _links(records, span, k).groupBy("dk").agg(F.collect_set(F.struct("pos", "rep", "rep_pos")).alias("links"))
     lines = own.mapInPandas(line_up, "dk long, rep long, char_start int, char_end int, seeds int, score double")

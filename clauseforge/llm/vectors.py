@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import scratch_path
+from ..session import frame, scratch_path
 
 #: Dimensions of the projection, confidence of the stopping test, neighbours.
 DIMS, CONFIDENCE, K = 8, 0.7, 5
@@ -291,9 +291,7 @@ def nearest_pairs(vectors: DataFrame, k: int = K, dims: int = DIMS, confidence:
                         found += _search(cells, own[i], start[i], width[i], keys[a:b], x[a:b], limit, k)
                     if passed >= begin + QUERY_BLOCK:
                         break
-                yield pd.DataFrame(
-                    {"model": names[i], "key_a": [min(p) for p in found], "key_b": [max(p) for p in found]}, columns=["model", "key_a", "key_b"]
-                )
+                yield frame([(names[i], min(p), max(p)) for p in found], ["model", "key_a", "key_b"])
 
     sizes = index.groupBy("slot").count()
     units = sizes.select("slot", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / QUERY_BLOCK).cast("int"))).alias("chunk"))
