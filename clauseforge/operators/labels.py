@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import locate
+from ..functions.udfs import locate, normalize_with_map
 from ..session import frame, salted_join
 
 
@@ -34,14 +34,19 @@ def locate_exact(questions: DataFrame, documents: DataFrame) -> DataFrame:
 def align(questions: DataFrame, documents: DataFrame, least: float = 85.0) -> DataFrame:
     """``qid, doc_id, span_index, char_start, char_end, score, method, occurrences``; nulls where a span can't be placed.
 
-    Spans that stand in the document letter for letter are placed in the JVM;
-    only the others go to Python, where the normalised and then the fuzzy search decide.
+    The normalised search decides first, then the fuzzy one. Rows of a document
+    stand together, so its text is normalised once for all of its spans in a task.
     """
-    s = salted_join(spans_of(questions), documents.select("doc_id", "full_text"), "doc_id", "left")
+    s = salted_join(spans_of(questions), documents.select("doc_id", "full_text"), "doc_id", "left").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, known = None, None
         for b in batches:
-            rows = [(q, d, i, *(locate(x, t, least) or (None,) * 5)) for q, d, i, x, t in b[["qid", "doc_id", "span_index", "span", "full_text"]].itertuples(index=False)]
+            rows = []
+            for q, d, i, x, t in b[["qid", "doc_id", "span_index", "span", "full_text"]].itertuples(index=False):
+                if t and t != last:
+                    last, known = t, normalize_with_map(t)
+                rows.append((q, d, i, *(locate(x, t, least, known) or (None,) * 5)))
             yield frame(rows, ["qid", "doc_id", "span_index", "char_start", "char_end", "score", "method", "occurrences"])
 
     return s.mapInPandas(run, "qid string, doc_id string, span_index long, char_start long, char_end long, score double, method string, occurrences long")

@@ -67,19 +67,24 @@ def bm25(index: Index, terms: DataFrame, k: int = CANDIDATES, k1: float = K1, b:
 
     ``terms`` comes from ``query_terms``. Scoped, a question with a ``doc_id``
     meets only chunks of that document (unknown: none), others the whole corpus.
-    Unknown terms drop out. The question side carries idf, so postings are joined
-    once; partial sums are formed before the shuffle on (question, chunk).
+    Unknown terms drop out. The question side carries idf and is written once: up
+    to ``BROADCAST_ROWS`` rows it is broadcast, so that the postings of a frequent
+    term stay where they are; beyond, both sides are shuffled by term and skewed
+    terms are left to adaptive execution. Partial sums are formed before the
+    shuffle on (question, chunk).
     """
     n, avgdl = F.col("n").cast("double"), F.col("avgdl")
     weighted = terms.join(index.terms, "term").crossJoin(F.broadcast(index.totals))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select("qid", F.col("doc_id").alias("scope"), "term", (idf * F.col("qtf")).alias("w"), "avgdl")
+    weighted = materialise(weighted, "terms")
+    side = F.broadcast if weighted.count() <= BROADCAST_ROWS else lambda x: x
     tf = F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / avgdl))
     if scoped:
-        in_doc = index.postings.join(weighted.filter("scope is not null").withColumnRenamed("scope", "doc_id"), ["term", "doc_id"])
-        parts = [in_doc, index.postings.join(weighted.filter("scope is null").drop("scope"), "term")]
+        in_doc = index.postings.join(side(weighted.filter("scope is not null").withColumnRenamed("scope", "doc_id")), ["term", "doc_id"])
+        parts = [in_doc, index.postings.join(side(weighted.filter("scope is null").drop("scope")), "term")]
     else:
-        parts = [index.postings.join(weighted.drop("scope"), "term")]
+        parts = [index.postings.join(side(weighted.drop("scope")), "term")]
     out = None
     for p in parts:
         p = p.select("qid", "chunk_id", (F.col("w") * tf).alias("s"))

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 from ..functions.text import hash_draw
 
+#: Bins of draws that a split counts.
+CUT_BINS = 1 << 16
 # What counts as an amount in a clause, and as a redaction.
 AMOUNT = r"(?i)[$€£¥]\s?\d|\d+(?:\.\d+)?\s?%|\b\d+\s+(?:days?|weeks?|months?|years?)\b"
 REDACTED = r"\[\*+\]|\[●\]|_{3,}|\*{3,}"
@@ -47,14 +49,22 @@ def stratified(df: DataFrame, stratum: str, key: str, size: int, seed: str = "0"
 def split_documents(ids: DataFrame, dev: float = 0.3, seed: str = "0", key: str = "doc_id") -> DataFrame:
     """``key, split``: round(n · dev), half to even, documents in hash order are dev, the others test; no document is in both.
 
-    The cut is the draw of the last dev document, found with a top-k, so rows aren't sorted in one task.
+    The cut is the draw of the last dev document. It is found by counting draws
+    in ``CUT_BINS`` equal bins and sorting the one bin that holds it, so
+    documents are never sorted as a whole. Runs two jobs.
     """
     d = ids.select(key).distinct().withColumn("_h", F.struct(hash_draw(seed, F.col(key).cast("string")).alias("h"), F.col(key).alias("k")))
-    n = d.count()
-    k = round(n * dev)
+    width = 2**32 // CUT_BINS
+    bins = {r["b"]: r["count"] for r in d.groupBy(F.floor(F.col("_h.h") / width).alias("b")).count().collect()}
+    k = round(sum(bins.values()) * dev)
     if k == 0:
         return d.select(key, F.lit("test").alias("split"))
-    cut = d.orderBy("_h").limit(k).agg(F.max("_h").alias("c"))
+    before = 0
+    for b in sorted(bins):
+        if before + bins[b] >= k:
+            break
+        before += bins[b]
+    cut = d.filter(F.floor(F.col("_h.h") / width) == b).orderBy("_h").limit(k - before).agg(F.max("_h").alias("c"))
     return d.crossJoin(F.broadcast(cut)).select(key, F.when(F.col("_h") <= F.col("c"), "dev").otherwise("test").alias("split"))
 
 
