@@ -27,7 +27,7 @@ def select_configs(scores: DataFrame, order: DataFrame, most: int = 8) -> DataFr
     """
     per = scores.groupBy("config_id").agg(
         F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("qid", "context_recall", "mrr")))), 256).alias("sig"),
-        F.avg("context_recall").alias("cr"), F.avg("mrr").alias("m"),
+        F.round(F.avg("context_recall"), 10).alias("cr"), F.round(F.avg("mrr"), 10).alias("m"),
     ).join(order, "config_id")
     best = W.partitionBy("sig").orderBy("grid_order")
     kept = per.withColumn("r", F.row_number().over(best)).withColumn("folded", F.count("*").over(W.partitionBy("sig")) - 1).filter("r = 1")

@@ -264,8 +264,8 @@ def lbl_alignment_report(s: SparkSession, d: str) -> DataFrame:
 
 # ---------- metrics ----------
 
-_LABELLED = f"""{_bm25('question', _IN_DOC, 8)}, {_rerank('bm', 'question')}, ls AS (SELECT 'bm25' AS config_id, qid, rank, chunk_id FROM bm UNION ALL SELECT 'rerank', qid, rank, chunk_id FROM rr),
-{_PLACED}, h AS (SELECT qid, span_index, chunk_id FROM pl JOIN c USING (doc_id) WHERE {_COVERS}), nd AS (SELECT pl.qid, count(DISTINCT pl.span_index) AS spans, count(DISTINCT h.chunk_id) AS relevant FROM pl LEFT JOIN h ON pl.qid = h.qid AND pl.span_index = h.span_index GROUP BY pl.qid),
+# Metrics of lists ``ls (config_id, qid, rank, chunk_id)`` over chunks ``c``.
+_SCORES = f"""{_PLACED}, h AS (SELECT qid, span_index, chunk_id FROM pl JOIN c USING (doc_id) WHERE {_COVERS}), nd AS (SELECT pl.qid, count(DISTINCT pl.span_index) AS spans, count(DISTINCT h.chunk_id) AS relevant FROM pl LEFT JOIN h ON pl.qid = h.qid AND pl.span_index = h.span_index GROUP BY pl.qid),
 n AS (SELECT config_id, qid, count(*) AS budget FROM ls GROUP BY ALL), be AS (SELECT config_id, ls.qid, span_index, min(rank) AS best FROM ls JOIN h ON ls.qid = h.qid AND ls.chunk_id = h.chunk_id GROUP BY ALL),
 rc AS (SELECT config_id, qid, count(*) FILTER (best <= 1) AS s1, count(*) FILTER (best <= 3) AS s3, count(*) FILTER (best <= 5) AS s5, count(*) FILTER (best <= 8) AS s8 FROM be GROUP BY ALL),
 hi AS (SELECT DISTINCT config_id, ls.qid, rank FROM ls JOIN h ON ls.qid = h.qid AND ls.chunk_id = h.chunk_id), hn AS (SELECT *, row_number() OVER (PARTITION BY config_id, qid ORDER BY rank) AS nth FROM hi),
@@ -274,6 +274,7 @@ sc2 AS (SELECT config_id, qid, coalesce(s1, 0) / spans AS recall_1, coalesce(s3,
 CASE WHEN relevant > 0 THEN coalesce(hits, 0) / relevant END AS chunk_recall, CASE WHEN relevant > 0 THEN (coalesce(hits, 0) > 0)::INT::DOUBLE END AS hit,
 CASE WHEN relevant > 0 THEN coalesce(1 / first, 0)::DOUBLE END AS mrr, CASE WHEN relevant > 0 THEN coalesce(dcg, 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(relevant, 10) + 1)]) END AS ndcg_at_10,
 CASE WHEN relevant > 0 THEN coalesce(cp, 0)::DOUBLE END AS context_precision FROM n LEFT JOIN nd USING (qid) LEFT JOIN rc USING (config_id, qid) LEFT JOIN hg USING (config_id, qid))"""
+_LABELLED = f"{_bm25('question', _IN_DOC, 8)}, {_rerank('bm', 'question')}, ls AS (SELECT 'bm25' AS config_id, qid, rank, chunk_id FROM bm UNION ALL SELECT 'rerank', qid, rank, chunk_id FROM rr), {_SCORES}"
 _METRICS = ("recall_1", "recall_3", "recall_5", "context_recall", "chunk_recall", "hit", "mrr", "ndcg_at_10", "context_precision")
 _LONG = "lg AS (UNPIVOT (SELECT config_id, qid, recall_1::DOUBLE AS \"recall@1\", recall_3::DOUBLE AS \"recall@3\", recall_5::DOUBLE AS \"recall@5\", mrr, ndcg_at_10, context_precision, context_recall::DOUBLE AS context_recall FROM sc2) ON COLUMNS(* EXCLUDE (config_id, qid)) INTO NAME metric VALUE value)"
 
@@ -609,7 +610,9 @@ def join20_uncontained(s: SparkSession, d: str) -> DataFrame:
     return sampling.drop_contained(_span_rows(s, d))
 
 
-@query()
+@query(f"""WITH {_PLACED}, b AS (SELECT DISTINCT doc_id, block_id, block_type, text, char_start, char_end FROM blocks), ev AS (SELECT DISTINCT qid, block_id FROM pl JOIN b ON b.doc_id = pl.doc_id AND b.char_start < pl.char_end AND b.char_end > pl.char_start),
+q AS (SELECT DISTINCT qid, doc_id, answerable FROM questions WHERE doc_id IS NOT NULL), k AS (SELECT qid, block_id, answerable, row_number() OVER (PARTITION BY qid ORDER BY concat('0x', substr(md5(concat('0~', qid, '~', block_id)), 1, 8))::BIGINT, block_id) AS n
+FROM q JOIN b USING (doc_id) WHERE block_type <> 'heading' AND length(text) >= 80 AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.qid = q.qid AND ev.block_id = b.block_id)) SELECT qid, block_id, n FROM k WHERE n <= CASE WHEN answerable THEN 3 ELSE 5 END""")
 def chk6_distractors(s: SparkSession, d: str) -> DataFrame:
     """Blocks of each question's contract that aren't its evidence, in hash order."""
     b = table(s, d, "blocks").dropDuplicates(["block_id"])
@@ -630,25 +633,42 @@ def _alpha_scores(s: SparkSession, d: str) -> DataFrame:
     return metrics.score_lists(materialise(lists, "lists"), held)
 
 
-@query()
+_ALPHAS = f"""{_bm25('question', _IN_DOC, 50)}, {_DENSE}, l0 AS (SELECT * FROM bm UNION ALL SELECT * FROM dn), m0 AS (SELECT qid, chunk_id, stage, score, min(score) OVER (PARTITION BY qid, stage) AS lo, max(score) OVER (PARTITION BY qid, stage) AS hi FROM l0),
+x0 AS (SELECT alpha, qid, chunk_id, sum(CASE WHEN stage = 'dense' THEN alpha ELSE 1 - alpha END * CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END) AS score FROM m0, (SELECT unnest([0, 0.25, 0.5, 0.75, 1])::DOUBLE AS alpha) GROUP BY ALL),
+ls AS (SELECT * FROM (SELECT replace(alpha::VARCHAR, '.0', '') AS config_id, qid, row_number() OVER (PARTITION BY alpha, qid ORDER BY round(score, 12) DESC, chunk_id) AS rank, chunk_id FROM x0) WHERE rank <= 8), {_SCORES},
+sq AS (SELECT DISTINCT qid, split FROM questions), ss AS (SELECT sc2.*, split FROM sc2 JOIN sq USING (qid))"""
+
+
+@query(f"""WITH {_ALPHAS}, m9 AS (SELECT config_id::DOUBLE AS alpha, round(avg(mrr), 4) AS mrr, round(avg(context_recall), 4) AS recall FROM ss WHERE split = 'dev' GROUP BY config_id)
+SELECT 'fixed' AS chunking, '{MODEL}' AS model, alpha, mrr, recall FROM m9 ORDER BY mrr DESC, recall DESC, alpha LIMIT 1""")
 def agg25_tune_alpha(s: SparkSession, d: str) -> DataFrame:
     """Best weight of the dense list on dev questions."""
     x = _alpha_scores(s, d).join(_questions(s, d).select("qid", "split"), "qid")
     return ablation.tune_alpha(x.select("split", F.lit("fixed").alias("chunking"), F.lit(MODEL).alias("model"), F.col("config_id").cast("double").alias("alpha"), "mrr", F.col("context_recall").alias("recall")))
 
 
-@query()
+@query(f"WITH {_ALPHAS} SELECT config_id, split, count(*) AS n, round(avg(context_recall), 4) AS context_recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg_at_10), 4) AS ndcg_at_10 FROM ss GROUP BY ALL")
 def agg24_config_summary(s: SparkSession, d: str) -> DataFrame:
     return ablation.summarise(_alpha_scores(s, d), _questions(s, d))
 
 
-@query()
+@query(f"""WITH {_ALPHAS}, g0 AS (SELECT config_id, config_id::DOUBLE AS o, list((qid, context_recall, mrr) ORDER BY qid)::VARCHAR AS sig, round(avg(context_recall), 10) AS cr, round(avg(mrr), 10) AS m FROM ss WHERE split = 'dev' GROUP BY config_id),
+g1 AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY o) AS r, count(*) OVER (PARTITION BY sig) - 1 AS folded FROM g0) SELECT config_id, row_number() OVER (ORDER BY cr DESC, m DESC, o) AS place, folded FROM g1 WHERE r = 1""")
 def top2_select_configs(s: SparkSession, d: str) -> DataFrame:
     """Settings chosen on dev, those with equal scores on every question folded."""
     x = _alpha_scores(s, d).join(_questions(s, d).filter("split = 'dev'").select("qid"), "qid")
     return ablation.select_configs(x, x.select("config_id", F.col("config_id").cast("double").alias("grid_order")).distinct())
 
 
+@query("""WITH c AS (SELECT unnest(['fixed', 'section']) AS ch), v AS (SELECT * FROM (VALUES ('bm25', 'nodense', 'none'), ('nosparse', 'clause-small', 'none'), ('bm25', 'clause-small', 'rrf'), ('bm25', 'clause-small', 'weighted0.5')) t(s, d, f)),
+r AS (SELECT unnest(['norerank', 'overlap']) AS rr), x AS (SELECT unnest(['doc', 'corpus']) AS sc) SELECT concat_ws('__', ch, s, d, f, rr, 'k8', sc) AS config_id, ch AS chunking, sc = 'doc' AS doc_filter FROM c, v, r, x
+UNION ALL SELECT concat_ws('__', ch, s, d, f, 'norerank', 'k8', 'doc', 'rawq'), ch, true FROM c, v WHERE f = 'none'""")
+def join13_grid(s: SparkSession, d: str) -> DataFrame:
+    """Every setting of a grid, by way of its id and back."""
+    rows = [retrieval.parse_config(c.config_id) for c in retrieval.grid(["fixed", "section"], [MODEL], ["overlap"])]
+    return s.createDataFrame([(c.config_id, c.chunking, c.doc_filter) for c in rows], "config_id string, chunking string, doc_filter boolean")
+
+
 # ---------- judging and triage ----------
 
 
@@ -680,6 +700,33 @@ def tri_triage(s: SparkSession, d: str) -> DataFrame:
     return triage.triage(rows, traces)
 
 
+@query()
+def agg27_triage_summary(s: SparkSession, d: str) -> DataFrame:
+    """Failures by category, stage and question type."""
+    return triage.summary(materialise(tri_triage(s, d), "triage"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT qid, question, contract_name, qtype, answerable, evidence_spans FROM questions), x AS (SELECT qtype, CASE WHEN contract_name <> '' THEN replace(question, contract_name, ' ') ELSE question END AS t, unnest(evidence_spans) AS span FROM q WHERE answerable),
+w AS (SELECT qtype, list_distinct([x FOR x IN regexp_extract_all(lower(t), '[a-z]+') IF length(x) > 2 AND NOT list_contains({_CW}, x)]) AS a, list_distinct([x FOR x IN regexp_extract_all(lower(span), '[a-z]+') IF length(x) > 2 AND NOT list_contains({_CW}, x)]) AS b FROM x)
+SELECT qtype, count(*) AS pieces, round(avg(len([x FOR x IN a IF list_contains(b, x)]) / len(a)), 6) AS shared_words FROM w WHERE len(a) > 0 GROUP BY qtype""")
+def agg28_shared_words(s: SparkSession, d: str) -> DataFrame:
+    """Share of a question's meaning words that stand in its evidence, by question type."""
+    q = _questions(s, d).filter("answerable")
+    text = F.when(F.coalesce("contract_name", F.lit("")) != "", F.replace("question", F.col("contract_name"), F.lit(" "))).otherwise(F.col("question"))
+    x = q.select("qtype", T.content_words(text).alias("a"), F.explode("evidence_spans").alias("span")).filter(F.size("a") > 0)
+    share = F.size(F.array_intersect("a", T.content_words("span"))) / F.size("a")
+    return x.groupBy("qtype").agg(F.count("*").alias("pieces"), F.round(F.avg(share), 6).alias("shared_words"))
+
+
+@query(rf"""WITH a AS (SELECT request_id, any_value(model) AS model, coalesce(any_value(answer), '') AS t FROM ask_responses GROUP BY request_id)
+SELECT model, count(*) AS answers, count(*) FILTER (regexp_matches(t, {"'" + T.SAYS_NOT_FOUND.replace("'", "''") + "'"})) AS says_not_found, count(*) FILTER (contains(t, '[***]') OR contains(lower(t), 'redact')) AS redacted FROM a GROUP BY model""")
+def agg28_patterns(s: SparkSession, d: str) -> DataFrame:
+    """Answers that say that the text has nothing, and answers that report a redaction."""
+    a = table(s, d, "ask_responses").dropDuplicates(["request_id"]).withColumn("t", F.coalesce("answer", F.lit("")))
+    red = F.contains("t", F.lit("[***]")) | F.contains(F.lower("t"), F.lit("redact"))
+    return a.groupBy("model").agg(F.count("*").alias("answers"), F.count(F.when(F.col("t").rlike(T.SAYS_NOT_FOUND), 1)).alias("says_not_found"), F.count(F.when(red, 1)).alias("redacted"))
+
+
 # ---------- sources, sinks, streaming ----------
 
 
