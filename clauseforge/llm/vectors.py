@@ -37,6 +37,8 @@ from ..session import frame, scratch_path
 DIMS, CONFIDENCE, K = 8, 0.7, 5
 #: Rows wanted in a cell, cells of a model at most, rows of a model that the tree is fitted on.
 CELL_ROWS, MAX_CELLS, SAMPLE_ROWS = 1024, 4096, 20_000
+#: Rows of all models that the trees are fitted on.
+MAX_SAMPLE = 100_000
 #: Queries taken at a time, rows of a cell read at a time, bytes of cells that a worker keeps.
 QUERY_BLOCK, ROW_BLOCK, KEPT_BYTES = 2048, 8192, 96 << 20
 #: Candidates kept beyond k before they are ordered in double precision.
@@ -219,8 +221,8 @@ def _search(cells: _Cells, tree: ProjectionTree, first: int, width: int, keys: n
 def nearest_pairs(vectors: DataFrame, k: int = K, dims: int = DIMS, confidence: float = CONFIDENCE) -> DataFrame:
     """``model, key_a, key_b`` (``key_a < key_b``): at least one is among the other's ``k`` nearest by cosine.
 
-    Ties go to the smaller key. Runs jobs: widths, count and sample per model,
-    and the writing of the index. Of vectors that are equal number for number,
+    Ties go to the smaller key. Runs jobs: the widths, counts and sample of the
+    models, and the writing of the index. Of vectors that are equal number for number,
     only the ``k + 1`` smallest keys are indexed, which is all that any
     neighbour list can hold; the other keys of such a group have the group's
     ``k`` smallest keys as neighbours.
@@ -232,16 +234,18 @@ def nearest_pairs(vectors: DataFrame, k: int = K, dims: int = DIMS, confidence:
         return spark.createDataFrame([], schema)
     rows = rows.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
     counts = {r["model"]: r["count"] for r in rows.groupBy("model").count().collect()}
-    every = F.create_map(*[F.lit(x) for m, n in counts.items() for x in (m, max(1, n // SAMPLE_ROWS))])[F.col("model")]
-    sample = rows.filter(F.pmod(F.xxhash64("key", F.lit(5)), every) == 0).groupBy("model").agg(F.count("*").alias("n"))
-    picked = {r["model"]: r["n"] for r in sample.collect()}
     models = sorted(counts)
+    # Each model gets its share of the sample's bound; hash order makes a row's part in it independent of partitioning.
+    per_model = min(SAMPLE_ROWS, MAX_SAMPLE // len(models))
+    every = {m: max(1, ceil(n / per_model)) for m, n in counts.items()}
+    step = F.create_map(*[F.lit(x) for kv in every.items() for x in kv])[F.col("model")]
+    sample = rows.filter(F.pmod(F.xxhash64("key", F.lit(5)), step) == 0).select("model", "vector").limit(2 * MAX_SAMPLE).toArrow()
+    names = np.asarray(sample.column("model").to_pylist(), dtype=object)
     trees: list[ProjectionTree] = []
     first = [0]
     for m in models:
-        own = rows.filter((F.col("model") == m) & (F.pmod(F.xxhash64("key", F.lit(5)), F.lit(max(1, counts[m] // SAMPLE_ROWS))) == 0)).select("vector").limit(4 * SAMPLE_ROWS)
-        got = own.toArrow() if picked.get(m) else None
-        x = _matrix(got.column("vector"), widths[m]) if got is not None and got.num_rows else np.zeros((0, widths[m]), np.float32)
+        own = np.flatnonzero(names == m)
+        x = _matrix(sample.column("vector").take(pa.array(own)), widths[m]) if len(own) else np.zeros((0, widths[m]), np.float32)
         trees.append(ProjectionTree(x, widths[m], counts[m], dims))
         first.append(first[-1] + trees[-1].cells)
 
