@@ -13,6 +13,10 @@ from ..functions.udfs import locate, normalize_with_map
 from ..session import frame, salted_join
 
 
+#: Chunking strategies that labels are made for at a time.
+MAX_STRATEGIES = 100
+
+
 def spans_of(questions: DataFrame) -> DataFrame:
     """``qid, doc_id, span_index (from 0), span`` of answerable questions; repeated questions count once."""
     q = questions.filter("answerable").select("qid", "doc_id", "evidence_spans").distinct()
@@ -61,7 +65,10 @@ def relevant_chunks(alignments: DataFrame, chunks: DataFrame, share: float = 0.5
     c = chunks.select("chunk_id", "doc_id", "strategy", F.col("char_start").alias("c_start"), F.col("char_end").alias("c_end")).dropDuplicates(["chunk_id"])
     met = placed.join(c, "doc_id").filter(T.covers(F.col("c_start"), F.col("c_end"), F.col("char_start"), F.col("char_end"), share))
     held = met.select("qid", "span_index", "strategy", "chunk_id")
-    wanted = placed.select("qid", "span_index").crossJoin(F.broadcast(chunks.select("strategy").distinct()))
+    known = [r["strategy"] for r in chunks.select("strategy").distinct().limit(MAX_STRATEGIES + 1).collect()]
+    if len(known) > MAX_STRATEGIES:
+        raise ValueError(f"more than {MAX_STRATEGIES} chunking strategies")
+    wanted = placed.select("qid", "span_index", F.explode(F.array(*[F.lit(x) for x in known]).cast("array<string>")).alias("strategy"))
     return wanted.join(held, ["qid", "span_index", "strategy"], "left")
 
 

@@ -22,6 +22,8 @@ from ..session import materialise
 K1, B, CANDIDATES, FINAL = 1.5, 0.75, 50, 8
 #: Largest query set (rows) that is broadcast; beyond it a join on the term is shuffled.
 BROADCAST_ROWS = 200_000
+#: Query vectors that meet all rows in one block.
+DENSE_BLOCK = 20_000
 
 
 def distinct_chunks(chunks: DataFrame, strategy: str | None = None) -> DataFrame:
@@ -107,15 +109,15 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, on: list[
 
     ``on`` names columns (a scope or model) both sides must agree in. Without
     it every query meets every row: the query set is checked and broadcast in
-    one block up to ``BROADCAST_ROWS`` rows, and refused beyond; call block by block there.
+    one block up to ``DENSE_BLOCK`` rows, and refused beyond; call block by block there.
     """
     v = vectors.filter("vec is not null and size(vec) > 0").withColumn("vnorm", norm(F.col("vec"))).filter("vnorm > 0")
     q = queries.filter("qvec is not null and size(qvec) > 0").withColumn("qnorm", norm(F.col("qvec"))).filter("qnorm > 0")
     if on:
         met = v.join(q, on)
     else:
-        if q.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-            raise ValueError("query set too large for one block")
+        if q.limit(DENSE_BLOCK + 1).count() > DENSE_BLOCK:
+            raise ValueError(f"more than {DENSE_BLOCK} query vectors in one block")
         met = v.crossJoin(F.broadcast(q))
     scored = met.select("qid", "chunk_id", (dot(F.col("vec"), F.col("qvec")) / (F.col("vnorm") * F.col("qnorm"))).alias("score"))
     return _ranked(scored, "dense", k, F.asc("chunk_id"))

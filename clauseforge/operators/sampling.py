@@ -101,7 +101,7 @@ def drop_contained(spans: DataFrame) -> DataFrame:
 
 def fill_templates(candidates: DataFrame, templates: DataFrame, names: DataFrame) -> DataFrame:
     """Questions of candidates: templates joined on their category, ``{name}`` replaced by the contract's name."""
-    met = candidates.join(F.broadcast(templates), "category").join(names, "doc_id")
+    met = candidates.join(templates, "category").join(names, "doc_id")
     return met.withColumn("question", F.replace("template", F.lit("{name}"), F.col("name")))
 
 

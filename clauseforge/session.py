@@ -50,8 +50,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/clauseforge/{label}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; it stays until ``drop_scratch``."""
+    _SCRATCH.append(f"{shared_dir(spark)}/clauseforge/{label}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder; results that read it can't be used afterwards. The number of tables."""
+    n = 0
+    while _SCRATCH:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
 
 
 def materialise(df: DataFrame, label: str = "t", partition_by: Sequence[str] = ()) -> DataFrame:

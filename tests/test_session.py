@@ -21,3 +21,8 @@ def test_hot_keys_are_found_and_bounded(spark):
 def test_materialise_keeps_schema_of_an_empty_table(spark):
     df = spark.createDataFrame([], "a int, b array<string>")
     assert session.materialise(df).schema == df.schema
+
+
+def test_drop_scratch(spark):
+    session.materialise(spark.range(3).toDF("a")).count()
+    assert session.drop_scratch(spark) >= 1 and session.drop_scratch(spark) == 0
