@@ -13,8 +13,8 @@ missed is unlikely.
 The tree is fitted on a bounded sample in hash order (``SAMPLE_ROWS`` of each
 model), but every usable row is indexed and asked. The index is a table in the
 shared folder with one file per cell; a search task reads the cells it needs,
-nearest first. So vectors are shuffled twice (to drop repeated rows, and to
-their cells) however many cells a search visits.
+nearest first. So vectors are shuffled once (to their cells) however many cells
+a search visits.
 """
 
 from __future__ import annotations
@@ -274,10 +274,10 @@ def nearest_pairs(vectors: DataFrame, k: int = K, dims: int = DIMS, confidence:
             yield pa.RecordBatch.from_arrays([pa.array(slot), b.column("key"), b.column("vector")], names=["slot", "key", "vector"])
 
     path = scratch_path(spark, "vectors")
-    distinct = rows.select("model", "key", "vector").dropDuplicates(["model", "key"])
-    placed = distinct.mapInArrow(place, "slot int, key string, vector array<float>")
+    placed = rows.select("model", "key", "vector").mapInArrow(place, "slot int, key string, vector array<float>")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), first[-1] // 32)
-    placed.repartition(parts, "slot").write.partitionBy("slot").parquet(path)
+    # Repeated rows meet in their cell, so they are dropped after the one shuffle that brings cells together.
+    placed.repartition(parts, "slot").dropDuplicates(["slot", "key"]).write.partitionBy("slot").parquet(path)
     index = spark.read.schema("key string, vector array<float>, slot int").parquet(path)
     limit = chi2_quantile(confidence, dims)
 
