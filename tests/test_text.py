@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,42 @@ def test_locate_exact_and_fuzzy():
     assert udfs.locate("", doc) is None and udfs.locate("x", None) is None
 
 
+def brute_ratio(needle, text, least):
+    def lcs(b):
+        row = [0] * (len(needle) + 1)
+        for c in b:
+            above, row = row, [0]
+            for i, x in enumerate(needle):
+                row.append(above[i] + 1 if c == x else max(above[i + 1], row[i]))
+        return row[-1]
+
+    n = len(needle)
+    r, s = max((200.0 * lcs(text[s : s + n]) / (2 * n), -s) for s in range(len(text) - n + 1))
+    return (r, -s, n - s) if r >= least else None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fuzzy_search_equals_brute_force(seed):
+    r = random.Random(seed)
+    text = "".join(r.choice("abcd e") for _ in range(200))
+    for n in (1, 7, 30):
+        at = r.randint(0, 200 - n)
+        needle = "".join(r.choice("abcd e") if r.random() < 0.15 else c for c in text[at : at + n])
+        for least in (60.0, 85.0):
+            assert udfs.partial_ratio(needle, text, least) == brute_ratio(needle, text, least)
+
+
+def test_fuzzy_search_needs_no_whole_word():
+    words = [f"clause{chr(97 + i)}number" for i in range(16)]
+    altered = " ".join(w[:3] + "x" + w[4:] for w in words)  # none of its words stands in the text
+    text = "some other words " * 9 + " ".join(words) + " and further words" * 9
+    score, s, e = udfs.partial_ratio(altered, text)
+    assert s == text.index("clauseanumber") and score > 90
+    # More than 64 places of frequent words before the passage.
+    text = "of the and in by to " * 40 + "of the xand inn byy to off thee andd inx" + " of the and in by to" * 40
+    assert udfs.partial_ratio("of the xxand inn byy to off thee andd in", text)[0] > 95
+
+
 def test_sentences_of_the_chunker():
     t = "Fees of Acme Inc. are due. They rise (see No. 4). Done"
     assert [t[a:b] for a, b in udfs.sentence_spans(t)] == ["Fees of Acme Inc. are due.", "They rise (see No. 4).", "Done"]
