@@ -177,19 +177,19 @@ class ItemAutomaton:
     def words_in_run(self, item: int, s: str, a: int, b: int) -> int:
         """The most words of ``item`` in one unbroken run inside ``s[a:b]``; every diagonal that a sampled k-gram names is extended."""
         t, starts, best = self.text[item], self.starts[item], 0
-        seen: set[tuple[int, int]] = set()
+        ends: dict[int, int] = {}  # where the last extension on each diagonal stopped
         for p in range(a, max(a, b - self.k) + 1, self.step):
             gram = s[p : p + self.k]
             q = t.find(gram)
             while q >= 0:
-                if (p - q, p // self.longest) not in seen:
-                    seen.add((p - q, p // self.longest))
+                if p >= ends.get(p - q, 0):
                     x, y = p, q
                     while x > 0 and y > 0 and s[x - 1] == t[y - 1]:
                         x, y = x - 1, y - 1
                     e, f = p + len(gram), q + len(gram)
                     while e < len(s) and f < len(t) and s[e] == t[f]:
                         e, f = e + 1, f + 1
+                    ends[p - q] = e
                     best = max(best, bisect_right(starts, f) - 1 - bisect_left(starts, y))
                 q = t.find(gram, q + 1)
         return best

@@ -56,6 +56,18 @@ def test_disguises_make_no_difference():
     assert a.found("The quick brown cat jumps over a lazy dog") == []
 
 
+def test_one_changed_letter_splits_a_run_but_hides_neither_part():
+    item = text(120)
+    auto = L.ItemAutomaton([(1, item), (2, text(20))])
+    s = L.letters(item)
+    for at in (115, 150, 210):
+        doc = s[:at] + "z" + s[at + 1 :] + " " + text(50)
+        (found,) = auto.found(doc)
+        words = L._WORD.findall(item)
+        ends = [sum(map(len, words[: k + 1])) for k in range(len(words))]
+        assert found == (1, sum(e - len(w) > at for e, w in zip(ends, words)), 120)
+
+
 def test_limit(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_ITEM_CHARS", 10)
     with pytest.raises(ValueError):
