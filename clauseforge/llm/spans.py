@@ -252,28 +252,45 @@ def shared_share(spans: DataFrame, df: DataFrame, key: str = "doc_id", text: str
 
 
 def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "full_text", span: int = SPAN, k: int = SEED) -> DataFrame:
-    """Chains of each record with the representative partners of its seeds: ``key, partner, char_start, char_end, seeds, score``.
+    """Chains of common seeds of every two records: ``key, partner, char_start, char_end, seeds, score``, one row for either side.
 
-    A passage may differ between its seeds (a fuzzy passage). A group of copies
-    gives each member one partner, not all of them.
+    A passage may differ between its seeds (a fuzzy passage). Every pair of
+    different texts keeps all its common seeds, so rows grow with the number of
+    such pairs. Of records with one text, the first by key stands for all: it has
+    the pairs with other texts, and each copy one row with it (and it with the
+    copy), never with each other. Writes the seeds as a table.
     """
-    records = _records(df, key, text, span)
+    records = _records(df, key, text, span).withColumn("tk", F.xxhash64("t"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for tk, t in zip(b["tk"], b["t"]):
+                _, place, _, _, value, _ = seeds(t, span, k)
+                rows.append((value.view(np.int64), np.full(len(place), tk, np.int64), place.astype(np.int32)))
+            yield pd.DataFrame({n: np.concatenate([r[i] for r in rows]) if rows else [] for i, n in enumerate(("h", "tk", "pos"))})
 
     def line_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for dk, own in zip(b["dk"], b["links"]):
-                by_rep: dict[int, list[tuple[int, int]]] = {}
-                for x in own:
-                    by_rep.setdefault(x["rep"], []).append((x["pos"], x["rep_pos"]))
-                for rep, m in by_rep.items():
-                    for score, line in chains(m, k):
-                        out.append((dk, rep, m[line[0]][0], m[line[-1]][0] + k, len(line), round(score, 4)))
-            yield frame(out, ["dk", "rep", "char_start", "char_end", "seeds", "score"])
-
-    own = _links(records, span, k).groupBy("dk").agg(F.collect_set(F.struct("pos", "rep", "rep_pos")).alias("links"))
-    lines = own.mapInPandas(line_up, "dk long, rep long, char_start int, char_end int, seeds int, score double")
-    names = records.select("dk", "id").distinct()
-    here = salted_join(lines, names.withColumnRenamed("id", key), "dk")
-    there = salted_join(here, names.select(F.col("dk").alias("rep"), F.col("id").alias("partner")), "rep")
-    return there.select(key, "partner", "char_start", "char_end", "seeds", "score")
+            for x, y, at in zip(b["x"], b["y"], b["at"]):
+                m = [(int(v) >> 32, int(v) & 0xFFFFFFFF) for v in at]
+                for score, line in chains(m, k) if len(m) > 1 else [(float(k), [0])]:
+                    (a, c), (e, g), n, score = m[line[0]], m[line[-1]], len(line), round(score, 4)
+                    out += [(x, y, a, e + k, n, score), (y, x, c, g + k, n, score)]
+            yield frame(out, [key, "partner", "char_start", "char_end", "seeds", "score"])
+
+    names = materialise(records.select("tk", "id").distinct(), "names")
+    first = names.groupBy("tk").agg(F.min("id").alias("x"))
+    s = materialise(records.select("tk", "t").mapInPandas(cut, "h long, tk long, pos int"), "seeds")
+    often = s.groupBy("h").agg(F.min("tk").alias("lo"), F.max("tk").alias("hi")).filter("lo < hi").select("h")
+    met = salted_join(salted_join(s, often, "h").distinct(), first, "tk")
+    other = met.select("h", F.col("tk").alias("tk2"), F.col("x").alias("y"), F.col("pos").alias("pos2"))
+    place = lambda a, c: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(c).cast("long")).alias("at")
+    between = met.join(other, "h").filter("tk < tk2 and x <> y").select("x", "y", place("pos", "pos2"))
+    copies = salted_join(names, first, "tk").filter("id <> x").select("tk", "x", F.col("id").alias("y"))
+    own = s.join(copies.select("tk").distinct(), "tk").select("tk", place("pos", "pos")).distinct()
+    same = copies.join(own, "tk").select("x", "y", "at")
+    kind = df.schema[key].dataType.simpleString()
+    matches = between.unionByName(same).groupBy("x", "y").agg(F.collect_list("at").alias("at"))
+    return matches.mapInPandas(line_up, f"{key} {kind}, partner {kind}, char_start int, char_end int, seeds int, score double")

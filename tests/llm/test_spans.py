@@ -68,3 +68,24 @@ def test_passages(spark):
     df = spark.createDataFrame([("a", t), ("b", t[:90] + "#" + t[90:])], "doc_id string, full_text string")
     got = spans.shared_passages(df, span=40, k=20).filter("doc_id = 'a'").collect()
     assert got and all(r["partner"] == "b" for r in got) and sum(r["seeds"] for r in got) >= 2
+
+
+def test_passages_keep_all_common_seeds_of_every_pair(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    one, two, three = word(60), word(70), word(80)
+    docs = [("b", one + word(30) + two + word(30) + three), ("d", word(15) + one + word(9) + two + word(20) + three)]
+    docs += [(f"x{i}{j}", word(20) + c + word(20)) for i, c in enumerate((one, two, three)) for j in range(3)]
+    docs += [("b2", docs[0][1]), ("b3", docs[0][1]), ("alone", word(99))]
+    df = spark.createDataFrame([*docs, docs[0], (None, one), ("null", None)], "doc_id string, full_text string")
+    rows = spans.shared_passages(df, span=40, k=20).collect()
+    got, text = {}, dict(docs)
+    for q in rows:
+        got[q["doc_id"], q["partner"]] = got.get((q["doc_id"], q["partner"]), 0) + q["seeds"]
+    cut = {d: spans.seeds(t, 40, 20)[4].tolist() for d, t in docs}
+    want = {(a, c): sum(cut[c].count(h) for h in cut[a]) for a in cut for c in cut if text[a] != text[c] and not {a, c} & {"b2", "b3"}}
+    want |= {p: len(cut["b"]) for c in ("b2", "b3") for p in (("b", c), (c, "b"))}
+    assert got == {p: n for p, n in want.items() if n}
+    (whole,) = [q for q in rows if (q["doc_id"], q["partner"]) == ("b", "d")]
+    assert whole["char_end"] - whole["char_start"] > 190 and text["b"][whole["char_start"] : whole["char_end"]].count(two) == 1
+    assert spans.shared_passages(df.limit(0)).count() == 0
