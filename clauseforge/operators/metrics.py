@@ -66,7 +66,7 @@ def metric_table(scores: DataFrame, floats: tuple[str, ...] = FLOATS) -> DataFra
     return wide.filter("value is not null")
 
 
-def bootstrap_native(values: DataFrame, group: list[str], value: str, key: str, n_boot: int = 200, alpha: float = 0.05) -> DataFrame:
+def bootstrap_native(values: DataFrame, group: list[str], value: str, key: str, n_boot: int = 2000, alpha: float = 0.05) -> DataFrame:
     """Mean, interval and count per group by a percentile bootstrap whose draws are hashes of (round, place): no Python, same at any partitioning.
 
     Each round draws as many values as the group has, at places in key order.
@@ -100,9 +100,17 @@ def paired(table: DataFrame, baseline: str, candidate: str) -> DataFrame:
     return a.join(b, ["metric", "qid"]).select("metric", "qid", (F.col("b") - F.col("a")).alias("diff"))
 
 
-def paired_difference(table: DataFrame, baseline: str, candidate: str, n_boot: int = 200) -> DataFrame:
+def paired_difference(table: DataFrame, baseline: str, candidate: str, n_boot: int = 2000) -> DataFrame:
     """Mean difference with its interval per metric; ``significant`` when the interval leaves out 0."""
-    d = bootstrap_native(paired(table, baseline, candidate), ["metric"], "diff", "qid", n_boot)
+    return _significant(bootstrap_native(paired(table, baseline, candidate), ["metric"], "diff", "qid", n_boot))
+
+
+def paired_difference_exact(table: DataFrame, baseline: str, candidate: str, n_boot: int = 2000) -> DataFrame:
+    """The same with numpy's generator."""
+    return _significant(bootstrap_exact(paired(table, baseline, candidate), ["metric"], "diff", "qid", n_boot))
+
+
+def _significant(d: DataFrame) -> DataFrame:
     return d.withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 

@@ -327,6 +327,12 @@ def met_bootstrap_exact(s: SparkSession, d: str) -> DataFrame:
     return metrics.bootstrap_exact(metrics.metric_table(_scored(s, d)), ["config_id", "metric"], "value", "qid")
 
 
+@query()
+def met_paired_difference_exact(s: SparkSession, d: str) -> DataFrame:
+    """Paired differences of 2000 rounds with numpy's generator."""
+    return metrics.paired_difference_exact(materialise(metrics.metric_table(_scored(s, d)), "metrics"), "bm25", "rerank")
+
+
 _DECL = r"(does|do|did) not (explicitly |expressly |specifically )?(contain|specify|mention|include|state|provide|address|define|set out)"
 
 

@@ -1,3 +1,6 @@
+import hashlib
+
+import numpy as np
 import pytest
 
 from clauseforge.operators import labels, metrics
@@ -63,3 +66,17 @@ def test_labels(spark):
     assert held_ == {("fixed", "d::0"), ("section", None)}
     rep = {r["strategy"]: r for r in labels.alignment_report(q, a, labels.relevant_chunks(a, c)).collect()}
     assert rep["section"]["uncovered_spans"] == 1 and rep["fixed"]["unaligned_spans"] == 2 and rep["fixed"]["ambiguous_spans"] == 1
+
+
+def test_paired_differences_take_2000_rounds(spark):
+    diffs = {f"q{i:02d}": ((i * 7) % 11 - 4) / 10 for i in range(23)}
+    rows = [(c, q, "mrr", v if c == "new" else 0.0) for q, v in diffs.items() for c in ("old", "new")]
+    t = spark.createDataFrame([*rows, ("old", "only", "mrr", 1.0)], "config_id string, qid string, metric string, value double")
+    x = np.array([diffs[q] for q in sorted(diffs)])
+    exact = np.random.default_rng(0).choice(x, size=(2000, len(x)), replace=True).mean(axis=1)
+    hashed = [np.mean([x[int(hashlib.md5(f"{r}~{i}".encode()).hexdigest()[:8], 16) % len(x)] for i in range(len(x))]) for r in range(1, 2001)]
+    for found, means in ((metrics.paired_difference_exact(t, "old", "new"), exact), (metrics.paired_difference(t, "old", "new"), hashed)):
+        r = found.first()
+        low, high = np.quantile(means, [0.025, 0.975])
+        assert (r["metric"], r["n"]) == ("mrr", 23) and r["mean"] == pytest.approx(x.mean())
+        assert (r["ci_low"], r["ci_high"]) == (pytest.approx(low), pytest.approx(high)) and r["significant"] == (low > 0 or high < 0)
