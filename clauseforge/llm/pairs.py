@@ -75,8 +75,6 @@ TURNS = {
     "fr": r"\b(?:cependant|mais|toutefois|néanmoins|pourtant|or)\b",
     "es": r"\b(?:sin embargo|pero|no obstante|aunque|con todo)\b",
 }
-#: A response longer than this many questions isn't only the question given back.
-COPIES = 3
 CITATION = re.compile(r"\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]")
 _REFUSAL = re.compile("|".join(f"(?:{p})" for ps in REFUSALS.values() for p in ps), re.IGNORECASE)
 _TURN = re.compile("|".join(TURNS.values()), re.IGNORECASE)
@@ -163,13 +161,16 @@ def _uncovered(auto: SuffixAutomaton, s: str, least: int) -> tuple[int, list[tup
 def copies_question(question: str, answer: str, auto: SuffixAutomaton | None = None) -> bool:
     """Whether the folded ``answer`` (without citations) only gives the folded ``question`` back.
 
-    Matches of 8 characters and more must cover all of the answer but labels,
-    and at least 60 % of the question's length.
+    Matches of 8 characters and more (of the whole question where it is shorter)
+    must cover all of the answer but labels, and at least 60 % of the question's length.
     """
     q, a = _letters(question), _letters(answer)
-    if len(q) < 8 or not 0.6 * len(q) <= len(a) <= COPIES * len(q) + 60:
+    if not q or len(a) < 0.6 * len(q):
         return False
-    covered, left = _uncovered(auto or SuffixAutomaton(q), a, 8)
+    least = min(8, len(q))
+    if not any(q[i : i + least] in a for i in range(len(q) - least + 1)):  # no match of that length
+        return False
+    covered, left = _uncovered(auto or SuffixAutomaton(q), a, least)
     if covered < 0.6 * len(q):
         return False
     if not left:
@@ -177,6 +178,8 @@ def copies_question(question: str, answer: str, auto: SuffixAutomaton | None = N
     rest = {a[x:y] for x, y in left}
     labels = {_letters(x) for x in re.split(r"[:\n\"“”„«»]", answer)}
     words = [w for x in labels for w in [x] if x and x not in q]
+    if len(q) < 8:  # a figure is an answer to it
+        return rest <= LABELS
     if all(r in LABELS or len(r) <= 2 for r in rest):
         return True
     return all(all(w in LABELS for w in WORD.findall(part)) for part in re.split(r"[:\n]", answer) if _letters(part) and _letters(part) not in q) and bool(words)
@@ -237,7 +240,7 @@ def defects(question: str | None, answer: str | None, auto_of: dict[str, SuffixA
     q, a = visual_form(question or "", True, False), visual_form(stripped, True, False)
     out = []
     auto = None
-    if auto_of is not None and q and len(_letters(a)) <= COPIES * len(_letters(q)) + 60:
+    if auto_of is not None and q:
         auto = auto_of.get(q)
         if auto is None:
             auto = auto_of[q] = SuffixAutomaton(_letters(q))

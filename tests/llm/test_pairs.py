@@ -38,3 +38,11 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "request_id string, question string, answer string, defect string")
     assert sorted(map(tuple, P.defective_pairs(df).collect())) == [("r1", "empty"), ("r3", "other_language"), ("r3", "refusal")]
     assert P.defective_pairs(df.limit(0)).count() == 0
+
+
+def test_copies_of_any_number_and_of_short_questions():
+    for n in (1, 4, 9, 40):
+        assert P.defects(Q, " ".join([Q] * n)) == ["copied_question"] == P.defects(Q, " ".join([Q] * n), {})
+        assert P.defects(Q, " ".join([Q] * n + [GOOD])) == [] == P.defects(Q, " ".join([Q] * n + [GOOD]), {})
+    assert P.defects("Fee?", "Fee?") == P.defects("Fee?", '"FEE" - fee, fee. [1]') == P.defects("Fee?", "Fee? " * 30, {}) == ["copied_question"]
+    assert P.defects("Fee?", "The fee is 9 euros [1].") == [] == P.defects("Fee?", "Coffee [1].") == P.defects("Fee?", "Fee: 9.")
