@@ -30,6 +30,8 @@ from ..session import frame, materialise, salted_join
 #: Characters of a shared run, of a seed (half a run: shorter ones stand in many records that share no run); cost of a
 #: character skipped in a chain, in seed characters.
 SPAN, SEED, GAP_COST = 300, 150, 0.02
+#: Characters of a seed of a passage, which may differ between its seeds.
+PASSAGE_SEED = 60
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -251,10 +253,13 @@ def shared_share(spans: DataFrame, df: DataFrame, key: str = "doc_id", text: str
     return got.withColumn("shared_share", F.round(F.col("shared_chars") / F.nullif(F.col("n_chars"), F.lit(0)), 6))
 
 
-def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "full_text", span: int = SPAN, k: int = SEED) -> DataFrame:
+def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "full_text", span: int = SPAN, k: int = PASSAGE_SEED) -> DataFrame:
     """Chains of common seeds of every two records: ``key, partner, char_start, char_end, seeds, score``, one row for either side.
 
-    A passage may differ between its seeds (a fuzzy passage). Every pair of
+    A passage may differ between its seeds (a fuzzy passage). It is sure to be
+    found if it has a run of ``span`` equal characters, and found by chance (the
+    more equal runs of ``k`` or more it has, the likelier) if it has shorter ones;
+    without ``k`` equal characters in a row it isn't found. Every pair of
     different texts keeps all its common seeds, so rows grow with the number of
     such pairs. Of records with one text, the first by key stands for all: it has
     the pairs with other texts, and each copy one row with it (and it with the

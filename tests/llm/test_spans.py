@@ -89,3 +89,11 @@ def test_passages_keep_all_common_seeds_of_every_pair(spark):
     (whole,) = [q for q in rows if (q["doc_id"], q["partner"]) == ("b", "d")]
     assert whole["char_end"] - whole["char_start"] > 190 and text["b"][whole["char_start"] : whole["char_end"]].count(two) == 1
     assert spans.shared_passages(df.limit(0)).count() == 0
+
+
+def test_passages_that_differ_every_hundred_letters(spark):
+    r = random.Random(8)
+    t = "".join(r.choice("abcdefghij") for _ in range(2000))
+    other = "".join("#" if i % 100 == 50 else c for i, c in enumerate(t))
+    df = spark.createDataFrame([("a", t), ("b", other)], "doc_id string, full_text string")
+    assert {(q["doc_id"], q["partner"]) for q in spans.shared_passages(df).collect()} == {("a", "b"), ("b", "a")}
