@@ -38,12 +38,14 @@ SCRIPTS = {
     "zh": ("㐀", "鿿"),
 }
 _SCRIPT = {k: re.compile(f"[{a}-{b}]") for k, (a, b) in SCRIPTS.items()}
+#: Any letter of a deciding script.
+_ANY = re.compile("[" + "".join(f"{a}-{b}" for a, b in SCRIPTS.values()) + "]")
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 
 
 def script_counts(text: str) -> dict[str, int]:
     """Letters by deciding script; ``latin`` for the rest. Kana make the Han letters Japanese."""
-    if text.isascii():
+    if text.isascii() or not _ANY.search(text):
         return {"latin": len(LATIN.findall(text))}
     n = {k: len(r.findall(text)) for k, r in _SCRIPT.items()}
     n["latin"] = len(LATIN.findall(text))
@@ -67,15 +69,14 @@ def language(text: str, least: float = 1.0, folded: str | None = None) -> str |
     Letters of scripts that write a word in one or two count threefold against
     Latin. ``folded`` is the text to vote on, where look-alike letters are Latin.
     """
-    n = script_counts(text)
-    best = max(n, key=n.get)
-    others = {k: v for k, v in n.items() if k != "latin"}
-    if others:
-        top = max(others, key=others.get)
+    if not text.isascii() and _ANY.search(text):
+        n = script_counts(text)
+        latin = n.pop("latin")
+        top = max(n, key=n.get)
         weight = 3 if top in ("zh", "ja") else 1
-        if others[top] * weight > n["latin"]:
+        if n[top] * weight > latin:
             return top
-    if n[best] == 0:
+    elif not LATIN.search(text):
         return None
     v = votes(WORD.findall((text if folded is None else folded).lower()))
     first, second = sorted(v.values(), reverse=True)[:2]

@@ -4,8 +4,9 @@
   punctuation, citation markers and bare labels.
 * ``copied_question``: the response is traversed over the suffix automaton of
   its prompt; what the matches don't cover is no more than a label.
-* ``refusal``: an automaton of refusal phrases (one alternation per language)
-  matches, and no clause gives an answer all the same.
+* ``refusal``: the refusal automaton of the response's language (of every
+  language, where that can't be told) matches, and no clause gives an answer
+  all the same.
 * ``truncated``: a delimiter stack is left open, or the end is neither a
   complete sentence nor a complete citation.
 * ``other_language``: stop-word votes of prompt and response differ.
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from ..session import frame
 from .languages import WORD, language, votes
+from .refusals import REFUSALS, UNSPACED, first, refusal_automaton, turn_automaton
 from .sentences import GOVERNING
-from .visual import strip_invisible, visual_form
+from .visual import SPACES, strip_invisible, visual_form
 
 # Labels that are no answer by themselves, folded.
 LABELS = frozenset(
@@ -34,52 +36,13 @@ LABELS = frozenset(
     "réponse résultat question votre vous demandez avez demandé résumé la le q r "
     "respuesta resultado pregunta su usted preguntó preguntaba resumen nota ha preguntado".split()
 )
-# Words that show that something was declined or not found, by language; matched on folded text.
-REFUSALS = {
-    "en": [
-        r"\b(?:can ?not|can't|could not|couldn't|unable to|not able to|am not in a position to|not possible to|impossible to) "
-        r"(?:\w+ ){0,3}?(?:answer|determine|establish|find|help|provide|give|say|tell|locate|comment|advise|confirm|identify|assist|see|conclude|respond|comply|share|offer|state)",
-        r"\b(?:decline|refuse)d? to (?:answer|comment|respond|say)\b.{0,4}(?:$|[;.,:])",
-        r"\bmust decline\b|\bhave to decline\b|\bI(?:'d| would) rather not\b|\bwould prefer not to\b|\bnot (?:going|willing|allowed|permitted) to (?:answer|comment|give|say)",
-        r"\bno answer\b|\bnot enough information\b|\binsufficient (?:information|data|detail)|\bnot stated\b|\bnot (?:covered|mentioned|addressed|specified|contained|included|disclosed|given|found|available|clear|provided|answered|dealt with|regulated|settled|set out)\b",
-        r"\b(?:say|says|contain|contains|give|gives|offer|offers|provide|provides|mention|mentions|reveal|reveals|state|states|hold|holds|include|includes) (?:nothing|no (?:information|details?|answer|indication|mention|clue|guidance|rule|clause|such))",
-        r"\b(?:is|are|remains?|stays?) (?:silent|unclear|open)\b|\bno (?:mention|information|details?|indication|clause|passage|provision|section|excerpt|source|text)s?\b.{0,60}\b(?:settles?|addresses|covers?|speaks?|deals?|mentions?|given|found|about|on|of|regarding|here|states?|answers?|says?|regulates?|tells?)\b",
-        r"\bnone of the\b.{0,50}\b(?:address|cover|mention|speak|deal|state|say|settle|answer|tell)",
-        r"\bnothing\b.{0,50}\b(?:address|cover|mention|speak|deal|state|say|settle|answer|about|on|tell)",
-        r"\bdo(?:es)? not (?:mention|say|state|cover|address|contain|tell|specify|answer|settle|deal|speak|give|provide|allow|let|reveal|include|indicate|show|disclose|make clear)",
-        r"\bdoesn't (?:mention|say|state|cover|address|contain|tell|specify|answer)|\bdon't (?:mention|say|know|have|see|find|cover|contain)|\bdo not (?:know|have|see|find)",
-        r"\bwill not guess\b|\bhave to leave this open\b|\bspeak to your lawyer\b|\bask a lawyer\b|\bnot give (?:legal )?advice\b|\bI have no\b",
-    ],
-    "de": [
-        r"\b(?:kann|können|konnte|konnten|darf|dürfen|möchte|will|werde)\b.{0,70}\b(?:nicht|keine?[nrms]?|nichts)\b.{0,70}\b(?:beantwort|antwort|auskunft|sagen|finden|feststell|ermitt|angaben|geben|helfen|äußern|bestimm|mitteil|entnehm|nennen|klären|beurteil|ersehen)\w*",
-        r"\b(?:leider|bedauere|bedaure)\b.{0,60}\b(?:nicht|keine?[nrms]?|nichts)\b|\btut mir leid\b|\bmuss ich (?:ablehnen|passen)\b|\blehne\b.{0,30}\bab\b",
-        r"\b(?:steht|sagt|sagen|enthält|enthalten|findet sich|finde|finden sich|geben|gibt|nennt|nennen|liefern|liefert|lässt sich|lassen sich|regelt|regeln|klärt|klären|behandelt|behandeln|erwähnt|erwähnen|äußert sich|äußern sich|beantwortet|ist|sind|geht|ergibt sich)\b.{0,60}\b(?:nichts|nicht (?:ersichtlich|erkennbar|enthalten|genannt|geregelt|erwähnt|angegeben|beantworten|ermitteln|entnehmen|feststellen|bestimmen|klären|hervor|behandelt|beantwortet|zu \w+)|keine?[rnms]? (?:angaben?|auskunft|hinweise?|regelung|aussagen?|antwort|informationen?|stelle|klausel|passage))",
-        r"\bkeine? (?:antwort|angaben?|auskunft|informationen?|aussage|stelle|passage|abschnitt|der stellen|der passagen|textstelle|klausel|der auszüge|der quellen|hinweise?)\b|\bkeiner der\b|\bkeines der\b|\bnicht ersichtlich\b|\boffen bleibt\b|\bbleibt offen\b|\bbleibt unklar\b|\bunklar bleibt\b|\bdaher gebe ich keine\b|\bnichts (?:über|zu|zur|zum)\b|\bnicht genug\b|\bzu wenig\b|\breich(?:t|en)\b.{0,40}\bnicht aus\b",
-        r"\bnicht (?:beantworten|möglich|sagen|helfen|angegeben|geregelt|erwähnt|genannt|entnehmen)\b|\bfragen sie (?:bitte )?einen anwalt\b",
-    ],
-    "fr": [
-        r"\b(?:ne|n')\s?.{0,40}\b(?:peux|peut|pouvons|puis|permet|permettent|saurais|trouve|trouvons|dit|disent|contient|contiennent|donne|donnent|mentionne|mentionnent|précise|précisent|traite|traitent|aborde|abordent|répond|répondent|figure|ressort|règle|évoque|évoquent|suffit|suffisent|suis|dispose|indique|indiquent|parle|parlent|est|sont|souhaite|éclaire|éclairent|couvre|couvrent)\b.{0,50}\b(?:pas|rien|aucune?|point|donc)\b",
-        r"\b(?:rien|aucune?)\b.{0,60}\b(?:ne|n')",
-        r"\b(?:impossible)\b.{0,40}\b(?:répondre|renseigner|dire|déterminer|établir|conclure|donner|trouver|savoir|préciser)|\b(?:m'est|il est) impossible\b|\bregrette\b|\bdésolée?\b|\bpas assez d'\w+|\binformations? insuffisantes?\b|\breste (?:ouverte?|incertaine?|floue?|obscure?)\b|\bsans réponse\b|\bsilencieux\b|\bmuets? sur\b|\brefuse de\b|\bne trouve rien\b|\bje dois (?:décliner|refuser)\b|\bne traite\b|\bpréfère ne pas\b",
-        r"\bne\b.{0,12}\baucune (?:information|réponse|précision|indication)",
-    ],
-    "es": [
-        r"\bno\b.{0,30}\b(?:puedo|puede|podemos|es posible|me es posible|encuentro|encontré|encuentra|consta|constan|dice|dicen|contiene|contienen|aparece|aparecen|menciona|mencionan|aclara|aclaran|indica|indican|figura|figuran|hay|tengo|dispongo|permite|permiten|se (?:indica|menciona|dice|puede|aclara|especifica|desprende|encuentra|trata)|trata|tratan|responde|responden|especifica|especifican|ofrece|ofrecen|da|dan|resuelve|basta|bastan|quiero|deseo|sé|he podido|he encontrado|logro|existe|existen|queda claro|está claro|habla|hablan)\b",
-        r"\blo siento\b|\blamento\b|\blamentablemente\b|\bdesconozco\b|\bimposible\b.{0,40}\b(?:responder|decir|determinar|saber|contestar)|\bning(?:ún|una|uno)\b.{0,60}\b(?:trata|dice|aclara|menciona|responde|aborda|habla|regula|resuelve|contiene|explica)|\bqueda(?:n)? (?:abiert|sin)|\bsin respuesta\b|\bnada (?:sobre|dice|se dice|aclara|permite|en)\b|\bdatos suficientes\b|\bdebo (?:declinar|rechazar)\b|\bguarda(?:n)? silencio\b|\bprefiero no\b",
-    ],
-}
-# Words after which an answer is given all the same.
-TURNS = {
-    "en": r"\b(?:however|but|nevertheless|nonetheless|still,|yet|that said|although|though)\b",
-    "de": r"\b(?:jedoch|aber|allerdings|dennoch|doch|gleichwohl|trotzdem)\b",
-    "fr": r"\b(?:cependant|mais|toutefois|néanmoins|pourtant|or)\b",
-    "es": r"\b(?:sin embargo|pero|no obstante|aunque|con todo)\b",
-}
 CITATION = re.compile(r"\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]")
-_REFUSAL = re.compile("|".join(f"(?:{p})" for ps in REFUSALS.values() for p in ps), re.IGNORECASE)
-_TURN = re.compile("|".join(TURNS.values()), re.IGNORECASE)
 _ALNUM = re.compile(r"[\W_]+")
 _OPENERS, _CLOSERS = {"(": ")", "[": "]", "{": "}", "«": "»", "„": "“", "「": "」"}, {")", "]", "}", "»", "」"}
+_LAST_CITATION = re.compile(r"\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]$")
+#: White space and marks of emphasis, with which an answer may end.
+_MARKUP = "".join(sorted(SPACES)) + "*_`"
+_TRAIL = _MARKUP + "."
 _DONE = re.compile(r"[.!?。！？।؟](?:\s?[\"”“’'»」)\]*_`])*$")
 _DOTS = re.compile(r"(?:\.\s?\.\s?\.?|…)(?:[\"”’»)\]*_`]|\s)*$")
 _ABBREVIATION = re.compile(r"(?:^|[\s(])(" + "|".join(re.escape(w) for k in ("en", "de", "fr", "es") for w in sorted(GOVERNING[k].split(), key=len, reverse=True)) + r")\.$")
@@ -158,31 +121,55 @@ def _uncovered(auto: SuffixAutomaton, s: str, least: int) -> tuple[int, list[tup
     return sum(b - a for a, b in spans), left
 
 
-def copies_question(question: str, answer: str, auto: SuffixAutomaton | None = None) -> bool:
-    """Whether the folded ``answer`` (without citations) only gives the folded ``question`` back.
+class Prompt:
+    """A question with what its answers are compared with; the automaton is built when an answer needs it."""
+
+    def __init__(self, question: str) -> None:
+        self.folded = visual_form(question, True, False).replace("’", "'")
+        self.letters = _letters(self.folded)
+        self.language = language(question, folded=self.folded)
+        self.least = min(8, len(self.letters))
+        self.grams = {self.letters[i : i + self.least] for i in range(len(self.letters) - self.least + 1)} if self.letters else set()
+        self._auto: SuffixAutomaton | None = None
+
+    @property
+    def automaton(self) -> SuffixAutomaton:
+        if self._auto is None:
+            self._auto = SuffixAutomaton(self.letters)
+        return self._auto
+
+    def reach(self, s: str) -> int:
+        """At least as many characters as matches of ``least`` and more can cover in ``s``."""
+        n, last = 0, -self.least
+        for i in range(len(s) - self.least + 1):
+            if s[i : i + self.least] in self.grams:
+                n += min(self.least, i - last)
+                last = i
+        return n
+
+
+def copies_question(prompt: Prompt, answer: str) -> bool:
+    """Whether the folded ``answer`` (without citations) only gives the question back.
 
     Matches of 8 characters and more (of the whole question where it is shorter)
-    must cover all of the answer but labels, and at least 60 % of the question's length.
+    must cover all of the answer but labels, and at least 60 % of the question's
+    length. The automaton is traversed only where the common 8-grams could cover that much.
     """
-    q, a = _letters(question), _letters(answer)
-    if not q or len(a) < 0.6 * len(q):
+    q, a = prompt.letters, _letters(answer)
+    if not q or len(a) < 0.6 * len(q) or prompt.reach(a) < 0.6 * len(q):
         return False
-    least = min(8, len(q))
-    if not any(q[i : i + least] in a for i in range(len(q) - least + 1)):  # no match of that length
-        return False
-    covered, left = _uncovered(auto or SuffixAutomaton(q), a, least)
+    covered, left = _uncovered(prompt.automaton, a, prompt.least)
     if covered < 0.6 * len(q):
         return False
     if not left:
         return True
     rest = {a[x:y] for x, y in left}
-    labels = {_letters(x) for x in re.split(r"[:\n\"“”„«»]", answer)}
-    words = [w for x in labels for w in [x] if x and x not in q]
     if len(q) < 8:  # a figure is an answer to it
         return rest <= LABELS
     if all(r in LABELS or len(r) <= 2 for r in rest):
         return True
-    return all(all(w in LABELS for w in WORD.findall(part)) for part in re.split(r"[:\n]", answer) if _letters(part) and _letters(part) not in q) and bool(words)
+    foreign = any(x not in q for x in map(_letters, re.split(r"[:\n\"“”„«»]", answer)) if x)
+    return foreign and all(all(w in LABELS for w in WORD.findall(part)) for part in re.split(r"[:\n]", answer) if _letters(part) and _letters(part) not in q)
 
 
 def _open_delimiter(text: str) -> bool:
@@ -204,10 +191,11 @@ def breaks_off(answer: str) -> bool:
     if _open_delimiter(t) or _DOTS.search(t):
         return True
     cited = False
-    while m := re.search(r"\s*\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\][\s.*_`]*$", t):
-        t, cited = t[: m.start()].rstrip(), True
-    t = re.sub(r"[\s*_`]+$", "", t)
-    t = re.sub(r"[.!?]\s*\([^()]*\)$", ".", t)
+    while (end := t.rstrip(_TRAIL)).endswith("]") and (m := _LAST_CITATION.match(end, end.rfind("["))):
+        t, cited = end[: m.start()].rstrip(), True
+    t = t.rstrip(_MARKUP)
+    if t.endswith(")"):
+        t = re.sub(r"[.!?]\s*\([^()]*\)$", ".", t)
     if not t:
         return False
     if _DONE.search(t):
@@ -218,41 +206,57 @@ def breaks_off(answer: str) -> bool:
     return t[-1] in ",;:(-–—/" or (bool(last) and t.endswith(last[-1]) and last[-1].lower() in _DANGLING)
 
 
-def refuses(folded: str) -> bool:
-    """Whether the folded answer (citations removed) declines or says that nothing is said, and gives no answer."""
-    m = _REFUSAL.search(folded)
+_LANGUAGES = tuple(REFUSALS)
+_FIGURES = re.compile(
+    r"[$€%]|\d{2,}[.,]\d{3}|\b\d+ (?:days?|weeks?|months?|tage?n?|wochen|monate?n?|jours|mois|semaines|días|semanas|meses|euros?)\b"
+)
+
+
+def refuses(folded: str, lang: str | None = None) -> bool:
+    """Whether the folded answer (citations removed) declines or says that nothing is said, and gives no answer.
+
+    ``lang`` chooses the automaton; without it, every language's is asked.
+    """
+    langs = (lang,) if lang in REFUSALS else _LANGUAGES
+    m = first(refusal_automaton, langs, folded)
     if not m:
         return False
-    rest = folded[m.end() :]
-    turn = _TURN.search(rest)
-    if turn and (re.search(r"\d", rest[turn.end() :]) or len(WORD.findall(rest[turn.end() :])) > 3 and not _REFUSAL.search(rest[turn.end() :])):
-        return False
+    start, end = m
+    rest = folded[end:]
+    turn = first(turn_automaton, langs, rest)
+    if turn:
+        after = rest[turn[1] :]
+        told = len(after) > 8 if lang in UNSPACED else len(WORD.findall(after)) > 3
+        if re.search(r"\d", after) or told and not first(refusal_automaton, langs, after):
+            return False
     # An answer that gives figures elsewhere isn't a refusal; figures of the place asked about may stand.
-    outside = folded[: m.start()] + " " + rest
-    return not re.search(r"[$€%]|\d{2,}[.,]\d{3}|\b\d+ (?:days?|weeks?|months?|tage?n?|wochen|monate?n?|jours|mois|semaines|días|semanas|meses|euros?)\b", outside)
+    return not _FIGURES.search(folded[:start] + " " + rest)
 
 
-def defects(question: str | None, answer: str | None, auto_of: dict[str, SuffixAutomaton] | None = None) -> list[str]:
-    """Defects of one pair, in a fixed order; a null or blank question has no language and can't be copied."""
+def defects(question: str | None, answer: str | None, known: dict[str | None, Prompt] | None = None) -> list[str]:
+    """Defects of one pair, in a fixed order; a null or blank question has no language and can't be copied.
+
+    ``known`` keeps what was worked out for a question (its form, letters, language and automaton) for the next pair.
+    """
     stripped = CITATION.sub(" ", strip_invisible(answer or ""))
-    if not _letters(stripped) or all(w in LABELS for w in WORD.findall(visual_form(stripped, True, False))) and not re.search(r"\d", stripped):
+    a = visual_form(stripped, True, False).replace("’", "'")
+    if not _letters(stripped) or all(w in LABELS for w in WORD.findall(a)) and not re.search(r"\d", a):
         return ["empty"]
-    q, a = visual_form(question or "", True, False), visual_form(stripped, True, False)
+    prompt = (known or {}).get(question)
+    if prompt is None:
+        prompt = Prompt(question or "")
+        if known is not None:
+            known[question] = prompt
     out = []
-    auto = None
-    if auto_of is not None and q:
-        auto = auto_of.get(q)
-        if auto is None:
-            auto = auto_of[q] = SuffixAutomaton(_letters(q))
-    if q and copies_question(q, a, auto):
+    if copies_question(prompt, a):
         return ["copied_question"]
     if breaks_off(answer or ""):
         out.append("truncated")
-    if refuses(a):
-        out.append("refusal")
-    lq = language(question or "", folded=q)
     body = re.sub(r"\([^()]*\)", " ", a)
     la = language(stripped, 0.5, folded=body)
+    if refuses(a, la):
+        out.append("refusal")
+    lq = prompt.language
     if lq and la and la != lq:
         v = votes(WORD.findall(body))
         if la not in v or v[la] > v.get(lq, 0) + 0.5 or v.get(lq, 0) == 0:
@@ -261,12 +265,21 @@ def defects(question: str | None, answer: str | None, auto_of: dict[str, SuffixA
 
 
 def defective_pairs(df: DataFrame, key: str = "request_id", question: str = "question", answer: str = "answer") -> DataFrame:
-    """``key, defect``: one row per defect of a pair; repeated rows count once, only three columns are read."""
+    """``key, defect``: one row per defect of a pair; repeated rows count once, only three columns are read.
+
+    Each distinct pair of an Arrow batch is judged once, and each distinct question worked out once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            autos: dict[str, SuffixAutomaton] = {}
-            yield frame([(k, d) for k, q, a in zip(b["k"], b["q"], b["a"]) for d in defects(q, a, autos)], ["k", "defect"])
+            known: dict[str | None, Prompt] = {}
+            judged: dict[tuple, list[str]] = {}
+            out = []
+            for k, q, a in zip(b["k"], b["q"], b["a"]):
+                if (q, a) not in judged:
+                    judged[q, a] = defects(q, a, known)
+                out += [(k, d) for d in judged[q, a]]
+            yield frame(out, ["k", "defect"])
 
     kind = df.schema[key].dataType.simpleString()
     src = df.select(F.col(key).alias("k"), F.col(question).alias("q"), F.col(answer).alias("a"))

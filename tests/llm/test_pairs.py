@@ -46,3 +46,37 @@ def test_copies_of_any_number_and_of_short_questions():
         assert P.defects(Q, " ".join([Q] * n + [GOOD])) == [] == P.defects(Q, " ".join([Q] * n + [GOOD]), {})
     assert P.defects("Fee?", "Fee?") == P.defects("Fee?", '"FEE" - fee, fee. [1]') == P.defects("Fee?", "Fee? " * 30, {}) == ["copied_question"]
     assert P.defects("Fee?", "The fee is 9 euros [1].") == [] == P.defects("Fee?", "Coffee [1].") == P.defects("Fee?", "Fee: 9.")
+
+
+FOREIGN = [
+    ("Какой закон применяется к договору?", "Я не могу ответить на этот вопрос.", "Применяется право города Ольм. [1]"),
+    ("适用哪国法律？", "抱歉，我无法回答这个问题。", "本合同适用瓦兰法律。[1]"),
+    ("準拠法は何ですか。", "この質問にはお答えできません。", "契約はオルム法に従います。[1]"),
+    ("कौन सा कानून लागू होता है?", "इस प्रश्न का उत्तर नहीं दिया जा सकता।", "अनुबंध पर ओल्म का कानून लागू होता है। [1]"),
+    ("ما القانون الواجب التطبيق؟", "لا يمكنني الإجابة على هذا السؤال.", "يخضع العقد لقانون أولم. [1]"),
+    ("ใช้กฎหมายใด", "ไม่สามารถตอบคำถามนี้ได้", "สัญญานี้อยู่ภายใต้กฎหมายโอล์ม"),
+]
+
+
+@pytest.mark.parametrize(("question", "refusal", "answer"), FOREIGN)
+def test_refusals_of_other_scripts(question, refusal, answer):
+    assert "refusal" in P.defects(question, refusal) and "refusal" not in P.defects(question, answer)
+
+
+def test_refusal_automaton_agrees_with_trying_every_place():
+    import itertools
+
+    from clauseforge.llm.refusals import PhraseAutomaton
+
+    auto = PhraseAutomaton(["ab|b ~3 c*", "a ~1w d", "e $"])
+    for s in map("".join, itertools.product("ab c", repeat=5)):
+        heads = [(i, i + n) for n in (1, 2) for i in range(len(s)) if s[i : i + n] in ("ab", "b") and not (i and s[i - 1].isalnum()) and not s[i + n : i + n + 1].isalnum()]
+        tails = [i for i in range(len(s)) if s[i] == "c" and not (i and s[i - 1].isalnum())]
+        assert bool(auto.find(s)) == any(0 <= t - b <= 3 for _, b in heads for t in tails), s
+    assert auto.find("a big d") == (0, 7) and auto.find("a, d") is None and auto.find("a b b d") is None
+    assert auto.find("e.") == (0, 1) and auto.find("e and more of it") is None and auto.find("he.") is None
+
+
+def test_a_pair_is_judged_once_however_often_it_stands(spark):
+    df = spark.createDataFrame([(f"r{i}", Q, "I cannot determine the audit right.") for i in range(300)], "request_id string, question string, answer string")
+    assert P.defective_pairs(df).count() == 300
