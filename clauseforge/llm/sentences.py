@@ -4,7 +4,8 @@ Candidates (a run of terminators with its closing marks, or a gap in a script
 that parts sentences by white space) are decided by ordered pairs of regular
 expressions, one for the text before and one for the text after. Tables are
 asked in the order of ``CASCADE``; the first rule whose two sides match decides,
-and the last table always decides. Quotations and brackets that stay open over
+and the last table always decides. The abbreviations and rules of a language are
+asked only in texts of that language, by script or stop-word votes. Quotations and brackets that stay open over
 a candidate are handled before the tables: nothing inside them ends a sentence.
 
 Rules run on a folded copy of the text (invisible characters dropped,
@@ -15,7 +16,7 @@ back, so disturbed characters neither make nor hide a boundary.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,9 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .languages import SCRIPTS, WORD, language, votes
 from .visual import HYPHENS, INVISIBLE, LOOKALIKES, SPACES
 
-#: Characters before and after a candidate that rules may look at.
+#: Characters before a candidate's run of marks and after the white space behind it that rules may look at; no rule needs more.
 BEFORE, AFTER = 32, 24
 
 
@@ -146,16 +148,23 @@ for _lang, _words in GOVERNING.items():
     _alt = "|".join(regex.escape(w).replace(r"\.", r"\.\s?") for w in _list)
     _TABLES.setdefault(_lang, []).append(Rule(False, rf"(?:^|[^{_L}\p{{N}}])(?:{_alt})\.", r"\s*[\p{L}\p{N}(\"“„«§$€№]"))
 
-#: Tables in the order they are asked: scripts first, then languages (texts mix them), then what holds for all.
+#: Tables in the order they are asked: scripts first, then languages, then what holds for all. A language's table is asked
+#: only in texts that are, or partly are, in that language (``_spoken``).
 CASCADE = ("cjk", "hi", "ar", "th", "de", "ru", "en", "fr", "es", "numbers", "initials", "general")
 
 
 #: Tables whose rules need a letter of their own script before the gap.
 SCRIPT_TABLES = frozenset({"cjk", "hi", "ar", "th"})
+#: Tables of one language each.
+LANGUAGE_TABLES = frozenset({"de", "ru", "en", "fr", "es"})
 
 
-def _compiled(tables: Iterable[str]) -> list[tuple[bool, regex.Pattern | None, regex.Pattern | None]]:
-    return [(r.ends, regex.compile(f"(?:{r.before})$") if r.before else None, regex.compile(r.after) if r.after else None) for t in tables for r in _TABLES[t]]
+def _compiled(tables: Iterable[str]) -> list[tuple[bool, regex.Pattern | None, regex.Pattern | None, str | None]]:
+    return [
+        (r.ends, regex.compile(f"(?:{r.before})$") if r.before else None, regex.compile(r.after) if r.after else None, t if t in LANGUAGE_TABLES else None)
+        for t in tables
+        for r in _TABLES[t]
+    ]
 
 
 _RULES = _compiled(CASCADE)
@@ -191,13 +200,27 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _ends_here(text: str, gap: int) -> bool:
-    before, after = text[max(0, gap - BEFORE) : gap], text[gap : gap + AFTER]
-    alphabetic = ("".join(c for c in before[-6:] if c.isalnum()) or "a")[-1] < "԰"
+def _spoken(text: str, folded: str) -> frozenset[str]:
+    """Languages whose tables a text asks: that of its script, or those with at least half of the most stop-word votes; all, where nothing tells."""
+    lang = language(text, folded=folded)
+    if lang in SCRIPTS:
+        return frozenset({lang})
+    v = votes(WORD.findall(folded.lower()))
+    most = max(v.values())
+    return frozenset(k for k, n in v.items() if n >= most / 2) if most else LANGUAGE_TABLES
+
+
+def _ends_here(text: str, at: int, gap: int, spoken: Callable[[], frozenset[str]]) -> bool:
+    """Whether the candidate ``text[at:gap]`` ends a sentence: the first rule that matches decides."""
+    space = gap
+    while space < len(text) and text[space].isspace():
+        space += 1
+    before, after = text[max(0, at - BEFORE) : gap], text[gap : space + AFTER]
+    alphabetic = ("".join(c for c in text[max(0, at - 6) : gap] if c.isalnum()) or "a")[-1] < "԰"
     if alphabetic and _GOES_ON.match(after):
         return False
-    for ends, b, a in _RULES_ALPHABETIC if alphabetic and not _WIDE_STOP.search(before) else _RULES:
-        if (a is None or a.match(after)) and (b is None or b.search(before)):
+    for ends, b, a, lang in _RULES_ALPHABETIC if alphabetic and not _WIDE_STOP.search(before) else _RULES:
+        if (a is None or a.match(after)) and (b is None or b.search(before)) and (lang is None or lang in spoken()):
             return ends
     return False
 
@@ -213,6 +236,12 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     t, places = fold(text)
     enclosed = sorted(_enclosed(t)) if _QUOTES.search(t) else []
     out, start, e, active = [], 0, 0, []
+    known: list[frozenset[str]] = []
+
+    def spoken() -> frozenset[str]:
+        if not known:
+            known.append(_spoken(text, t))
+        return known[0]
 
     def add(a: int, b: int) -> None:
         while a < b and t[a].isspace():
@@ -242,7 +271,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             continue
         if m["stop"] == "." and _MARK.fullmatch(t, start, at):
             continue
-        if _ends_here(t, gap):
+        if _ends_here(t, at, gap, spoken):
             add(start, gap)
             start = gap
     add(start, len(t))

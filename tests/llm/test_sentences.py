@@ -57,3 +57,12 @@ def test_edges(spark):
     df = spark.createDataFrame([("b1", "One. Two.", 1), ("b1", "One. Two.", 1), ("b2", None, 1), ("b3", " ", 1)], "block_id string, text string, s int")
     got = sorted(map(tuple, sentence_units(df, "block_id", "text").collect()))
     assert got == [("b1", 0, 4), ("b1", 5, 9)] and sentence_units(df.limit(0), "block_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("parts", [["The answer is no.", "The tenant may leave."], ["It was sold to the art.", "The buyer pays."], ["El contrato es para.", "La parte paga."], ["See the env.", "The Supplier shall comply."]])
+def test_abbreviations_of_other_languages_dont_count(parts):
+    check(parts, " ".join(parts))
+
+
+def test_long_runs_of_marks_and_space():
+    check(["It ends" + "!" * 90, "Then it goes on."], "It ends" + "!" * 90 + " " * 60 + "Then it goes on.")
