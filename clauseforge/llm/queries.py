@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialise, table
 from . import leakage, packing, pairs, readability, sentences, spans, vectors, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
+@_query
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every run that counts, as a range of the document's text."""
+    return leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+@_query
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Characters that are left of, and were removed from, each document once the runs are cut out."""
+    clean = leakage.remove_leaks(table(spark, d, "documents").select("doc_id", "text"), materialise(p7_spans(spark, d), "leaks"))
+    return clean.select("doc_id", F.length("text").alias("n_chars"), "removed_chars")
+
+
 @_query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).select("doc_id", "band")
