@@ -2,21 +2,26 @@
 
 Seeds are the k-mers that are smallest (by hash) in some window of ``span``
 characters, so every window has exactly one seed, fixed by its content alone.
-Seeds are joined by hash with a representative of another record; the ordered
-matches of a record with each partner are chained with gap costs through a
-Fenwick tree; and chains are aligned by the hashes of the seeds' contexts (the
-text of all windows that a seed stands for): equal contexts make every window
-in them shared.
+Seeds are joined by hash with a representative of another record, and the
+ordered matches of a record with each representative are chained with gap costs
+through a Fenwick tree. A chain is aligned from seed to seed: two seeds that
+follow one another on both sides at one distance, with equal text from the one
+to the other, and the context (the text of all windows a seed stands for) of a
+seed where it is equal, make up stretches that stand in both records letter for
+letter. A stretch of ``span`` characters and more is shared, on both sides.
 
 A representative isn't every partner, and pairs within a group of copies are
-never listed. So where the contexts of a seed differ between records, its
-windows are compared one by one by their hashes over all records, which makes
-the result exact for any number of partners.
+never listed. So the windows that no chain settles are compared by their hashes
+over all records; the representative, which stands for all that align with it,
+takes part with all its windows. That makes the result exact for any number of
+partners, while the inside of a clause that many records share is compared once
+per clause and not once per record.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,11 +132,11 @@ def chains(matches: list[tuple[int, int]], k: int = SEED, gap: float = GAP_COST)
     order = sorted(range(len(matches)), key=lambda i: matches[i])
     there = sorted({y for _, y in matches})
     tree, score, back = _Fenwick(len(there)), {}, {}
-    waiting: list[int] = []
-    for n, i in enumerate(order):
+    waiting: deque[int] = deque()
+    for i in order:
         x, y = matches[i]
         while waiting and matches[waiting[0]][0] < x:
-            j = waiting.pop(0)
+            j = waiting.popleft()
             tree.put(bisect_left(there, matches[j][1]), (score[j] + gap * sum(matches[j]), j))
         best, j = tree.get(bisect_left(there, y))
         gain = best - gap * (x + y) if j >= 0 else 0.0
@@ -151,40 +156,63 @@ def chains(matches: list[tuple[int, int]], k: int = SEED, gap: float = GAP_COST)
 
 def _records(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
     """Texts long enough; repeated rows stay, since dropping them would shuffle every text, and count once further on."""
-    d = df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter(F.col("id").isNotNull() & (F.length("t") >= span))
-    return d.withColumn("dk", F.xxhash64("id"))
+    return df.select(F.col(key).alias("dk"), F.col(text).alias("t")).filter(F.col(key).isNotNull() & (F.length("t") >= span))
 
 
-def _links(records: DataFrame, span: int, k: int) -> DataFrame:
-    """Seeds that stand in more than one record: ``dk, pos, equal, ask, rep, rep_pos``.
+def _frame(rows: list[list], names: tuple[str, ...]) -> pd.DataFrame:
+    """Columns out of rows of arrays; the first column is each row's record, repeated."""
+    keys = np.empty(len(rows), dtype=object)
+    keys[:] = [r[0] for r in rows]
+    out = {names[0]: np.repeat(keys, [len(r[1]) for r in rows])}
+    return pd.DataFrame(out | {n: np.concatenate([r[i] for r in rows]) if rows else [] for i, n in enumerate(names[1:], 1)})
+
 
-    ``equal``: another record has the seed's whole context; ``ask``: contexts
-    differ, and this record's windows are to be compared.
+def _links(records: DataFrame, span: int, k: int) -> DataFrame:
+    """Seeds that stand in more than one record: ``dk, pos, h, rep, rep_pos, same, on, ask, whole``.
+
+    The representative is the first record that has the seed, for that one the
+    last. ``same``: it has the seed's whole context, ``on``: it has the same text
+    up to the next seed. ``ask``: contexts differ between records, so windows are
+    compared; ``whole``: all of them, whatever a chain settles (of a first record
+    that others leave out their windows for, and of all where a record has the
+    seed in several places).
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for dk, t in zip(b["dk"], b["t"]):
-                _, place, _, _, value, context = seeds(t, span, k)
-                rows.append((value.view(np.int64), context.view(np.int64), np.full(len(place), dk, np.int64), place.astype(np.int32)))
-            yield pd.DataFrame({n: np.concatenate([r[i] for r in rows]) if rows else [] for i, n in enumerate(("h", "c", "dk", "pos"))})
-
-    s = materialise(records.select("dk", "t").mapInPandas(cut, "h long, c long, dk long, pos int").withColumn("hc", F.xxhash64("h", "c")), "seeds")
-    where = F.struct("dk", "pos")
-    by_seed = s.groupBy("h").agg(F.min(where).alias("lo"), F.max(where).alias("hi"), (F.min("c") < F.max("c")).alias("differ")).filter("lo.dk < hi.dk")
-    by_context = s.groupBy("hc").agg(F.first("h").alias("h"), F.min("dk").alias("r1"), F.max("dk").alias("r2"))
-    known = salted_join(by_context, by_seed, "h").drop("h")
-    met = salted_join(s.select("hc", "dk", "pos"), known, "hc")
-    rep = F.when(F.col("dk") == F.col("lo.dk"), F.col("hi")).otherwise(F.col("lo"))
-    asks = F.col("differ") & ((F.col("dk") == F.col("r1")) | (F.col("dk") == F.col("r2")))
-    return met.select("dk", "pos", (F.col("r1") < F.col("r2")).alias("equal"), asks.alias("ask"), rep["dk"].alias("rep"), rep["pos"].alias("rep_pos"))
-
-
-def _by_record(records: DataFrame, links: DataFrame) -> DataFrame:
-    """Records with their links; a record has no more links than characters."""
-    own = links.groupBy("dk").agg(F.collect_set(F.struct("pos", "equal", "ask", "rep", "rep_pos")).alias("links"))
-    return records.select("dk", "t").join(own, "dk")
+                h, place, _, _, value, context = seeds(t, span, k)
+                if len(place):
+                    then = np.append(place[1:], place[-1])
+                    _, back, n = np.unique(value, return_inverse=True, return_counts=True)
+                    rows.append([dk, value.view(np.int64), context.view(np.int64), h.of(place, then + k).view(np.int64), place.astype(np.int32), n[back] > 1])
+            yield _frame(rows, ("dk", "h", "c", "g", "pos", "again"))
+
+    kind = records.schema["dk"].dataType.simpleString()
+    s = materialise(records.mapInPandas(cut, f"dk {kind}, h long, c long, g long, pos int, again boolean"), "seeds")
+    place = F.struct("dk", "pos", "c", "g")
+    by_seed = s.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), (F.min("c") < F.max("c")).alias("ask"), (F.count("*") > 2).alias("many"), F.bool_or("again").alias("again")).filter("lo.dk < hi.dk")
+    met = salted_join(s.drop("again"), by_seed, "h")
+    is_first = F.col("dk") == F.col("lo.dk")
+    rep = F.when(is_first, F.col("hi")).otherwise(F.col("lo"))
+    return met.select("dk", "pos", "h", rep["dk"].alias("rep"), rep["pos"].alias("rep_pos"), (rep["c"] == F.col("c")).alias("same"), (rep["g"] == F.col("g")).alias("on"), "ask", ((is_first & F.col("many")) | F.col("again")).alias("whole"))
+
+
+def stretches(line: list[int], own: list[dict], at: dict[int, int], place: np.ndarray, first: np.ndarray, last: np.ndarray, span: int, k: int) -> list[tuple[int, int, int]]:
+    """Aligns a chain: (start, end, shift to the representative) of each stretch that both sides have letter for letter."""
+    out: list[tuple[int, int, int]] = []
+    joined = None  # place here and there that the text up to is known to be equal
+    for j in line:
+        x = own[j]
+        i, shift = at[x["pos"]], x["rep_pos"] - x["pos"]
+        a, b = (int(first[i]), int(last[i]) + span) if x["same"] else (x["pos"], x["pos"] + k)
+        if out and out[-1][2] == shift and (a <= out[-1][1] or joined == (x["pos"], shift)):
+            out[-1] = (min(a, out[-1][0]), max(b, out[-1][1]), shift)
+        else:
+            out.append((a, b, shift))
+        joined = (int(place[i + 1]), shift) if x["on"] and i + 1 < len(place) else None
+    return [o for o in out if o[1] - o[0] >= span]
 
 
 def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "full_text", span: int = SPAN, k: int = SEED) -> DataFrame:
@@ -195,54 +223,53 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "full_text", sp
     count once. Writes the seeds and the compared windows as tables.
     """
     records = _records(df, key, text, span)
-    links = _links(records, span, k)
+    kind = records.schema["dk"].dataType.simpleString()
+    # A record has no more links than characters.
+    own = _links(records, span, k).groupBy("dk").agg(F.collect_set(F.struct("pos", "h", "rep", "rep_pos", "same", "on", "ask", "whole")).alias("links"))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for dk, t, own in zip(b["dk"], b["t"], b["links"]):
-                h, place, first, last, _, _ = seeds(t, span, k)
+            for dk, t, links in zip(b["dk"], b["t"], b["links"]):
+                h, place, first, last, value, _ = seeds(t, span, k)
                 at = {int(p): i for i, p in enumerate(place)}
-                by_rep: dict[int, list[dict]] = {}
-                for x in own:
+                by_rep: dict = {}
+                for x in links:
                     by_rep.setdefault(x["rep"], []).append(x)
-                sure, ask = [], [np.zeros(0, dtype=np.int64)]
-                for group in by_rep.values():
+                sure: list[tuple] = []
+                ask, seed = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+                for rep, group in by_rep.items():
+                    settled = np.zeros(h.n + 1, dtype=bool)
                     for _, line in chains([(x["pos"], x["rep_pos"]) for x in group], k):
-                        for j in line:
-                            i, x = at[group[j]["pos"]], group[j]
-                            if x["equal"]:
-                                if sure and sure[-1][0] <= first[i] <= sure[-1][1]:
-                                    sure[-1] = (sure[-1][0], max(sure[-1][1], int(last[i]) + span))
-                                else:
-                                    sure.append((int(first[i]), int(last[i]) + span))
-                            if x["ask"]:
-                                ask.append(np.arange(first[i], last[i] + 1))
+                        for a, e, shift in stretches(line, group, at, place, first, last, span, k):
+                            sure += [(dk, a, e), (rep, a + shift, e + shift)]
+                            settled[a : e - span + 1] = True
+                    # Only what this representative stands for: it takes part for it.
+                    for x in group:
+                        if x["ask"]:
+                            i = at[x["pos"]]
+                            w = np.arange(first[i], last[i] + 1)
+                            w = w if x["whole"] else w[~settled[w]]
+                            ask.append(w)
+                            seed.append(np.full(len(w), x["h"], np.int64))
                 w = np.concatenate(ask)
-                starts, ends = np.array([s for s, _ in sure], dtype=np.int64), np.array([e for _, e in sure], dtype=np.int64)
-                n = len(w) + len(sure)
-                rows.append(
-                    (
-                        np.concatenate([h.of(w, w + span).view(np.int64), np.zeros(len(sure), np.int64)]),
-                        np.arange(n) >= len(w),
-                        np.full(n, dk, np.int64),
-                        np.concatenate([w, starts]).astype(np.int32),
-                        np.concatenate([w + span, ends]).astype(np.int32),
-                    )
-                )
-            yield pd.DataFrame({n: np.concatenate([r[i] for r in rows]) if rows else [] for i, n in enumerate(("wh", "sure", "dk", "a", "b"))})
-
-    found = materialise(_by_record(records, links).mapInPandas(align, "wh long, sure boolean, dk long, a int, b int"), "windows")
-    windows = found.filter(~F.col("sure")).select("wh", "dk", "a", "b")
-    twice = windows.groupBy("wh").agg(F.min("dk").alias("x"), F.max("dk").alias("y")).filter("x < y").select("wh")
-    shared = salted_join(windows, twice, "wh").select("dk", "a", "b").unionByName(found.filter("sure").select("dk", "a", "b"))
-    # Neighbouring windows become one range before they are sorted by record.
+                rows.append([dk, h.of(w, w + span).view(np.int64), np.concatenate(seed), w.astype(np.int32), (w + span).astype(np.int32), np.zeros(len(w), bool)])
+                for r, a, e in set(sure):
+                    rows.append([r, np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([a], np.int32), np.array([e], np.int32), np.ones(1, bool)])
+            yield _frame(rows, ("dk", "wh", "h", "a", "b", "sure"))
+
+    found = materialise(records.join(own, "dk").mapInPandas(align, f"dk {kind}, wh long, h long, a int, b int, sure boolean"), "windows")
+    # A window's hash and its seed's make 128 bits; both keys of the join.
+    windows = found.filter(~F.col("sure")).select(F.xxhash64("wh", "h").alias("w"), "wh", "h", "dk", "a", "b")
+    twice = windows.groupBy("w", "wh", "h").agg(F.min("dk").alias("x"), F.max("dk").alias("y")).filter("x < y").select("w").distinct()
+    shared = salted_join(windows.select("w", "dk", "a", "b"), twice, "w").select("dk", "a", "b")
+    # Many records report the same stretch of their representative, so equal rows go before the shuffle by record.
+    shared = shared.unionByName(found.filter("sure").select("dk", "a", "b")).distinct()
     order = W.partitionBy("dk").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum(F.when(reach >= F.col("a"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
     merged = shared.withColumn("island", island).groupBy("dk", "island").agg(F.min("a").alias("char_start"), F.max("b").alias("char_end"))
-    names = records.select("dk", F.col("id").alias(key)).distinct()
-    return merged.join(names, "dk").select(key, "char_start", "char_end")
+    return merged.select(F.col("dk").alias(key), "char_start", "char_end")
 
 
 def shared_share(spans: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "full_text") -> DataFrame:
@@ -265,7 +292,7 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "full_text",
     the pairs with other texts, and each copy one row with it (and it with the
     copy), never with each other. Writes the seeds as a table.
     """
-    records = _records(df, key, text, span).withColumn("tk", F.xxhash64("t"))
+    records = _records(df, key, text, span).select(F.col("dk").alias("id"), "t", F.xxhash64("t").alias("tk"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

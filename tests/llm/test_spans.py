@@ -97,3 +97,33 @@ def test_passages_that_differ_every_hundred_letters(spark):
     other = "".join("#" if i % 100 == 50 else c for i, c in enumerate(t))
     df = spark.createDataFrame([("a", t), ("b", other)], "doc_id string, full_text string")
     assert {(q["doc_id"], q["partner"]) for q in spans.shared_passages(df).collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_chains_decide_what_is_shared(spark):
+    """Without chains the result isn't the same: windows they settle aren't compared."""
+    r = random.Random(5)
+    clause = "".join(r.choice("abcdefgh") for _ in range(200))
+    docs = [(f"d{i}", f"{i}" * (30 + i) + clause + f"{i}" * 40) for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id string, full_text string")
+    got = lambda: {tuple(x) for x in spans.shared_spans(df, span=40, k=20).collect()}
+    whole = got()
+    assert whole == brute(docs, 40) and len(whole) == 4
+    h, place, first, last, _, _ = spans.seeds(docs[1][1], 40, 20)
+    own = [{"pos": int(p), "rep_pos": int(p) + 5, "same": False, "on": True} for p in place]
+    at = {int(p): i for i, p in enumerate(place)}
+    line = spans.chains([(x["pos"], x["rep_pos"]) for x in own], 20)[0][1]
+    assert spans.stretches(line, own, at, place, first, last, 40, 20) == [(int(place[0]), int(place[-1]) + 20, 5)]
+    own[3]["on"] = False
+    assert all(e - s >= 40 for s, e, _ in spans.stretches(line, own, at, place, first, last, 40, 20)) and spans.stretches([], own, at, place, first, last, 40, 20) == []
+
+
+@pytest.mark.parametrize("seed", range(10, 16))
+def test_many_partners_that_share_different_parts(spark, seed):
+    r = random.Random(seed)
+    base = "".join(r.choice("abc") for _ in range(160))
+    docs = []
+    for i in range(18):
+        a = r.randint(0, 120)
+        docs.append((f"d{i:02}", "".join(r.choice("xyz") for _ in range(r.randint(0, 9))) + base[a : a + r.randint(15, 70)] + "".join(r.choice("xyz") for _ in range(12))))
+    df = spark.createDataFrame(docs, "doc_id string, full_text string")
+    assert {tuple(x) for x in spans.shared_spans(df, span=20, k=10).collect()} == brute(docs, 20)
