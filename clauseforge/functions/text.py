@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,6 +29,7 @@ NUMBER_WORDS = {
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 CITATION = r"\[(\d+(?:\s*,\s*\d+)*)\]"
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
+SENTENCE_END = r"(?<=[.;])\s+(?=[A-Z(\"“])"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z(\"'“])"
 DECLINES = (
     r"(?i)\b(?:does|do|did) not (?:explicitly |expressly |specifically )?(?:contain|specify|mention|include|state|provide|address|define|set out)"
@@ -58,11 +59,12 @@ def tokens(c: Column | str, stopwords: list[str] | None = STOPWORDS) -> Column:
     return F.filter(found, lambda x: ~F.array_contains(stop, x))
 
 
-def content_words(c: Column | str) -> Column:
-    """Distinct words of three letters and more that carry meaning."""
+def content_words(c: Column | str, stem: Callable[[Column], Column] | None = None) -> Column:
+    """Distinct words of three letters and more that carry meaning; ``stem`` maps the array of words to their stems (``udfs.stems``)."""
     stop = F.array(*[F.lit(w) for w in CONTENT_STOPWORDS])
     found = F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(r"[a-z]+"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x)))
+    words = F.filter(found, lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x))
+    return F.array_distinct(stem(words) if stem else words)
 
 
 def normalize(c: Column | str) -> Column:
@@ -91,8 +93,9 @@ def normalize_markdown(c: Column | str) -> Column:
 
 
 def join_hyphenated(c: Column | str) -> Column:
-    """Lines joined by a space; a word broken by a hyphen before a small letter is glued."""
-    return F.regexp_replace(F.regexp_replace(_col(c), r"(?<=\p{L})-\n(?=\p{Ll})", ""), r"\s*\n\s*", " ")
+    """Lines joined by a space; a word of two letters and more broken by a hyphen before a small letter is glued. Empty lines don't count."""
+    tidy = F.regexp_replace(F.regexp_replace(F.trim(_col(c)), r"[ \t]*\n\s*", "\n"), r"[ \t]+", " ")
+    return F.replace(F.regexp_replace(tidy, r"(?<=\b\w{2,40})-\n(?=\p{Ll})", ""), F.lit("\n"), F.lit(" "))
 
 
 @F.pandas_udf(StringType())
@@ -175,10 +178,105 @@ def match_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]", "")
 
 
+def mostly_upper(c: Column | str, share: float = 0.5) -> Column:
+    """Whether more than ``share`` of the letters that have a case are capitals."""
+    big, small = F.regexp_count(_col(c), F.lit(r"\p{Lu}")), F.regexp_count(_col(c), F.lit(r"\p{Ll}"))
+    return big > share * (big + small)
+
+
+def capitalised(c: Column | str) -> Column:
+    """Every letter after something that isn't a letter large, the others small."""
+    parts = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), "")
+
+
 def display_title(c: Column | str) -> Column:
-    """Readable title of a file name: extension and long digit runs dropped, underscores and dashes as spaces, words capitalised."""
-    stem = F.regexp_replace(_col(c), r"\.[A-Za-z0-9]{1,5}$", "")
-    return F.initcap(squeeze(F.regexp_replace(F.regexp_replace(stem, r"\d{5,}", " "), r"[_\-]+", " ")))
+    """Readable title of a filing's file name: kind of agreement, company and year, parted by dots; a name without ``_`` stays.
+
+    The kind stands after the last exhibit mark, the company before the first
+    ``_``; the year is the first of 19.. or 20.., with or without a day. Names in capitals are capitalised.
+    """
+    src = _col(c)
+    tidy = lambda x: F.when(mostly_upper(x), capitalised(x)).otherwise(x)
+    company = F.trim(F.replace(F.replace(F.substring_index(src, "_", 1), F.lit(","), F.lit(", ")), F.lit(",  "), F.lit(", ")))
+    last = F.element_at(F.split(src, r"EX-[0-9A-Za-z.()]+[-_ ]"), -1)
+    kind = F.replace(F.regexp_replace(last, r"^[ \-_]+|[ \-_]+$", ""), F.lit("_"), F.lit(" "))
+    year = F.regexp_extract(src, r"(?<!\d)((?:19|20)\d{2})(?:\d{4})?(?!\d)", 1)
+    parts = F.array(tidy(F.coalesce(F.nullif(kind, F.lit("")), src)), tidy(company), year)
+    return F.when(F.contains(src, F.lit("_")), F.array_join(F.filter(parts, lambda x: x != ""), " · ")).otherwise(src)
+
+
+# Words that stay small inside a title; what begins the descriptive tail of a party's name.
+SMALL_WORDS = "a an and as at by for in of on or the to with".split()
+PARTY_TAIL = r"(?i)\s+(?:including|together with|and its|operating|doing business|d/b/a|acting|as successor)\b|,\s+an?\s"
+
+
+def title_case(c: Column | str) -> Column:
+    """Names written mostly in capitals in title case, small words small but for the first; other names stay."""
+    words = F.split(F.lower(squeeze(c)), " ")
+    small = F.array(*[F.lit(w) for w in SMALL_WORDS])
+    large = lambda w, i: F.when((i > 0) & F.array_contains(small, w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)))
+    letters, big = F.regexp_count(_col(c), F.lit(r"\p{L}")), F.regexp_count(_col(c), F.lit(r"\p{Lu}"))
+    return F.when((letters > 0) & (big >= 0.8 * letters), F.array_join(F.transform(words, large), " ")).otherwise(_col(c))
+
+
+def parse_parties(c: Column | str) -> Column:
+    """Names of a party list parted by semicolons, without what stands in brackets; a name counts once whatever its case."""
+    edges = r"^[ ,;\"'“”]+|[ ,;\"'“”]+$"
+    clean = F.transform(F.split(F.coalesce(_col(c), F.lit("")), ";"), lambda x: F.regexp_replace(squeeze(F.regexp_replace(x, r"\([^)]*\)", "")), edges, ""))
+    some = F.filter(clean, lambda x: x != "")
+    return F.filter(some, lambda x, i: F.array_position(F.transform(some, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+
+
+def short_party(c: Column, limit: int = 60) -> Column:
+    """A party's name without its descriptive tail; where it is still longer than ``limit``, what stands before the first comma."""
+    head = F.regexp_replace(F.element_at(F.split(c, PARTY_TAIL, 2), 1), r"^[ ,]+|[ ,]+$", "")
+    return F.when((F.length(head) > limit) & F.contains(head, F.lit(",")), F.trim(F.substring_index(head, ",", 1))).otherwise(head)
+
+
+def agreement_name(document_name: Column | str, parties: Column, fallback: Column | str) -> Column:
+    """``the <agreement> between <first> and <second>``, with one party ``with <first>``; the fallback stands in for an empty name."""
+    base = F.regexp_replace(F.trim(F.coalesce(_col(document_name), F.lit(""))), r"^[ .\"'“”]+|[ .\"'“”]+$", "")
+    base = title_case(F.regexp_replace(F.regexp_replace(base, r"\s*\([^)]*$", ""), r",\s*\w{1,2}$", ""))
+    base = F.regexp_replace(F.coalesce(F.nullif(base, F.lit("")), _col(fallback)), r"(?i)^(?:the|this)\s+", "")
+    who = F.transform(parties, lambda x: short_party(x))
+    tail = F.when(F.size(who) >= 2, F.concat(F.lit(" between "), who[0], F.lit(" and "), who[1])).when(F.size(who) == 1, F.concat(F.lit(" with "), who[0])).otherwise(F.lit(""))
+    return F.concat(F.lit("the "), base, tail)
+
+
+def slug(c: Column | str) -> Column:
+    """File name without its ending as an id: small letters and digits, everything else one dash."""
+    stem = F.regexp_replace(_col(c), r"\.[^./]*$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(stem), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def canonical_type(c: Column | str, known: dict[str, str]) -> Column:
+    """Contract type of a folder's name by its letters alone; an unknown folder is an error."""
+    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(_col(c)), r"[^a-z]+", " "), r"\s+", " "))
+    found = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[key]
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown contract type: "), _col(c))).cast("string"))
+
+
+def whitespace_equivalent(a: Column | str, b: Column | str) -> Column:
+    """Whether two texts differ in white space only."""
+    return squeeze(a) == squeeze(b)
+
+
+def short_id(c: Column | str) -> Column:
+    """A chunk's id without its document's."""
+    return F.regexp_extract(_col(c), r"(?s)^.*?::(.*)$", 1)
+
+
+def best_sentence(text: Column | str, statement: Column | str, least: int = 25) -> Column:
+    """The sentence of ``text`` with the most of the statement's meaning words, a shared figure counting three; the first of equals, empty for none.
+
+    Sentences of ``least`` characters and fewer don't count.
+    """
+    sents = F.filter(F.transform(F.split(squeeze(text), SENTENCE_END), lambda x: F.trim(x)), lambda x: F.length(x) > least)
+    words, figures = content_words(statement), F.array_distinct(F.regexp_extract_all(F.coalesce(_col(statement), F.lit("")), F.lit(NUMBER), F.lit(0)))
+    worth = lambda x: F.size(F.array_intersect(content_words(x), words)) + 3 * F.size(F.array_intersect(F.array_distinct(F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0))), figures))
+    ranked = F.transform(sents, lambda x, i: F.struct(worth(x).alias("n"), (-i).alias("i"), x.alias("s")))
+    return F.coalesce(F.array_max(ranked)["s"], F.lit(""))
 
 
 def hash_draw(*parts: Column | str) -> Column:

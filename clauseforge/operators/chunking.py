@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,45 +14,43 @@ from ..functions import text as T
 from ..functions.udfs import sentence_spans
 from ..session import frame
 
-CHUNK_SCHEMA = "doc_id string, chunk_index long, char_start long, char_end long"
+STRATEGIES = ("fixed", "sentence_window", "section")
+#: As the token counter counts: parts between plain white space.
+_TOKEN = re.compile(r"\S+", re.ASCII)
+_WINDOWS = "doc_id string, chunk_index long, char_start long, char_end long, token_count long"
 
 
-def token_offsets(documents: DataFrame, text: str = "full_text") -> DataFrame:
-    """``doc_id, i (from 0), s, e``: offsets of the parts between white space; a document without any has no row.
+def token_places(text: str | None) -> list[tuple[int, int]]:
+    """Offsets of the parts between white space."""
+    return [m.span() for m in _TOKEN.finditer(text or "")]
 
-    Tokens and gaps are exploded side by side and summed in order inside the document.
-    """
-    t = F.col(text)
-    tok, gap = F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)), F.split(t, r"\S+")
-    pairs = F.arrays_zip(tok.alias("tok"), F.slice(gap, 1, F.greatest(F.size(tok), F.lit(1))).alias("gap"))
-    rows = documents.filter(t.isNotNull()).select("doc_id", F.posexplode(pairs).alias("i", "p")).filter("p.tok is not null")
-    n = rows.select("doc_id", F.col("i").cast("bigint").alias("i"), F.length("p.tok").alias("tl"), F.length(F.coalesce("p.gap", F.lit(""))).alias("gl"))
-    before = W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum(F.col("tl") + F.col("gl")).over(before)
-    return n.select("doc_id", "i", (end - F.col("tl")).alias("s"), end.alias("e"))
+
+def window_starts(n: int, max_tokens: int, overlap: int = 0) -> range:
+    """First tokens of the windows over ``n`` tokens: one window, or 1 + ceil((n - max) / (max - overlap)); none for no tokens."""
+    step = max_tokens - overlap
+    return range(0, max(1, n - overlap), step) if n else range(0)
 
 
 def fixed_windows(documents: DataFrame, max_tokens: int = 512, overlap: int = 64, text: str = "full_text") -> DataFrame:
     """Windows of ``max_tokens`` tokens that share ``overlap`` with the one before: ``doc_id, chunk_index, char_start, char_end, token_count``.
 
-    Closed form: window w holds tokens from w·(max - overlap); there is one, or
-    1 + ceil((n - max) / (max - overlap)). Only the offsets of first and last
-    tokens are looked up.
+    A document's windows depend on nothing but its text, so nothing is
+    shuffled. Null and blank texts have none.
     """
-    step = max_tokens - overlap
-    if step <= 0:
+    if not 0 <= overlap < max_tokens:
         raise ValueError("overlap must be smaller than max_tokens")
-    off = token_offsets(documents, text)
-    n = F.count("*").over(W.partitionBy("doc_id"))
-    last = F.when(F.col("n") <= max_tokens, F.lit(0)).otherwise(F.ceil((F.col("n") - max_tokens) / step))
-    off = off.withColumn("n", n).withColumn("last", last.cast("bigint"))
-    # A token can be the first of one window and the last of another.
-    first = off.filter((F.col("i") % step == 0) & (F.col("i") / step <= F.col("last"))).select("doc_id", (F.col("i") / step).cast("bigint").alias("chunk_index"), F.col("s").alias("char_start"), F.col("i").alias("a"))
-    done = ((F.col("i") + 1 - max_tokens) % step == 0) & (F.col("i") + 1 >= max_tokens) & ((F.col("i") + 1 - max_tokens) / step < F.col("last"))
-    inner = off.filter(done).select("doc_id", ((F.col("i") + 1 - max_tokens) / step).cast("bigint").alias("chunk_index"), F.col("e").alias("char_end"), F.col("i").alias("b"))
-    tail = off.filter(F.col("i") == F.col("n") - 1).select("doc_id", F.col("last").alias("chunk_index"), F.col("e").alias("char_end"), F.col("i").alias("b"))
-    met = first.join(inner.unionByName(tail), ["doc_id", "chunk_index"])
-    return met.select("doc_id", "chunk_index", "char_start", "char_end", (F.col("b") - F.col("a") + 1).alias("token_count"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d, t in zip(b["d"], b["t"]):
+                at = token_places(t)
+                for i, a in enumerate(window_starts(len(at), max_tokens, overlap)):
+                    e = min(a + max_tokens, len(at))
+                    out.append((d, i, at[a][0], at[e - 1][1], e - a))
+            yield frame(out, ["doc_id", "chunk_index", "char_start", "char_end", "token_count"])
+
+    return documents.select(F.col("doc_id").alias("d"), F.col(text).alias("t")).filter("t is not null").mapInPandas(run, _WINDOWS)
 
 
 def sentence_units(blocks: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def sentence_units(blocks: DataFrame) -> DataFrame:
     def cut(batches):
         for b in batches:
             out = [
-                (d, k, t, c + x, c + y, len(s[x:y].split()))
+                (d, k, t, c + x, c + y, len(token_places(s[x:y])))
                 for d, k, t, s, c in b[["doc_id", "block_id", "block_type", "text", "char_start"]].itertuples(index=False)
                 for x, y in sentence_spans(s or "")
             ]
@@ -71,18 +72,22 @@ def sentence_units(blocks: DataFrame) -> DataFrame:
 
 
 def attach_prefixes(units: DataFrame, min_tokens: int = 5) -> DataFrame:
-    """Headings and units under ``min_tokens`` join the next full unit, trailing ones the last: ``doc_id, unit (from 0), s, e``.
+    """Headings and sentences under ``min_tokens`` join the next full unit, trailing ones the last: ``doc_id, unit (from 0), s, e, block_id``.
 
-    A unit's group is the number of full units at or after it.
+    Tables and other blocks are full units however short they are. ``block_id``
+    is that of the full unit. A unit's group is the number of full units at or after it.
     """
-    full = (F.col("block_type") != "heading") & (F.col("tokens") >= min_tokens)
+    full = (F.col("block_type") != "heading") & (F.col("block_type").isin("table", "other") | (F.col("tokens") >= min_tokens))
     after = W.partitionBy("doc_id").orderBy("s", "e", "block_id").rowsBetween(0, W.unboundedFollowing)
-    g = units.withColumn("g", F.sum(full.cast("bigint")).over(after))
+    g = units.withColumn("full", full).withColumn("g", F.sum(full.cast("bigint")).over(after))
     # Group 0 holds what trails the last full unit; it joins that unit's group, 1, where there is one.
     any_full = F.max("g").over(W.partitionBy("doc_id"))
     g = g.withColumn("g", F.when((F.col("g") == 0) & (any_full > 0), F.lit(1)).otherwise(F.col("g")))
-    merged = g.groupBy("doc_id", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return merged.withColumn("unit", (F.row_number().over(W.partitionBy("doc_id").orderBy("s")) - 1).cast("bigint")).select("doc_id", "unit", "s", "e")
+    merged = g.groupBy("doc_id", "g").agg(
+        F.min("s").alias("s"), F.max("e").alias("e"), F.coalesce(F.max_by("block_id", F.when(F.col("full"), F.col("s"))), F.max_by("block_id", "s")).alias("block_id")
+    )
+    order = W.partitionBy("doc_id").orderBy("s")
+    return merged.withColumn("unit", (F.row_number().over(order) - 1).cast("bigint")).select("doc_id", "unit", "s", "e", "block_id")
 
 
 def neighbourhoods(units: DataFrame, window: int = 3) -> DataFrame:
@@ -98,51 +103,105 @@ def sections(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section", F.sum(opens.cast("bigint")).over(order.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def pack_section(blocks: list[tuple[str, int, int, int]], max_tokens: int) -> list[tuple[int, int]]:
-    """Greedy chunks of one section's blocks (type, start, end, tokens): headings wait for what follows and never stand alone unless nothing follows."""
+def pack_section(blocks: list[tuple[str, int, int]], max_tokens: int) -> list[tuple[int, int]]:
+    """Token ranges of the chunks of one section's blocks, given as (type, first token, token after the last) in order.
+
+    A chunk takes blocks while it has room. What doesn't fit in one piece, a
+    block of more than ``max_tokens`` or a heading with the block under it, is
+    cut into windows that don't overlap, together with what waits before it; so
+    no chunk is larger than ``max_tokens``, and a heading is alone only where nothing follows.
+    """
     out: list[tuple[int, int]] = []
-    start = end = None
-    held, heading_only = 0, True
-    for kind, s, e, n in blocks:
-        if start is not None and held + n > max_tokens and not heading_only:
-            out.append((start, end))
-            start, held, heading_only = None, 0, True
-        if start is None:
-            start = s
-        end, held = e, held + n
-        heading_only = heading_only and kind == "heading"
-    if start is not None:
-        out.append((start, end))
-    return out
+    waiting: list[tuple[str, int, int]] = []
+    for kind, a, b in blocks:
+        begin = waiting[0][1] if waiting else a
+        too_large, only_headings = b - a > max_tokens, all(k == "heading" for k, _, _ in waiting)
+        if b - begin <= max_tokens:
+            waiting.append((kind, a, b))
+        elif too_large or only_headings:
+            out += [(x, min(x + max_tokens, b)) for x in range(begin, b, max_tokens)]
+            waiting = []
+        else:
+            out.append((begin, waiting[-1][2]))
+            waiting = [(kind, a, b)]
+    return out + ([(waiting[0][1], waiting[-1][2])] if waiting else [])
 
 
 def section_chunks(blocks: DataFrame, documents: DataFrame, max_tokens: int = 512) -> DataFrame:
-    """Section chunks of each document; an oversize block is cut into token windows without overlap. Greedy inside a document, so one Python group per document."""
-    rows = sections(blocks.dropDuplicates(["block_id"])).select("doc_id", "section", "block_type", "char_start", "char_end", "text")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["char_start", "char_end"])
-        out: list[tuple[int, int]] = []
-        for _, part in pdf.groupby("section", sort=True):
-            pieces: list[tuple[str, int, int, int]] = []
-            for kind, s, t in part[["block_type", "char_start", "text"]].itertuples(index=False):
-                places = [(m.start(), m.end()) for m in T.re.finditer(r"\S+", t or "")]
-                if not places:
-                    continue
-                for a in range(0, len(places), max_tokens):
-                    b = min(a + max_tokens, len(places))
-                    pieces.append((kind, s + places[a][0], s + places[b - 1][1], b - a))
-            out += pack_section(pieces, max_tokens)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk_index": range(len(out)), "char_start": [a for a, _ in out], "char_end": [b for _, b in out]}).astype(
-            {"chunk_index": "int64", "char_start": "int64", "char_end": "int64"}
-        )
-
-    known = rows.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
-    return known.groupBy("doc_id").applyInPandas(run, CHUNK_SCHEMA)
+    """Section chunks of each document: ``doc_id, chunk_index, char_start, char_end, token_count``; a chunk never crosses into another section.
+
+    Packing follows the order of blocks, so each document is one row of its
+    blocks (bounded by its length). Blocks without tokens and of unknown documents give nothing.
+    """
+    rows = sections(blocks.dropDuplicates(["block_id"])).join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    each = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "block_id", "section", "block_type", "text"))).alias("blocks"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d, own in zip(b["doc_id"], b["blocks"]):
+                places: list[tuple[int, int]] = []
+                of_section: dict[int, list[tuple[str, int, int]]] = {}
+                for x in own:
+                    first = len(places)
+                    places += [(x["char_start"] + s, x["char_start"] + e) for s, e in token_places(x["text"])]
+                    if len(places) > first:
+                        of_section.setdefault(x["section"], []).append((x["block_type"], first, len(places)))
+                cut = [c for k in sorted(of_section) for c in pack_section(of_section[k], max_tokens)]
+                out += [(d, i, places[s][0], places[e - 1][1], e - s) for i, (s, e) in enumerate(cut)]
+            yield frame(out, ["doc_id", "chunk_index", "char_start", "char_end", "token_count"])
+
+    return each.mapInPandas(run, _WINDOWS)
+
+
+def sentence_windows(blocks: DataFrame, documents: DataFrame, window: int = 3, min_tokens: int = 5) -> DataFrame:
+    """Sentence chunks with the range of their context: ``doc_id, chunk_index, char_start, char_end, context_start, context_end, block_id``."""
+    known = blocks.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    n = neighbourhoods(attach_prefixes(sentence_units(known), min_tokens), window)
+    return n.select("doc_id", F.col("unit").alias("chunk_index"), F.col("s").alias("char_start"), F.col("e").alias("char_end"), "context_start", "context_end", "block_id")
+
+
+def make_chunks(ranges: DataFrame, strategy: str, blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunk rows of the ranges of one strategy: id, text, context, section path, pages, offsets, tokens and whether a table is in it.
+
+    A range that covers no block has no row. A sentence's section path is its block's.
+    """
+    r = roll_up(ranges.select("doc_id", "chunk_index", "char_start", "char_end"), blocks)
+    own = ["doc_id", "chunk_index"]
+    if "context_start" in ranges.columns:
+        path = blocks.dropDuplicates(["block_id"]).select("block_id", F.col("section_path").alias("_path"))
+        r = r.join(ranges.select(*own, "context_start", "context_end", "block_id"), own).join(path, "block_id").withColumn("section_path", F.col("_path"))
+    else:
+        r = r.withColumns({"context_start": F.lit(None).cast("bigint"), "context_end": F.lit(None).cast("bigint")})
+    met = r.join(documents.select("doc_id", "full_text").dropDuplicates(["doc_id"]), "doc_id")
+    part = lambda a, b: F.substring(F.col("full_text"), F.col(a) + 1, F.col(b) - F.col(a))
+    met = met.withColumn("text", part("char_start", "char_end"))
+    return met.select(
+        chunk_id(F.col("doc_id"), strategy, F.col("chunk_index")).alias("chunk_id"), "doc_id", F.lit(strategy).alias("strategy"), "text",
+        F.when(F.col("context_start").isNotNull(), part("context_start", "context_end")).alias("context_text"), "section_path", "page_start", "page_end",
+        F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), T.token_count("text").cast("int").alias("token_count"), "has_table",
+    )
+
+
+def run_chunking(documents: DataFrame, blocks: DataFrame, strategies: Sequence[str] = STRATEGIES, max_tokens: int = 512, overlap: int = 64, window: int = 3, min_tokens: int = 5) -> DataFrame:
+    """Chunks of every strategy named, each once. Blocks that don't stand in their document are an error of the caller (``validate_blocks``)."""
+    docs = documents.dropDuplicates(["doc_id"])
+    makers = {
+        "fixed": lambda: fixed_windows(docs, max_tokens, overlap),
+        "sentence_window": lambda: sentence_windows(blocks, docs, window, min_tokens),
+        "section": lambda: section_chunks(blocks, docs, max_tokens),
+    }
+    if unknown := [s for s in strategies if s not in makers]:
+        raise ValueError(f"unknown strategies {unknown}")
+    out = None
+    for s in dict.fromkeys(strategies):
+        part = make_chunks(makers[s](), s, blocks, docs)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def chunk_id(doc: Column, strategy: str, index: Column) -> Column:
-    return F.concat_ws("::", doc, F.lit(strategy), F.lpad(index.cast("string"), 5, "0"))
+    return F.concat_ws("::", doc, F.lit(strategy), F.when(index < 100_000, F.lpad(index.cast("string"), 5, "0")).otherwise(index.cast("string")))
 
 
 def roll_up(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -160,6 +219,13 @@ def roll_up(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     return per.withColumn("section_path", F.when(n > 0, F.slice("lo", 1, same)).otherwise(F.array().cast("array<string>"))).drop("lo", "hi")
 
 
+def with_blocks(documents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``doc_id, blocks``: each document with its blocks in reading order (none: an empty list), as bounded as the document."""
+    b = blocks.dropDuplicates(["block_id"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "block_id", "block_type", "text"))).alias("blocks"))
+    none = F.from_json(F.lit("[]"), b.schema["blocks"].dataType.simpleString())
+    return documents.select("doc_id").distinct().join(b, "doc_id", "left").withColumn("blocks", F.coalesce("blocks", none))
+
+
 def validate_blocks(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """Blocks whose text isn't the document's text at their offsets, or whose document is missing (none: the input is sound)."""
     b = blocks.join(documents.select("doc_id", "full_text"), "doc_id", "left")

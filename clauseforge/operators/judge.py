@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.udfs import split_statements
+from .prompts import ABSTAIN
 
 VERDICTS = "struct<verdicts:array<struct<id:int,supported:boolean,on_topic:boolean,reason:string>>>"
 GRADES = {"correct": 1.0, "partial": 0.5, "incorrect": 0.0}
@@ -45,10 +46,15 @@ def check_statements(cited: DataFrame, judge: Callable[[Column, Column], Column]
 
 
 def faithfulness(checked: DataFrame, key: str = "request_id") -> DataFrame:
-    """Share of supported statements; answers without statements have no row (the score is null)."""
+    """Share of supported statements; answers without statements have no row (the score is null). Unjudged statements are left out."""
     return checked.groupBy(key).agg(F.count("*").alias("statements"), F.avg(F.col("supported").cast("double")).alias("faithfulness"))
 
 
+def relevance(checked: DataFrame, key: str = "request_id") -> DataFrame:
+    """``key, answer_relevance``: share of an answer's judged statements that are about the question."""
+    return checked.groupBy(key).agg(F.avg(F.col("on_topic").cast("double")).alias("answer_relevance"))
+
+
 def citation_validity(answer: Column, valid: Column, invalid: Column, abstained: Column) -> Column:
     """Share of citation marks that point at an excerpt; without marks null for an abstention, else 0."""
     total = valid + invalid
@@ -72,7 +78,7 @@ def grade_score(grade: Column) -> Column:
     return out
 
 
-def parse_output(raw: Column, abstain: str = "The provided excerpts do not answer this question.") -> Column:
+def parse_output(raw: Column, abstain: str = ABSTAIN) -> Column:
     """A generator's output: JSON ``{answer, abstained}``, or the raw text as the answer; an abstention without text gets the default answer."""
     j = F.from_json(raw, "answer string, abstained boolean")
     is_json = j["answer"].isNotNull() | j["abstained"].isNotNull()
@@ -104,9 +110,12 @@ def score_answers(answers: DataFrame, checked: DataFrame, grades: DataFrame | No
     )
 
 
-def reuse(new: DataFrame, prior: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows whose result exists already, rows still to do), by key; the result of a repeated key is taken once."""
-    known = prior.dropDuplicates(key)
+def reuse(new: DataFrame, prior: DataFrame, key: list[str], rubric: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows whose result exists already, rows still to do), by key; the result of a repeated key is taken once.
+
+    With ``rubric``, only results made under it (column ``rubric``) serve again.
+    """
+    known = (prior if rubric is None else prior.filter(F.col("rubric") == rubric)).dropDuplicates(key)
     return new.join(known, key), new.join(known.select(*key), key, "left_anti")
 
 
@@ -114,12 +123,4 @@ def extractive_answer(questions: DataFrame, ranked: DataFrame, chunks: DataFrame
     """Default generator, no model: the first sentence of the best chunk with its citation; an abstention where the list is empty."""
     best = ranked.filter("rank = 1").join(chunks.select("chunk_id", "text"), "chunk_id").select("qid", F.element_at(F.split("text", T.SENTENCE_GAP, 2), 1).alias("s"))
     out = questions.select("qid").distinct().join(best, "qid", "left")
-    return out.select("qid", F.when(F.col("s").isNotNull(), F.concat("s", F.lit(" [1]"))).otherwise(F.lit("The provided excerpts do not answer this question.")).alias("answer"), F.col("s").isNull().alias("abstained"))
-
-
-def prompt_context(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``qid, context``: excerpts of each list in rank order, ``[i] (path, p.N)`` above each text."""
-    c = chunks.select("chunk_id", "section_path", "page_start", T.excerpt_text("context_text", "text").alias("shown"))
-    met = ranked.join(c, "chunk_id")
-    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), T.section_label("section_path"), F.lit(", p."), F.coalesce(F.col("page_start").cast("string"), F.lit("?")), F.lit(")\n"))
-    return met.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(head, "shown").alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
+    return out.select("qid", F.when(F.col("s").isNotNull(), F.concat("s", F.lit(" [1]"))).otherwise(F.lit(ABSTAIN)).alias("answer"), F.col("s").isNull().alias("abstained"))

@@ -9,14 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import locate, normalize_with_map
+from ..functions.udfs import NormalText, locate
 from ..session import frame, salted_join
 
 
-#: Chunking strategies that labels are made for at a time.
-MAX_STRATEGIES = 100
-
-
 def spans_of(questions: DataFrame) -> DataFrame:
     """``qid, doc_id, span_index (from 0), span`` of answerable questions; repeated questions count once."""
     q = questions.filter("answerable").select("qid", "doc_id", "evidence_spans").distinct()
@@ -49,7 +45,7 @@ def align(questions: DataFrame, documents: DataFrame, least: float = 85.0) -> Da
             rows = []
             for q, d, i, x, t in b[["qid", "doc_id", "span_index", "span", "full_text"]].itertuples(index=False):
                 if t and t != last:
-                    last, known = t, normalize_with_map(t)
+                    last, known = t, NormalText(t)
                 rows.append((q, d, i, *(locate(x, t, least, known) or (None,) * 5)))
             yield frame(rows, ["qid", "doc_id", "span_index", "char_start", "char_end", "score", "method", "occurrences"])
 
@@ -65,10 +61,9 @@ def relevant_chunks(alignments: DataFrame, chunks: DataFrame, share: float = 0.5
     c = chunks.select("chunk_id", "doc_id", "strategy", F.col("char_start").alias("c_start"), F.col("char_end").alias("c_end")).dropDuplicates(["chunk_id"])
     met = placed.join(c, "doc_id").filter(T.covers(F.col("c_start"), F.col("c_end"), F.col("char_start"), F.col("char_end"), share))
     held = met.select("qid", "span_index", "strategy", "chunk_id")
-    known = [r["strategy"] for r in chunks.select("strategy").distinct().limit(MAX_STRATEGIES + 1).collect()]
-    if len(known) > MAX_STRATEGIES:
-        raise ValueError(f"more than {MAX_STRATEGIES} chunking strategies")
-    wanted = placed.select("qid", "span_index", F.explode(F.array(*[F.lit(x) for x in known]).cast("array<string>")).alias("strategy"))
+    # One row, whose size is that of the set of strategies.
+    known = chunks.agg(F.collect_set("strategy").alias("known"))
+    wanted = placed.select("qid", "span_index").join(F.broadcast(known)).select("qid", "span_index", F.explode("known").alias("strategy"))
     return wanted.join(held, ["qid", "span_index", "strategy"], "left")
 
 

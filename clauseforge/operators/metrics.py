@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import hash_draw
-from ..functions.udfs import bootstrap
+from ..functions.udfs import bootstrap, poisson_rounds
 
 KS = (1, 3, 5, 10, 20)
 KEY = ["config_id", "qid"]
@@ -67,17 +69,46 @@ def metric_table(scores: DataFrame, floats: tuple[str, ...] = FLOATS) -> DataFra
 
 
 def bootstrap_native(values: DataFrame, group: list[str], value: str, key: str, n_boot: int = 2000, alpha: float = 0.05) -> DataFrame:
-    """Mean, interval and count per group by a percentile bootstrap whose draws are hashes of (round, place): no Python, same at any partitioning.
+    """Mean, interval and count per group by a percentile bootstrap that weights rows, so that no group is gathered.
 
-    Each round draws as many values as the group has, at places in key order.
+    In each round a row counts as often as a Poisson number of mean 1, drawn
+    from the round and ``key``, says; a round's mean is the weighted one. Tasks
+    sum all rounds of their rows, and those sums are added up: what is shuffled
+    grows with groups, rounds and tasks, not with rows. Equal keys draw equal
+    numbers in every group, so paired groups are resampled alike. Rounds without weight drop.
     """
-    at = W.partitionBy(*group).orderBy(key)
-    placed = values.filter(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(at) - 1).withColumn("_n", F.count("*").over(W.partitionBy(*group)))
-    draws = placed.select(*group, F.col("_at").alias("_slot"), "_n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_round"))
-    draws = draws.withColumn("_at", (hash_draw(F.col("_round").cast("string"), F.col("_slot").cast("string")) % F.col("_n")).cast("int"))
-    means = draws.join(placed.select(*group, "_at", F.col(value).alias("_v")), [*group, "_at"]).groupBy(*group, "_round").agg(F.avg("_v").alias("_m"))
+    kinds = ", ".join(f"{g} {values.schema[g].dataType.simpleString()}" for g in group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(*g, x[0].tolist(), x[1].tolist()) for g, x in sums.items()], columns=[*group, "w", "v"])
+            sums.clear()
+            return out
+
+        for b in batches:
+            keys, codes = np.unique(b[key].astype(str), return_inverse=True)
+            of = b.groupby(group, sort=False, dropna=False).indices
+            x = b[value].to_numpy(dtype=float)
+            for a in range(0, len(keys), 512):
+                weights = np.stack([poisson_rounds(k, n_boot) for k in keys[a : a + 512]]).astype(float)
+                for g, rows in of.items():
+                    rows = rows[(codes[rows] >= a) & (codes[rows] < a + 512)]
+                    if len(rows):
+                        w = weights[codes[rows] - a]
+                        own = sums.setdefault(g if isinstance(g, tuple) else (g,), np.zeros((2, n_boot)))
+                        own += np.stack([w.sum(0), x[rows] @ w])
+            if len(sums) > 4096:
+                yield flush()
+        yield flush()
+
+    some = values.filter(F.col(value).isNotNull()).select(*group, F.col(key).cast("string").alias(key), F.col(value).cast("double").alias(value))
+    part = some.mapInPandas(run, f"{kinds}, w array<double>, v array<double>")
+    rounds = part.select(*group, F.posexplode(F.arrays_zip("w", "v")).alias("_round", "x")).groupBy(*group, "_round").agg(F.sum("x.w").alias("w"), F.sum("x.v").alias("v"))
+    means = rounds.filter("w > 0").withColumn("_m", F.col("v") / F.col("w"))
     ends = means.groupBy(*group).agg(F.percentile("_m", F.lit(alpha / 2)).alias("ci_low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("ci_high"))
-    mean = values.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    mean = some.groupBy(*group).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
     return mean.join(ends, group)
 
 
@@ -130,6 +161,36 @@ def agreement(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) ->
     return out.select(*by, F.col("n").cast("bigint").alias("n"), po.alias("percent_agreement"), kappa.alias("kappa"), kappa_band(kappa).alias("band"))
 
 
+def confusion(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
+    """How often each pair of labels was given: ``by, a, b, n``; rows with a null on either side drop."""
+    return pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*(by or []), a, b).agg(F.count("*").alias("n"))
+
+
+def judge_labels(scores: DataFrame) -> DataFrame:
+    """``qid, faithful, correct`` as a person would label them: yes and no, yes, partial and no; unknown scores are null."""
+    faithful = F.when(F.col("faithfulness") == 1.0, "yes").when(F.col("faithfulness").isNotNull(), "no")
+    correct = F.when(F.col("answer_correctness") == 1.0, "yes").when(F.col("answer_correctness") == 0.5, "partial").when(F.col("answer_correctness") == 0.0, "no")
+    return scores.select("qid", faithful.alias("faithful"), correct.alias("correct"))
+
+
+def agreement_report(human: DataFrame, judged: DataFrame, fields: tuple[str, ...] = ("faithful", "correct")) -> DataFrame:
+    """``field, n, percent_agreement, kappa, band, confusion`` of people's labels and a judge's (``qid`` and the fields each)."""
+    met = human.select("qid", *[F.col(f).alias(f"h_{f}") for f in fields]).join(judged.select("qid", *[F.col(f).alias(f"j_{f}") for f in fields]), "qid")
+    each = met.select("qid", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"h_{f}").alias("human"), F.col(f"j_{f}").alias("judge")) for f in fields])).alias("x"))
+    rows = each.select("x.*").filter("human <> ''")
+    n = confusion(rows, "human", "judge", ["field"]).groupBy("field").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(" -> ", "human", "judge").alias("k"), "n")))).alias("confusion"))
+    return agreement(rows, "human", "judge", ["field"]).join(n, "field")
+
+
+def score_stages(lists: DataFrame, span_chunks: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """``score_lists`` of every stage of long-form lists, under ``config_id@stage`` but for the final one; each is judged by its final list's length."""
+    budget = lists.filter("stage = 'final'").groupBy(*KEY).agg(F.count("*").alias("budget"))
+    name = F.when(F.col("stage") == "final", F.col("config_id")).otherwise(F.concat_ws("@", "config_id", "stage"))
+    each = lists.withColumn("_name", name)
+    budgets = each.select(*KEY, "_name").distinct().join(budget, KEY).select(F.col("_name").alias("config_id"), "qid", "budget")
+    return score_lists(each.select(F.col("_name").alias("config_id"), "qid", "rank", "chunk_id"), span_chunks, ks, budgets)
+
+
 def kappa_band(k: Column) -> Column:
     """Verbal band of a kappa, upper bounds included."""
     # The usual bands of agreement.

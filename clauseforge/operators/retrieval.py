@@ -8,22 +8,25 @@ scope filter never changes them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
-from ..functions.udfs import stems
+from ..functions.udfs import encoder, stems
 from ..session import materialise
 
 K1, B, CANDIDATES, FINAL = 1.5, 0.75, 50, 8
-#: Largest query set (rows) that is broadcast; beyond it a join on the term is shuffled.
-BROADCAST_ROWS = 200_000
-#: Query vectors that meet all rows in one block.
-DENSE_BLOCK = 20_000
+#: Rows of questions' terms, or query vectors, that are sent to every task at a time; more of them take a pass each.
+BLOCK_ROWS, BLOCK_VECTORS = 200_000, 10_000
+#: Candidates that a task keeps before it cuts them to the best k of each question.
+KEPT = 1 << 20
 
 
 def distinct_chunks(chunks: DataFrame, strategy: str | None = None) -> DataFrame:
@@ -34,21 +37,32 @@ def distinct_chunks(chunks: DataFrame, strategy: str | None = None) -> DataFrame
 
 @dataclass(frozen=True)
 class Index:
-    """``postings (term, chunk_id, doc_id, tf, dl)``, ``terms (term, df)`` and ``totals (n, avgdl)``."""
+    """``docs (chunk_id, doc_id, dl, toks)``, ``terms (term, df)`` and ``totals (n, avgdl)``.
 
-    postings: DataFrame
+    Tokens stand with their chunk, so a chunk's score is summed where the chunk
+    is, and only the best few of each task are shuffled.
+    """
+
+    docs: DataFrame
     terms: DataFrame
     totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """``term, chunk_id, doc_id, dl, tf``: the same, turned to terms."""
+        each = self.docs.select("chunk_id", "doc_id", "dl", F.explode("toks").alias("term"))
+        return each.groupBy("term", "chunk_id", "doc_id", "dl").agg(F.count("*").alias("tf"))
+
 
 def build_index(chunks: DataFrame, stopwords: list[str] | None = T.STOPWORDS, stemmed: bool = False) -> Index:
-    """Index of ``chunk_id, doc_id, text``. Lengths count tokens after stop words, with repeats; chunks without tokens count in ``n``."""
+    """Index of ``chunk_id, doc_id, text``. Lengths count tokens after stop words, with repeats; chunks without tokens count in ``n``.
+
+    Writes the tokens once; statistics are read from there.
+    """
     toks = T.tokens("text", stopwords)
-    base = chunks.select("chunk_id", "doc_id", (stems(toks) if stemmed else toks).alias("toks")).withColumn("dl", F.size("toks").cast("bigint"))
-    postings = base.select("chunk_id", "doc_id", "dl", F.explode("toks").alias("term")).groupBy("term", "chunk_id", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    totals = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(postings, terms, totals)
+    docs = materialise(chunks.select("chunk_id", "doc_id", (stems(toks) if stemmed else toks).alias("toks")).withColumn("dl", F.size("toks").cast("bigint")), "index")
+    terms = docs.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return Index(docs, materialise(terms, "terms"), docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def query_terms(questions: DataFrame, stopwords: list[str] | None = T.STOPWORDS, stemmed: bool = False) -> DataFrame:
@@ -64,35 +78,84 @@ def _ranked(scored: DataFrame, stage: str, k: int, *ties: Column) -> DataFrame:
     return top.select("qid", F.lit(stage).alias("stage"), F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
 
 
+def _cut(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The best ``k`` rows of each ``q``: by score to 12 digits, then by ``chunk_id``."""
+    x = pd.concat(parts, ignore_index=True)
+    x["r"] = -x["score"].round(12)
+    return x.sort_values(["q", "r", "chunk_id"], kind="stable").groupby("q", sort=False).head(k)[["q", "chunk_id", "score"]]
+
+
+def _blocks(df: DataFrame, key: str, rows: int) -> list[DataFrame]:
+    """``df`` in parts of about ``rows`` rows by a hash of ``key``; one part if it is no larger."""
+    n = -(-df.count() // rows)
+    return [df] if n <= 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def bm25(index: Index, terms: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B, scoped: bool = True) -> DataFrame:
     """BM25 list of each question, positive scores only; ties go to the smaller ``chunk_id``.
 
     ``terms`` comes from ``query_terms``. Scoped, a question with a ``doc_id``
     meets only chunks of that document (unknown: none), others the whole corpus.
-    Unknown terms drop out. The question side carries idf and is written once: up
-    to ``BROADCAST_ROWS`` rows it is broadcast, so that the postings of a frequent
-    term stay where they are; beyond, both sides are shuffled by term and skewed
-    terms are left to adaptive execution. Partial sums are formed before the
-    shuffle on (question, chunk).
+    Unknown terms drop out. The question side carries idf and is written once.
+    Blocks of ``BLOCK_ROWS`` of it go to the tasks; each scores its chunks in
+    full and hands on its ``k`` best of each question, so what is shuffled
+    grows with questions and tasks, not with the chunks that share a term.
     """
-    n, avgdl = F.col("n").cast("double"), F.col("avgdl")
-    weighted = terms.join(index.terms, "term").crossJoin(F.broadcast(index.totals))
+    n = F.col("n").cast("double")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = weighted.select("qid", F.col("doc_id").alias("scope"), "term", (idf * F.col("qtf")).alias("w"), "avgdl")
+    scope = F.col("doc_id") if scoped else F.lit(None).cast("string")
+    weighted = terms.join(index.terms, "term").crossJoin(F.broadcast(index.totals)).select("qid", scope.alias("scope"), "term", (idf * F.col("qtf")).alias("w"), "avgdl")
     weighted = materialise(weighted, "terms")
-    side = F.broadcast if weighted.count() <= BROADCAST_ROWS else lambda x: x
-    tf = F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / avgdl))
-    if scoped:
-        in_doc = index.postings.join(side(weighted.filter("scope is not null").withColumnRenamed("scope", "doc_id")), ["term", "doc_id"])
-        parts = [in_doc, index.postings.join(side(weighted.filter("scope is null").drop("scope")), "term")]
-    else:
-        parts = [index.postings.join(side(weighted.drop("scope")), "term")]
-    out = None
-    for p in parts:
-        p = p.select("qid", "chunk_id", (F.col("w") * tf).alias("s"))
-        out = p if out is None else out.unionByName(p)
-    scored = out.groupBy("qid", "chunk_id").agg(F.sum("s").alias("score"))
-    return _ranked(scored, "bm25", k, F.asc("chunk_id"))
+    kind = terms.schema["qid"].dataType.simpleString()
+    parts = []
+    for block in _blocks(weighted, "qid", BLOCK_ROWS):
+        w = block.toPandas()
+        names = pd.Index(w["qid"].unique())
+        side = pd.DataFrame({"q": names.get_indexer(w["qid"]), "term": w["term"], "w": w["w"].astype(float)})
+        bound = w["scope"].notna().to_numpy()
+        avgdl = float(w["avgdl"].iloc[0] or 1.0) if len(w) else 1.0
+        shared = terms.sparkSession.sparkContext.broadcast((side[~bound], side[bound].assign(doc_id=w["scope"][bound]), names.to_numpy(dtype=object), avgdl))
+        parts.append(index.docs.mapInPandas(_scorer(shared, k, k1, b), f"qid {kind}, chunk_id string, score double"))
+    return _ranked(_union(parts), "bm25", k, F.asc("chunk_id"))
+
+
+def _scorer(shared, k: int, k1: float, b: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free, bound, names, avgdl = shared.value
+        kept: list[pd.DataFrame] = []
+        known_terms, known_docs = set(free["term"]), set(bound["doc_id"]) if len(bound) else set()
+        size = 0
+        for batch in batches:
+            rows = [(i, d, t, n) for i, (d, c) in enumerate(zip(batch["doc_id"], batch["toks"])) for t, n in Counter(c).items() if t in known_terms or d in known_docs]
+            if not rows:
+                continue
+            tf = pd.DataFrame(rows, columns=["c", "doc_id", "term", "n"])
+            dl = batch["dl"].to_numpy(dtype=float)[tf["c"]]
+            tf["tf"] = tf["n"] / (tf["n"] + k1 * (1 - b + b * dl / avgdl))
+            met = [tf.merge(side, on=on)[["q", "c", "tf", "w"]] for side, on in ((free, ["term"]), (bound, ["doc_id", "term"])) if len(side)]
+            m = pd.concat(met, ignore_index=True)
+            if not len(m):
+                continue
+            m["score"] = m["tf"] * m["w"]
+            s = m.groupby(["q", "c"], sort=False)["score"].sum().reset_index()
+            s["chunk_id"] = batch["chunk_id"].to_numpy(dtype=object)[s["c"]]
+            kept.append(_cut([s], k))
+            size += len(kept[-1])
+            if size > KEPT:
+                kept = [_cut(kept, k)]
+                size = len(kept[0])
+        if kept:
+            out = _cut(kept, k)
+            yield pd.DataFrame({"qid": names[out["q"]], "chunk_id": out["chunk_id"].to_numpy(dtype=object), "score": out["score"].to_numpy()})
+
+    return score
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -108,19 +171,59 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, on: list[
     """Cosine list of each query (``qid, qvec``) over ``chunk_id, vec``, no score floor; ties go to the smaller ``chunk_id``.
 
     ``on`` names columns (a scope or model) both sides must agree in. Without
-    it every query meets every row: the query set is checked and broadcast in
-    one block up to ``DENSE_BLOCK`` rows, and refused beyond; call block by block there.
+    it every query meets every row: blocks of ``BLOCK_VECTORS`` queries go to the
+    tasks, each multiplies its rows with them and hands on its ``k`` best of each
+    query. Null, empty and all-zero vectors, and rows of another width than the query, take no part.
     """
     v = vectors.filter("vec is not null and size(vec) > 0").withColumn("vnorm", norm(F.col("vec"))).filter("vnorm > 0")
     q = queries.filter("qvec is not null and size(qvec) > 0").withColumn("qnorm", norm(F.col("qvec"))).filter("qnorm > 0")
     if on:
         met = v.join(q, on)
-    else:
-        if q.limit(DENSE_BLOCK + 1).count() > DENSE_BLOCK:
-            raise ValueError(f"more than {DENSE_BLOCK} query vectors in one block")
-        met = v.crossJoin(F.broadcast(q))
-    scored = met.select("qid", "chunk_id", (dot(F.col("vec"), F.col("qvec")) / (F.col("vnorm") * F.col("qnorm"))).alias("score"))
-    return _ranked(scored, "dense", k, F.asc("chunk_id"))
+        scored = met.select("qid", "chunk_id", (dot(F.col("vec"), F.col("qvec")) / (F.col("vnorm") * F.col("qnorm"))).alias("score"))
+        return _ranked(scored, "dense", k, F.asc("chunk_id"))
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+    parts = []
+    for block in _blocks(q.select("qid", "qvec"), "qid", BLOCK_VECTORS):
+        own = block.toPandas()
+        shared = vectors.sparkSession.sparkContext.broadcast((own["qid"].to_numpy(dtype=object), [np.asarray(x, dtype=float) for x in own["qvec"]]))
+        parts.append(v.select("chunk_id", "vec").mapInPandas(_multiplier(shared, k), kinds))
+    return _ranked(_union(parts), "dense", k, F.asc("chunk_id"))
+
+
+def _multiplier(shared, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, queries = shared.value
+        widths = np.array([len(x) for x in queries])
+        kept: list[pd.DataFrame] = []
+        size = 0
+        for b in batches:
+            of = b["vec"].map(len).to_numpy()
+            for width in np.unique(of):
+                at, asked = np.flatnonzero(of == width), np.flatnonzero(widths == width)
+                if not len(asked):
+                    continue
+                x, y = np.stack([np.asarray(z, dtype=float) for z in b["vec"].to_numpy()[at]]), np.stack([queries[i] for i in asked])
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                y /= np.linalg.norm(y, axis=1, keepdims=True)
+                for a in range(0, len(at), 1024):
+                    s = y @ x[a : a + 1024].T
+                    frames = pd.DataFrame({"q": np.repeat(asked, s.shape[1]), "chunk_id": np.tile(b["chunk_id"].to_numpy()[at[a : a + 1024]], len(asked)), "score": s.ravel()})
+                    kept.append(_cut([frames], k))
+                    size += len(kept[-1])
+                    if size > KEPT:
+                        kept = [_cut(kept, k)]
+                        size = len(kept[0])
+        if kept:
+            out = _cut(kept, k)
+            yield pd.DataFrame({"qid": names[out["q"]], "chunk_id": out["chunk_id"].to_numpy(), "score": out["score"].to_numpy()})
+
+    return run
+
+
+def encode_questions(questions: DataFrame, encode: Callable[[list[str]], list[list[float]]] | None = None, prefix: str = "") -> DataFrame:
+    """``qid, doc_id, qvec``: each distinct question encoded once, with the model's ``prefix`` before it."""
+    texts = questions.select("question").distinct().withColumn("qvec", encoder(encode)(F.concat(F.lit(prefix), F.coalesce("question", F.lit("")))))
+    return questions.select("qid", "doc_id", "question").join(texts, "question").select("qid", "doc_id", "qvec")
 
 
 def rrf(lists: DataFrame, k: int = 60, cut: int = CANDIDATES) -> DataFrame:

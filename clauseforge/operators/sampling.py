@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,9 +15,12 @@ from ..functions.text import hash_draw
 
 #: Bins of draws that a split counts.
 CUT_BINS = 1 << 16
-# What counts as an amount in a clause, and as a redaction.
-AMOUNT = r"(?i)[$€£¥]\s?\d|\d+(?:\.\d+)?\s?%|\b\d+\s+(?:days?|weeks?|months?|years?)\b"
-REDACTED = r"\[\*+\]|\[●\]|_{3,}|\*{3,}"
+# What counts as an amount, a duration or a date in a clause ("$45,420", "ninety (90) days", "two-year", "May 1, 2020"), and as a redaction.
+_UNIT = r"(?:%|(?:percent|per\s*cent|days?|weeks?|months?|years?|hours?)\b)"
+_NUMBER_WORD = r"(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|fifteen|twenty|thirty|sixty|ninety)"
+_DATE = r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}|\b\d{1,2}/\d{1,2}/\d{2,4}"
+AMOUNT = rf"(?i)\$\s?\d|\b\d[\d,.]*[\s-]*{_UNIT}|\b{_NUMBER_WORD}\b(?:[\s-]+\w+)?[\s-]*(?:\(\d+\)[\s-]*)?{_UNIT}|{_DATE}"
+REDACTED = r"\[\s*(?:\*+|●)\s*\]"
 
 
 def allocate(counts: dict[str, int], size: int) -> dict[str, int]:
@@ -105,39 +110,53 @@ def fill_templates(candidates: DataFrame, templates: DataFrame, names: DataFrame
     return met.withColumn("question", F.replace("template", F.lit("{name}"), F.col("name")))
 
 
-def reference_answer(informative: str, spans: str, longest: int = 800):
-    """The sheet's value where it says something, else the spans joined; cut to ``longest`` characters."""
-    v = F.trim(F.coalesce(F.col(informative), F.lit("")))
-    return F.substring(F.when(~F.lower(v).isin("", "yes", "no"), v).otherwise(F.array_join(F.col(spans), " … ")), 1, longest)
+def informative(answer: Column | str) -> Column:
+    """Whether a sheet's answer says more than nothing, yes or no."""
+    return ~F.lower(F.trim(F.coalesce(F.col(answer) if isinstance(answer, str) else answer, F.lit("")))).isin("", "yes", "no")
 
 
-def agreement_name(title):
-    """Readable name of an agreement: file ending and trailing numbers dropped, words capitalised."""
-    return F.initcap(T.squeeze(F.regexp_replace(F.regexp_replace(title, r"(?i)\.(?:pdf|txt)$", ""), r"[_\d]+", " ")))
+def reference_answer(categories: Column, answers: Column, spans: Column, longest: int = 800) -> Column:
+    """Per category the sheet's value where it says something, else the spans joined; several as ``category: value``; cut to ``longest`` characters.
 
+    ``answers`` and ``spans`` are maps by category.
+    """
+    value = lambda c: F.when(informative(answers[c]), answers[c]).otherwise(F.array_join(F.coalesce(spans[c], F.array().cast("array<string>")), " … "))
+    several = F.array_join(F.transform(categories, lambda c: F.concat(c, F.lit(": "), value(c))), "; ")
+    return F.substring(F.when(F.size(categories) > 1, several).otherwise(value(categories[0])), 1, longest)
 
-def select_round_robin(candidates: pd.DataFrame, quota: int, seed: str = "0", per_doc: int = 2, used_docs: dict | None = None, used_pairs: set | None = None) -> pd.DataFrame:
-    """One candidate per category in turn, under a cap per document and without a repeated (document, category), until the quota is met.
 
-    Each pick depends on those before it, so it runs in the driver on a bounded candidate table; the two
-    ``used`` arguments carry its state over types and splits.
-    """
-    import hashlib
+def enough_letters(text: Column | str, least: int = 3) -> Column:
+    """Whether a span has at least ``least`` letters and digits (redaction marks alone haven't)."""
+    return F.length(F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"[^\p{L}\p{N}]", "")) >= least
+
+
+def first_of_split(questions: DataFrame, split: str, most: int | None = None) -> DataFrame:
+    """Questions of a split, of those the ``most`` first by id."""
+    q = questions.filter(F.col("split") == split).dropDuplicates(["qid"])
+    return q if most is None else q.orderBy("qid").limit(most)
+
+
+def select_round_robin(candidates: pd.DataFrame, quota: int, seed: str = "0", per_doc: int = 2, used_docs: Counter | None = None, used_pairs: set | None = None) -> pd.DataFrame:
+    """One candidate per key in turn, under a cap per document and without a repeated (document, category), until the quota is met.
 
-    used_docs, used_pairs = {} if used_docs is None else used_docs, set() if used_pairs is None else used_pairs
+    ``candidates``: ``doc_id, key, categories`` (and more). Each pick depends on
+    those before it, so it runs in the driver on the candidates that could still
+    be picked (``pickable``); the two ``used`` arguments carry its state over types and splits.
+    """
+    used_docs, used_pairs = Counter() if used_docs is None else used_docs, set() if used_pairs is None else used_pairs
     draw = lambda *p: hashlib.md5("~".join((seed, *map(str, p))).encode()).hexdigest()
-    queue = {c: sorted(part.to_dict("records"), key=lambda r: draw(r["doc_id"], r["category"])) for c, part in candidates.groupby("category")}
-    order, out = sorted(queue, key=draw), []
-    while len(out) < quota and any(queue.values()):
-        for c in order:
-            while queue[c]:
-                r = queue[c].pop(0)
-                if used_docs.get(r["doc_id"], 0) < per_doc and (r["doc_id"], c) not in used_pairs:
-                    used_docs[r["doc_id"]] = used_docs.get(r["doc_id"], 0) + 1
-                    used_pairs.add((r["doc_id"], c))
-                    out.append(r)
-                    break
-            if len(out) == quota:
+    queues = {k: deque(sorted(part.to_dict("records"), key=lambda r: draw(r["doc_id"], r["key"]))) for k, part in candidates.groupby("key")}
+    turn, out = deque(sorted(queues, key=draw)), []
+    while turn and len(out) < quota:
+        key = turn.popleft()
+        while queues[key]:
+            r = queues[key].popleft()
+            pairs = {(r["doc_id"], c) for c in r["categories"]}
+            if used_docs[r["doc_id"]] < per_doc and not pairs & used_pairs:
+                used_docs[r["doc_id"]] += 1
+                used_pairs |= pairs
+                out.append(r)
+                turn.append(key)
                 break
     return pd.DataFrame(out, columns=candidates.columns)
 
@@ -152,3 +171,24 @@ def distractors(blocks: DataFrame, evidence: DataFrame, questions: DataFrame, k:
     return met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= want).select("qid", "block_id", F.col("n").cast("bigint").alias("n"))
 
 
+def evidence_blocks(blocks: DataFrame, placed: DataFrame, most: int | None = 6) -> DataFrame:
+    """``qid, block_id, n``: blocks that a placed span touches, in reading order, the ``most`` first of each question."""
+    b = blocks.select("doc_id", "block_id", F.col("char_start").alias("s"), F.col("char_end").alias("e")).dropDuplicates(["block_id"])
+    met = placed.join(b, "doc_id").filter("s < char_end and e > char_start").select("qid", "block_id", "s", "e").distinct()
+    ranked = met.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy("s", "e", "block_id")).cast("bigint"))
+    return (ranked if most is None else ranked.filter(F.col("n") <= most)).select("qid", "block_id", "n")
+
+
+def oracle_context(blocks: DataFrame, placed: DataFrame, questions: DataFrame, k: int = 3, seed: str = "0", most_chars: int = 2500) -> DataFrame:
+    """The context a perfect search would give: each question's evidence blocks and distractors of its contract, in hash order.
+
+    ``qid, rank, chunk_id, doc_id, text, section_path, page_start, page_end, char_start, char_end``; texts are cut to ``most_chars``.
+    """
+    evidence = evidence_blocks(blocks, placed)
+    picked = evidence.select("qid", "block_id").unionByName(distractors(blocks, evidence, questions, k, seed=seed).select("qid", "block_id"))
+    b = blocks.dropDuplicates(["block_id"]).select("doc_id", "block_id", F.substring("text", 1, most_chars).alias("text"), "section_path", "page", "char_start")
+    met = picked.join(b, "block_id")
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(hash_draw(seed, F.lit("order"), F.col("qid"), F.col("block_id")), "block_id"))
+    met = met.withColumn("rank", rank.cast("bigint"))
+    name = F.concat_ws("::", F.col("doc_id"), F.lit("oracle"), F.lpad((F.col("rank") - 1).cast("string"), 5, "0"))
+    return met.select("qid", "rank", name.alias("chunk_id"), "doc_id", "text", "section_path", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "char_start", (F.col("char_start") + F.length("text")).alias("char_end"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -90,11 +90,21 @@ def _questions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "questions").dropDuplicates(["qid"])
 
 
-def _bm25_list(s: SparkSession, d: str, k: int, scoped: bool = True, named: bool = False) -> DataFrame:
-    q = _questions(s, d)
-    if named:
-        q = q.withColumn("question", retrieval.scoped_question("question", "contract_name"))
-    return retrieval.bm25(retrieval.build_index(_fixed(s, d)), retrieval.query_terms(q), k, scoped=scoped)
+_INDEXES: dict[tuple, tuple[str, retrieval.Index]] = {}
+
+
+def _index(s: SparkSession, d: str, stemmed: bool = False) -> retrieval.Index:
+    """The index of a folder's fixed chunks: built once, kept in the shared folder and read by all queries of a session."""
+    key = (s.sparkContext.applicationId, d, stemmed)
+    if key not in _INDEXES or not files.path_exists(s, _INDEXES[key][0]):
+        path = scratch_path(s, "index")
+        files.write_index(retrieval.build_index(_fixed(s, d), stemmed=stemmed), path)
+        _INDEXES[key] = (path, files.read_index(s, path))
+    return _INDEXES[key][1]
+
+
+def _bm25_list(s: SparkSession, d: str, k: int, scoped: bool = True) -> DataFrame:
+    return retrieval.bm25(_index(s, d), retrieval.query_terms(_questions(s, d)), k, scoped=scoped)
 
 
 def _chunk_vectors(s: SparkSession, d: str) -> DataFrame:
@@ -130,7 +140,7 @@ def ret0_index_report(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_INDEX} SELECT term, df FROM df")
 def ret0_term_df(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.build_index(_fixed(s, d)).terms
+    return _index(s, d).terms
 
 
 @query(f"WITH {_bm25('question', '', 8)} {_lists('bm')}")
@@ -146,7 +156,7 @@ def ret1_bm25_scoped(s: SparkSession, d: str) -> DataFrame:
 @query()
 def ret1_bm25_stemmed(s: SparkSession, d: str) -> DataFrame:
     """BM25 with the English stemmer on both sides."""
-    return _shown(retrieval.bm25(retrieval.build_index(_fixed(s, d), stemmed=True), retrieval.query_terms(_questions(s, d), stemmed=True), 8))
+    return _shown(retrieval.bm25(_index(s, d, True), retrieval.query_terms(_questions(s, d), stemmed=True), 8))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, e.vec_id AS chunk_id,
@@ -195,7 +205,7 @@ def ret7_pipeline(s: SparkSession, d: str) -> DataFrame:
 
 def _pipeline(s: SparkSession, d: str) -> DataFrame:
     chunks = _fixed(s, d)
-    return retrieval.run_pipeline(PIPELINE, _questions(s, d), chunks, retrieval.build_index(chunks), _dense_list(s, d))
+    return retrieval.run_pipeline(PIPELINE, _questions(s, d), chunks, _index(s, d), _dense_list(s, d))
 
 
 @query(f"WITH {_QS} SELECT qid, {_SCOPED_Q} AS question FROM qs")
@@ -300,31 +310,41 @@ def met_summary(s: SparkSession, d: str) -> DataFrame:
     return t.groupBy("config_id", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
 
 
-def _boot(source: str, group: str, value: str, key: str, rounds: int) -> str:
-    return f"""vv AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {key}) - 1 AS slot, count(*) OVER (PARTITION BY {group}) AS n FROM {source}),
-dr AS (SELECT {group}, r, concat('0x', substr(md5(concat(r, '~', slot)), 1, 8))::BIGINT % n AS slot FROM vv, range(1, {rounds + 1}) g(r)), mm AS (SELECT {group}, r, avg({value}) AS m FROM dr JOIN vv USING ({group}, slot) GROUP BY ALL),
+_WEIGHT = " + ".join(f"(u >= {x})::INT" for x in udfs.POISSON_STEPS)
+
+
+def _boot(source: str, group: str, value: str, key: str, rounds: int = 2000) -> str:
+    return f"""dr AS (SELECT {key}, 8 * k + i AS r, {_WEIGHT} AS w FROM (SELECT {key}, k, i, concat('0x', substr(md5(concat(k, '~', {key})), 4 * i + 1, 4))::INT AS u FROM (SELECT DISTINCT {key} FROM {source}), range(0, {-(-rounds // 8)}) a(k), range(0, 8) b(i)) WHERE 8 * k + i < {rounds}),
+mm AS (SELECT {group}, r, sum(w * {value}) / sum(w) AS m FROM {source} JOIN dr USING ({key}) GROUP BY ALL HAVING sum(w) > 0),
 ci AS (SELECT {group}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM mm GROUP BY {group}), mn AS (SELECT {group}, avg({value}) AS mean, count(*) AS n FROM {source} GROUP BY {group})"""
 
 
-@query(f"WITH {_LABELLED}, {_LONG}, {_boot('lg', 'config_id, metric', 'value', 'qid', 60)} SELECT config_id, metric, round(mean, 6) AS mean, n, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high FROM mn JOIN ci USING (config_id, metric)")
+_ENDS = ", ".join(f"round({c}, {n}) AS {c}" for c, n in (("mean", 6), ("ci_low", 7), ("ci_high", 7))) + ", n"
+
+
+def _rounded(b: DataFrame) -> DataFrame:
+    return b.withColumns({"mean": F.round("mean", 6), "ci_low": F.round("ci_low", 7), "ci_high": F.round("ci_high", 7)})
+
+
+@query(f"WITH {_LABELLED}, {_LONG}, {_boot('lg', 'config_id, metric', 'value', 'qid')} SELECT config_id, metric, {_ENDS} FROM mn JOIN ci USING (config_id, metric)")
 def met_bootstrap(s: SparkSession, d: str) -> DataFrame:
+    """Intervals of every metric by 2000 rounds."""
     t = materialise(metrics.metric_table(_scored(s, d)), "metrics")
-    b = metrics.bootstrap_native(t, ["config_id", "metric"], "value", "qid", 60)
-    return b.select("config_id", "metric", F.round("mean", 6).alias("mean"), "n", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"))
+    return _rounded(metrics.bootstrap_native(t, ["config_id", "metric"], "value", "qid"))
 
 
 @query(f"""WITH {_LABELLED}, {_LONG}, df2 AS (SELECT a.metric, a.qid, b.value - a.value AS diff FROM lg a JOIN lg b ON a.metric = b.metric AND a.qid = b.qid AND a.config_id = 'bm25' AND b.config_id = 'rerank'),
-{_boot('df2', 'metric', 'diff', 'qid', 60)} SELECT metric, round(mean, 6) AS mean, n, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, ci_low > 0 OR ci_high < 0 AS significant FROM mn JOIN ci USING (metric)""")
+{_boot('df2', 'metric', 'diff', 'qid')} SELECT metric, {_ENDS}, ci_low > 0 OR ci_high < 0 AS significant FROM mn JOIN ci USING (metric)""")
 def met_paired_difference(s: SparkSession, d: str) -> DataFrame:
+    """Paired differences with intervals by 2000 rounds."""
     t = materialise(metrics.metric_table(_scored(s, d)), "metrics")
-    b = metrics.paired_difference(t, "bm25", "rerank", 60)
-    return b.select("metric", F.round("mean", 6).alias("mean"), "n", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"), "significant")
+    return _rounded(metrics.paired_difference(t, "bm25", "rerank"))
 
 
 @query()
 def met_bootstrap_exact(s: SparkSession, d: str) -> DataFrame:
     """Intervals with numpy's generator."""
-    return metrics.bootstrap_exact(metrics.metric_table(_scored(s, d)), ["config_id", "metric"], "value", "qid")
+    return metrics.bootstrap_exact(materialise(metrics.metric_table(_scored(s, d)), "metrics"), ["config_id", "metric"], "value", "qid")
 
 
 @query()
@@ -384,7 +404,8 @@ def agg5_candidate_pool(s: SparkSession, d: str) -> DataFrame:
 
 
 _MARGIN = r"regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '\d+', '#', 'g')"
-_MARGINS = f"""b AS (SELECT DISTINCT doc_id, block_id, block_type, page, text FROM blocks), kp AS (SELECT DISTINCT doc_id, page, {_MARGIN} AS key FROM b WHERE length(text) <= 200), ap AS (SELECT doc_id, count(DISTINCT page) AS a FROM b GROUP BY doc_id),
+_MARGINS = f"""b AS (SELECT DISTINCT doc_id, block_id, block_type, page, text, char_start, char_end FROM blocks), mb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY char_start, char_end, block_id) AS f, row_number() OVER (PARTITION BY doc_id, page ORDER BY char_start DESC, char_end DESC, block_id DESC) AS l FROM b),
+kp AS (SELECT DISTINCT doc_id, page, {_MARGIN} AS key FROM mb WHERE length(text) <= 200 AND (f = 1 OR l = 1)), ap AS (SELECT doc_id, count(DISTINCT page) AS a FROM b GROUP BY doc_id),
 mg AS (SELECT doc_id, key, count(DISTINCT page) AS pages FROM kp GROUP BY ALL), ok AS (SELECT mg.doc_id, key, pages FROM mg JOIN ap USING (doc_id) WHERE pages >= greatest(2, ceil(a * 0.5)))"""
 
 
@@ -393,7 +414,7 @@ def agg6_repeated_margins(s: SparkSession, d: str) -> DataFrame:
     return ingest.repeated_margins(table(s, d, "blocks").dropDuplicates(["block_id"]))
 
 
-@query(rf"""WITH {_MARGINS} SELECT block_type, count(*) AS blocks FROM b WHERE NOT regexp_matches(text, '(?i)^\s*(?:page\s+)?-?\s*\d+\s*-?(?:\s*(?:of|/)\s*\d+)?\s*$')
+@query(rf"""WITH {_MARGINS} SELECT block_type, count(*) AS blocks FROM b WHERE NOT regexp_matches(text, '(?i)^(?:page\s*)?[-–—]?\s*\d+\s*[-–—]?$')
 AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.doc_id = b.doc_id AND ok.key = {_MARGIN.replace("(text", "(b.text")}) GROUP BY block_type""")
 def flt7_without_margins(s: SparkSession, d: str) -> DataFrame:
     b = table(s, d, "blocks").dropDuplicates(["block_id"])
@@ -424,23 +445,27 @@ def chk0_offsets(s: SparkSession, d: str) -> DataFrame:
     return b.agg(F.count("*").alias("blocks")).crossJoin(chunking.validate_blocks(b, c).agg(F.count("*").alias("broken")))
 
 
-@query(r"""WITH d AS (SELECT DISTINCT doc_id, full_text FROM contracts WHERE full_text IS NOT NULL), x AS (SELECT doc_id, regexp_extract_all(full_text, '\S+') AS tk, regexp_split_to_array(full_text, '\S+') AS gp FROM d),
-e AS (SELECT doc_id, generate_subscripts(tk, 1) - 1 AS i, unnest(tk) AS t, unnest(gp[1:len(tk)]) AS g FROM x WHERE len(tk) > 0), o AS (SELECT doc_id, i, length(t) AS tl, sum(length(t) + length(g)) OVER (PARTITION BY doc_id ORDER BY i) AS e, count(*) OVER (PARTITION BY doc_id) AS n FROM e),
-w AS (SELECT *, CASE WHEN n <= 128 THEN 0 ELSE ceil((n - 128) / 112) END AS last FROM o), f AS (SELECT doc_id, i // 112 AS chunk_index, e - tl AS s, i AS a, n FROM w WHERE i % 112 = 0 AND i // 112 <= last)
-SELECT f.doc_id, f.chunk_index, f.s::BIGINT AS char_start, o.e::BIGINT AS char_end, o.i - f.a + 1 AS token_count FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = least(f.a + 127, f.n - 1)""")
+_TOKENS = r"""x AS (SELECT doc_id, regexp_extract_all(full_text, '\S+') AS tk, regexp_split_to_array(full_text, '\S+') AS gp FROM (SELECT DISTINCT doc_id, full_text FROM contracts WHERE full_text IS NOT NULL)),
+e AS (SELECT doc_id, generate_subscripts(tk, 1) - 1 AS i, unnest(tk) AS t, unnest(gp[1:len(tk)]) AS g FROM x WHERE len(tk) > 0),
+o AS MATERIALIZED (SELECT doc_id, i, length(t) AS tl, sum(length(t) + length(g)) OVER (PARTITION BY doc_id ORDER BY i) AS e, count(*) OVER (PARTITION BY doc_id) AS n FROM e),
+w AS (SELECT *, CASE WHEN n <= 512 THEN 0 ELSE ceil((n - 512) / 448) END AS last FROM o), f AS (SELECT doc_id, i // 448 AS chunk_index, e - tl AS s, i AS a, n FROM w WHERE i % 448 = 0 AND i // 448 <= last),
+fw AS (SELECT f.doc_id, f.chunk_index, f.s::BIGINT AS char_start, o.e::BIGINT AS char_end, o.i - f.a + 1 AS token_count FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = least(f.a + 511, f.n - 1))"""
+
+
+@query(f"WITH {_TOKENS} SELECT * FROM fw")
 def chk1_fixed(s: SparkSession, d: str) -> DataFrame:
-    """Windows of 128 tokens that share 16."""
-    return chunking.fixed_windows(table(s, d, "contracts").dropDuplicates(["doc_id"]), 128, 16)
+    """Windows of 512 tokens that share 64."""
+    return chunking.fixed_windows(table(s, d, "contracts").dropDuplicates(["doc_id"]))
 
 
 @query()
 def chk2_sentence_windows(s: SparkSession, d: str) -> DataFrame:
-    return chunking.neighbourhoods(chunking.attach_prefixes(chunking.sentence_units(table(s, d, "blocks"))))
+    return chunking.sentence_windows(table(s, d, "blocks"), table(s, d, "contracts"))
 
 
 @query()
 def chk3_sections(s: SparkSession, d: str) -> DataFrame:
-    return chunking.section_chunks(table(s, d, "blocks"), table(s, d, "contracts"), 256)
+    return chunking.section_chunks(table(s, d, "blocks"), table(s, d, "contracts"))
 
 
 @query("""WITH c AS (SELECT DISTINCT chunk_id, doc_id, char_start, char_end FROM chunks WHERE strategy = 'fixed'), b AS (SELECT DISTINCT block_id, doc_id, page, block_type, section_path, char_start, char_end FROM blocks),
@@ -514,10 +539,14 @@ def txt17_citations(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_CITES}, v AS (SELECT request_id, count(chunk_id) AS valid, count(*) - count(chunk_id) AS invalid FROM n LEFT JOIN ex USING (request_id, n) GROUP BY request_id)
 SELECT a.request_id, coalesce(valid, 0) AS valid, coalesce(invalid, 0) AS invalid, round(CASE WHEN coalesce(valid + invalid, 0) > 0 THEN valid / (valid + invalid) WHEN abstained THEN NULL ELSE 0 END, 6)::DOUBLE AS validity FROM a LEFT JOIN v USING (request_id)""")
 def agg22_citation_validity(s: SparkSession, d: str) -> DataFrame:
+    return agg22_citation_validity_raw(s, d).withColumn("validity", F.round("validity", 6))
+
+
+def agg22_citation_validity_raw(s: SparkSession, d: str) -> DataFrame:
     a, _ = _cited(s, d)
     v = txt17_citations(s, d).groupBy("request_id").agg(F.count("chunk_id").alias("valid"), F.count(F.when(~F.col("valid"), 1)).alias("invalid"))
     j = a.join(v, "request_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("valid", "invalid")})
-    return j.select("request_id", "valid", "invalid", F.round(judge.citation_validity(F.col("answer"), F.col("valid"), F.col("invalid"), F.col("abstained")), 6).alias("validity"))
+    return j.select("request_id", "valid", "invalid", judge.citation_validity(F.col("answer"), F.col("valid"), F.col("invalid"), F.col("abstained")).alias("validity"))
 
 
 _NUMS = r"[regexp_replace(replace(x, ',', ''), '\.00$', '') FOR x IN regexp_extract_all({c}, '\d[\d,]*(?:\.\d+)?')]"
@@ -537,8 +566,11 @@ def txt10_unsupported_numbers(s: SparkSession, d: str) -> DataFrame:
     return j.select("request_id", F.array_join(m, " ").alias("missing"))
 
 
+_DECLINES_SQL = repr(T.DECLINES).replace("doesn't", "doesn''t").replace("don't", "don''t").replace("didn't", "didn''t").replace(chr(92) * 2, chr(92)).replace('"', "'")
+
+
 @query(rf"""WITH a AS (SELECT request_id, any_value(model) AS model, trim(coalesce(any_value(answer), ''), chr(32)) AS t, coalesce(any_value(abstained), false) AS f FROM ask_responses GROUP BY request_id),
-x AS (SELECT model, f OR t = '' OR regexp_matches(regexp_split_to_array(regexp_replace(t, '([.!?])\s+([A-Z("''“])', '\1' || chr(1) || '\2', 'g'), chr(1))[1], {repr(T.DECLINES).replace("doesn't", "doesn''t").replace("don't", "don''t").replace("didn't", "didn''t").replace(chr(92) * 2, chr(92)).replace('"', "'")}) AS declined FROM a)
+x AS (SELECT model, f OR t = '' OR regexp_matches(regexp_split_to_array(regexp_replace(t, '([.!?])\s+([A-Z("''“])', '\1' || chr(1) || '\2', 'g'), chr(1))[1], {_DECLINES_SQL}) AS declined FROM a)
 SELECT model, declined, count(*) AS answers FROM x GROUP BY ALL""")
 def txt11_declines(s: SparkSession, d: str) -> DataFrame:
     """Answers that refuse, by flag or by their first sentence, counted by model."""
@@ -563,13 +595,13 @@ def join3_names(s: SparkSession, d: str) -> DataFrame:
     return q.join(table(s, d, "contracts").filter("title is not null").select("doc_id", T.match_key("title").alias("k")).distinct(), "k").select("qid", "doc_id")
 
 
-@query("""WITH a AS (SELECT DISTINCT request_id, doc_id, question, answer FROM ask_responses), k AS (SELECT sha256(concat_ws('::', coalesce(doc_id, ''), coalesce(question, ''), coalesce(answer, ''))) AS key FROM a)
-SELECT key, count(*) AS requests FROM k GROUP BY key HAVING count(*) > 1""")
+@query(f"""WITH {_LABELLED}, ck AS (SELECT config_id, qid, sha256(concat_ws('::', qid, string_agg(chunk_id, '|' ORDER BY rank))) AS content_key FROM ls GROUP BY config_id, qid)
+SELECT content_key, count(*) AS settings FROM ck GROUP BY content_key""")
 def join19_content_reuse(s: SparkSession, d: str) -> DataFrame:
-    """Requests whose judgement one result can serve: the same contract, question and answer."""
-    a = table(s, d, "ask_responses").select("request_id", "doc_id", "question", "answer").distinct()
-    key = F.sha2(F.concat_ws("::", *[F.coalesce(c, F.lit("")) for c in ("doc_id", "question", "answer")]), 256)
-    return a.groupBy(key.alias("key")).agg(F.count("*").alias("requests")).filter("requests > 1")
+    """How many settings one answer can serve: those with the same question and the same chunks in the same order."""
+    bm = materialise(_bm25_list(s, d, 8), "bm25")
+    lists = bm.withColumn("config_id", F.lit("bm25")).unionByName(retrieval.rerank(bm, _questions(s, d), _fixed(s, d)).withColumn("config_id", F.lit("rerank")))
+    return ablation.content_key(lists).groupBy("content_key").agg(F.count("*").alias("settings"))
 
 
 @query("""WITH d AS (SELECT DISTINCT doc_id FROM contracts), h AS (SELECT doc_id, row_number() OVER (ORDER BY concat('0x', substr(md5(concat('0~', doc_id)), 1, 8))::BIGINT, doc_id) AS r, count(*) OVER () AS n FROM d)
@@ -578,7 +610,13 @@ def smp2_split(s: SparkSession, d: str) -> DataFrame:
     return sampling.split_documents(table(s, d, "contracts"))
 
 
-@query()
+_STRATA = """d AS (SELECT DISTINCT doc_id, contract_type AS t FROM contracts WHERE contract_type IS NOT NULL), c AS (SELECT t, count(*) AS n FROM d GROUP BY t), z AS (SELECT *, least(40, sum(n) OVER ()) AS size, count(*) OVER () AS strata, 40 * n / sum(n) OVER () AS quota FROM c),
+a0 AS (SELECT *, least(n, greatest(floor(quota), CASE WHEN size >= strata THEN 1 ELSE 0 END)) AS got FROM z), a1 AS (SELECT *, size - sum(got) OVER () AS open FROM a0),
+a2 AS (SELECT *, row_number() OVER (ORDER BY quota - got DESC, t) AS up, row_number() OVER (ORDER BY got <= CASE WHEN size >= strata THEN 1 ELSE 0 END, quota - got, t) AS down FROM a1),
+al AS (SELECT t, got + CASE WHEN open > 0 AND up <= open THEN 1 WHEN open < 0 AND down <= -open THEN -1 ELSE 0 END AS take FROM a2)"""
+
+
+@query(f"""WITH {_STRATA}, r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY concat('0x', substr(md5(concat('0~', doc_id)), 1, 8))::BIGINT, doc_id) AS r FROM d) SELECT doc_id, t AS contract_type FROM r JOIN al USING (t) WHERE r <= take""")
 def smp1_stratified(s: SparkSession, d: str) -> DataFrame:
     """A sample of contracts in proportion to their types."""
     return sampling.stratified(table(s, d, "contracts").select("doc_id", "contract_type").distinct(), "contract_type", "doc_id", 40)
@@ -606,7 +644,7 @@ def _span_rows(s: SparkSession, d: str) -> DataFrame:
     return labels.spans_of(table(s, d, "questions")).filter("doc_id is not null").join(c, "qid").select("doc_id", "category", F.col("span").alias("text")).distinct()
 
 
-@query(rf"""WITH {_SPAN_ROWS} SELECT DISTINCT doc_id, category FROM st WHERE regexp_matches(text, '(?i)[$€£¥]\s?\d|\d+(?:\.\d+)?\s?%|\b\d+\s+(?:days?|weeks?|months?|years?)\b') AND NOT regexp_matches(text, '\[\*+\]|\[●\]|_{{3,}}|\*{{3,}}')""")
+@query(f"""WITH {_SPAN_ROWS} SELECT DISTINCT doc_id, category FROM st WHERE regexp_matches(text, '{sampling.AMOUNT}') AND NOT regexp_matches(text, '{sampling.REDACTED}')""")
 def sel3_numeric(s: SparkSession, d: str) -> DataFrame:
     return sampling.numeric_candidates(_span_rows(s, d))
 
@@ -692,24 +730,55 @@ def jdg_faithfulness(s: SparkSession, d: str) -> DataFrame:
     return judge.faithfulness(judge.check_statements(judge.cited_excerpts(st, table(s, d, "ask_citations"))))
 
 
-@query()
+_TRIAGE = f"""{_bm25(_SCOPED_Q, _IN_DOC, 50)}, {_DENSE}, {_RRF}, {_rerank('fu', _SCOPED_Q)},
+al AS (SELECT * FROM bm UNION ALL SELECT * FROM dn UNION ALL SELECT * FROM fu UNION ALL SELECT * FROM rr UNION ALL SELECT qid, 'final', rank, chunk_id, score FROM rr WHERE rank <= 8), {_PLACED}, h AS (SELECT qid, span_index, chunk_id FROM pl JOIN c USING (doc_id) WHERE {_COVERS}),
+kk AS (SELECT qid, count(*) AS k FROM al WHERE stage = 'final' GROUP BY qid), tr AS (SELECT pl.qid, pl.span_index, count(h.chunk_id) > 0 AS cov, min(CASE WHEN al.stage IN ('bm25', 'dense') THEN al.rank END) AS cr, min(CASE WHEN al.stage = 'fusion' AND al.rank <= k THEN al.rank END) AS pr, min(CASE WHEN al.stage = 'final' THEN al.rank END) AS fr
+FROM pl JOIN kk ON kk.qid = pl.qid LEFT JOIN h ON h.qid = pl.qid AND h.span_index = pl.span_index LEFT JOIN al ON al.qid = pl.qid AND al.chunk_id = h.chunk_id GROUP BY pl.qid, pl.span_index),
+ps AS (SELECT qid, count(*) AS spans, bool_or(fr IS NOT NULL) AS any_d, bool_or(cov) AS any_c, bool_or(cr IS NOT NULL) AS any_r, bool_or(pr IS NOT NULL) AS any_p, bool_and(fr IS NOT NULL) AS all_d, avg((fr IS NOT NULL)::INT) AS recall FROM tr GROUP BY qid),
+qq AS (SELECT DISTINCT qid, qtype, answerable FROM questions), an AS (SELECT qq.*, kk.qid IS NULL AS declined, CASE WHEN EXISTS (SELECT 1 FROM al JOIN h ON h.qid = al.qid AND h.chunk_id = al.chunk_id WHERE al.stage = 'final' AND al.rank = 1 AND al.qid = qq.qid) THEN 1.0 ELSE 0.0 END::DOUBLE AS correctness FROM qq LEFT JOIN kk ON kk.qid = qq.qid),
+tg AS (SELECT '{PIPELINE.config_id}' AS config_id, an.qid, qtype, answerable, CASE WHEN NOT answerable THEN CASE WHEN declined THEN 'correct' ELSE 'answered_unanswerable' END WHEN correctness = 1 THEN 'correct' WHEN spans IS NULL THEN 'lost_in_chunking' WHEN NOT any_d AND NOT any_c THEN 'lost_in_chunking' WHEN NOT any_d AND NOT any_r THEN 'retrieval_miss'
+WHEN NOT any_d AND any_p THEN 'reranker_demotion' WHEN NOT any_d THEN 'ranking_miss' WHEN NOT all_d THEN 'partial_evidence' WHEN declined THEN 'refused_with_evidence' ELSE 'misread_evidence' END AS category, correctness, declined AS abstained, CASE WHEN answerable AND spans IS NOT NULL THEN recall END AS final_recall FROM an LEFT JOIN ps ON ps.qid = an.qid)"""
+
+
+@query(f"WITH {_TRIAGE} SELECT config_id, qid, qtype, answerable, category, correctness, abstained, round(final_recall, 6) AS final_recall, round(final_recall, 6) AS delivered_recall FROM tg")
 def tri_triage(s: SparkSession, d: str) -> DataFrame:
-    """First failing stage of the default answers over the hybrid pipeline's lists, correct where the answer holds the reference."""
+    """First failing stage over the hybrid pipeline's lists, where a question counts as answered right if the first chunk holds evidence."""
+    return _triaged(s, d).drop("faithfulness").withColumns({c: F.round(c, 6) for c in ("final_recall", "delivered_recall")})
+
+
+def _triaged(s: SparkSession, d: str) -> DataFrame:
     lists = materialise(_pipeline(s, d), "lists")
     chunks, placed = _fixed(s, d), materialise(_placed(s, d), "placed")
     final = lists.filter("stage = 'final'")
-    held = labels.relevant_chunks(placed, table(s, d, "chunks").filter("strategy = 'fixed'"))
+    held = materialise(labels.relevant_chunks(placed, table(s, d, "chunks").filter("strategy = 'fixed'")), "held")
     traces = triage.trace_spans(lists, held, placed, triage.shown_ranges(final, chunks, table(s, d, "contracts").dropDuplicates(["doc_id"])))
-    answers = judge.extractive_answer(_questions(s, d), final, chunks).join(_questions(s, d).select("qid", "qtype", "answerable", "reference_answer"), "qid")
-    right: Column = F.contains(T.normalize("reference_answer"), T.normalize(T.strip_citations("answer")))
-    rows = answers.select(F.lit(PIPELINE.config_id).alias("config_id"), "qid", "qtype", "answerable", F.col("abstained").alias("declined"), F.when(right, 1.0).otherwise(0.0).alias("correctness"), F.lit(None).cast("double").alias("faithfulness"), F.lit(True).alias("reranked"))
-    return triage.triage(rows, traces)
+    right = final.filter("rank = 1").join(held.select("qid", "chunk_id").distinct(), ["qid", "chunk_id"], "left_semi").select("qid").withColumn("right", F.lit(1.0))
+    q = _questions(s, d).select("qid", "qtype", "answerable").join(final.select("qid").distinct().withColumn("listed", F.lit(True)), "qid", "left").join(right, "qid", "left")
+    rows = q.select(F.lit(PIPELINE.config_id).alias("config_id"), "qid", "qtype", "answerable", F.col("listed").isNull().alias("declined"), F.coalesce("right", F.lit(0.0)).alias("correctness"), F.lit(None).cast("double").alias("faithfulness"), F.lit(True).alias("reranked"))
+    return materialise(triage.triage(rows, traces), "triage")
 
 
-@query()
+_STAGE = "CASE WHEN category IN ('lost_in_chunking', 'retrieval_miss', 'ranking_miss', 'reranker_demotion', 'partial_evidence') THEN 'retrieval' ELSE 'generation' END"
+
+
+@query(f"""WITH {_TRIAGE}, fl AS (SELECT * FROM tg WHERE category <> 'correct') SELECT 'category' AS level, category AS name, count(*) AS failures FROM fl GROUP BY category
+UNION ALL SELECT 'stage', {_STAGE}, count(*) FROM fl GROUP BY 2 UNION ALL SELECT 'qtype', qtype, count(*) FROM fl GROUP BY qtype""")
 def agg27_triage_summary(s: SparkSession, d: str) -> DataFrame:
     """Failures by category, stage and question type."""
-    return triage.summary(materialise(tri_triage(s, d), "triage"))
+    return triage.summary(_triaged(s, d))
+
+
+@query(f"""WITH {_TRIAGE} SELECT config_id, category, count(*) AS rows, NULL::DOUBLE AS final_recall, NULL::DOUBLE AS delivered_recall FROM tg GROUP BY ALL
+UNION ALL SELECT config_id, 'all', count(*), round(avg(final_recall), 4), round(avg(final_recall), 4) FROM tg GROUP BY config_id""")
+def agg27_by_config(s: SparkSession, d: str) -> DataFrame:
+    """Categories and mean recalls of each setting."""
+    return triage.summary_by_config(_triaged(s, d))
+
+
+@query(f"WITH {_TRIAGE}, m AS (SELECT qid, min(qtype) AS qtype, round(avg(correctness), 4) AS mean_correctness, count(*) AS rows FROM tg WHERE answerable GROUP BY qid) SELECT * FROM m WHERE coalesce(mean_correctness, 0) <= 0.25")
+def top6_hardest(s: SparkSession, d: str) -> DataFrame:
+    """Questions that hardly any answer gets right."""
+    return triage.hardest(_triaged(s, d))
 
 
 @query(f"""WITH q AS (SELECT DISTINCT qid, question, contract_name, qtype, answerable, evidence_spans FROM questions), x AS (SELECT qtype, CASE WHEN contract_name <> '' THEN replace(question, contract_name, ' ') ELSE question END AS t, unnest(evidence_spans) AS span FROM q WHERE answerable),
@@ -725,12 +794,12 @@ def agg28_shared_words(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""WITH a AS (SELECT request_id, any_value(model) AS model, coalesce(any_value(answer), '') AS t FROM ask_responses GROUP BY request_id)
-SELECT model, count(*) AS answers, count(*) FILTER (regexp_matches(t, {"'" + T.SAYS_NOT_FOUND.replace("'", "''") + "'"})) AS says_not_found, count(*) FILTER (contains(t, '[***]') OR contains(lower(t), 'redact')) AS redacted FROM a GROUP BY model""")
+SELECT model, count(*) AS answers, count(*) FILTER (regexp_matches(t, {"'" + T.SAYS_NOT_FOUND.replace("'", "''") + "'"})) AS says_not_found, count(*) FILTER (regexp_matches(t, {"'" + T.EXTRA_DETAIL + "'"})) AS extra_detail, count(*) FILTER (contains(t, '[***]') OR contains(lower(t), 'redact')) AS redacted FROM a GROUP BY model""")
 def agg28_patterns(s: SparkSession, d: str) -> DataFrame:
     """Answers that say that the text has nothing, and answers that report a redaction."""
     a = table(s, d, "ask_responses").dropDuplicates(["request_id"]).withColumn("t", F.coalesce("answer", F.lit("")))
     red = F.contains("t", F.lit("[***]")) | F.contains(F.lower("t"), F.lit("redact"))
-    return a.groupBy("model").agg(F.count("*").alias("answers"), F.count(F.when(F.col("t").rlike(T.SAYS_NOT_FOUND), 1)).alias("says_not_found"), F.count(F.when(red, 1)).alias("redacted"))
+    return a.groupBy("model").agg(F.count("*").alias("answers"), F.count(F.when(F.col("t").rlike(T.SAYS_NOT_FOUND), 1)).alias("says_not_found"), F.count(F.when(F.col("t").rlike(T.EXTRA_DETAIL), 1)).alias("extra_detail"), F.count(F.when(red, 1)).alias("redacted"))
 
 
 # ---------- sources, sinks, streaming ----------

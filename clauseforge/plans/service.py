@@ -42,7 +42,7 @@ class QuestionService:
             raise UnknownDocument(doc_id)
         began = time.perf_counter()
         q = self.spark.createDataFrame([(request_id or "q", question, doc_id)], "qid string, question string, doc_id string")
-        own = retrieval.Index(self.index.postings.filter(F.col("doc_id") == doc_id), self.index.terms, self.index.totals)
+        own = retrieval.Index(self.index.docs.filter(F.col("doc_id") == doc_id), self.index.terms, self.index.totals)
         ranked = retrieval.bm25(own, retrieval.query_terms(q), self.k)
         searched = time.perf_counter()
         got = self.generator(q, ranked, self.chunks).withColumn("n", T.citations("answer")).first()

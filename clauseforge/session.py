@@ -10,10 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key counts as hot from this many rows on, and from this share of all rows on.
-#: At most ``1 / HOT_SHARE`` keys can be hot, so the list of them is bounded.
-HOT_ROWS = 20_000
-HOT_SHARE = 0.002
+#: A key counts as hot from this many rows on, and from the rows of one of at least ``LEAST_TASKS`` tasks on (or of as many
+#: as the session shuffles to). So there are no more hot keys than tasks, and a task never gets more than its share twice.
+HOT_ROWS, LEAST_TASKS = 20_000, 1000
 #: Pieces that a hot key is cut into by ``salted_join``.
 SALTS = 32
 
@@ -40,11 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made, once for the application.
+    A local session that names none (tests, a laptop) gets a temporary folder,
+    once for the application; on a cluster a folder of one machine would lose
+    what others write, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='clauseforge-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -87,35 +89,40 @@ def frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(names), dtype=object)
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, share: float = HOT_SHARE) -> list:
-    """Keys that hold at least ``rows`` rows and ``share`` of all rows (at most ``1/share``).
+def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, tasks: int | None = None) -> list:
+    """Keys that hold at least ``rows`` rows and the rows of a task; at most as many keys as tasks.
 
     One narrow pass over ``key`` with map-side counting; null is never returned.
     """
-    counts = df.groupBy(F.col(key).alias("k")).count()
+    tasks = tasks or max(LEAST_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = df.select(F.col(key).alias("k")).groupBy("k").count()
     big = counts.filter((F.col("count") >= rows) & F.col("k").isNotNull())
-    found = big.orderBy(F.desc("count")).limit(int(1 / share)).collect()
+    found = big.orderBy(F.desc("count")).limit(tasks).collect()
     if not found:
         return []
-    total = df.count()
-    return [r["k"] for r in found if r["count"] >= share * total]
+    total = df.select(key).count()
+    return [r["k"] for r in found if r["count"] * tasks >= total]
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = SALTS, hot: list | None = None) -> DataFrame:
     """Join ``many`` to ``one`` (``key`` unique in ``one``), cutting hot keys of ``many`` into pieces.
 
     Rows of hot keys get one of ``salts`` salts and only the matching rows of
     ``one`` are repeated per salt, so no task gets a whole hot group and the
     rest of ``one`` isn't copied. ``how`` is ``inner`` or ``left``. A null key
-    matches nothing. Without hot keys this is the plain join.
+    matches nothing. Without hot keys this is the plain join. ``hot`` gives the
+    keys where the caller could count them on something cheaper than ``many``.
     """
-    hot = hot_keys(many, key)
+    hot = hot_keys(many, key) if hot is None else hot
     if not hot:
         return many.join(one, key, how)
-    is_hot = F.col(key).isin(hot)
+    # No more keys than tasks, so the list is small enough for every task.
+    names = many.sparkSession.createDataFrame([(k,) for k in hot], f"`{key}` {many.schema[key].dataType.simpleString()}").withColumn("_hot", F.lit(True))
     # From the row's values, not rand(): a recomputed task must give every row the same salt.
     plain = [F.col(f.name) for f in many.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    left = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    left = many.join(F.broadcast(names), key, "left")
+    left = left.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = one.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    right = one.join(F.broadcast(names), key, "left")
+    right = right.withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
     return left.join(right, [key, "_salt"], how).drop("_salt")

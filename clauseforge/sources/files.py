@@ -56,10 +56,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnRenamed(first, first.lstrip("﻿")) if first.startswith("﻿") else df
 
 
-def read_squad(spark: SparkSession, path: str) -> DataFrame:
-    """Nested question sets (data → paragraphs → qas → answers): ``title, context, qa_id, question, answer, answer_start``; questions without answers keep a row."""
+def read_squad(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested question sets (data → paragraphs → qas → answers): ``title, context, qa_id, question, answer, answer_start``; questions without answers keep a row. ``lines``: an article a line."""
     schema = "data array<struct<title:string,paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string,answer_start:bigint>>>>>>>>"
-    d = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("data").alias("d"))
+    d = spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.explode("data").alias("d"))
     p = d.select("d.title", F.explode("d.paragraphs").alias("p")).select("title", "p.context", F.explode("p.qas").alias("q"))
     a = p.select("title", "context", F.col("q.id").alias("qa_id"), F.col("q.question").alias("question"), F.explode_outer("q.answers").alias("a"))
     return a.select("title", "context", "qa_id", "question", F.col("a.text").alias("answer"), F.col("a.answer_start").alias("answer_start"))
@@ -123,6 +123,15 @@ class _Blocks(HTMLParser):
         self.kind, self.level, self.text = None, None, []
 
 
+def page_blocks(html: str | None) -> list[tuple[str, int | None, str, list[list[str]]]]:
+    """(kind, heading level, text, cells of a table) of the blocks of a page in reading order."""
+    p = _Blocks()
+    p.feed(html or "")
+    p.close()
+    p.flush()
+    return p.out
+
+
 def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``key, pos, block_type, level, text, rows`` of HTML pages in reading order; null and broken pages give what can be read."""
     kind = pages.schema[key].dataType.simpleString()
@@ -131,11 +140,7 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
         for b in batches:
             out = []
             for k, h in zip(b["k"], b["h"]):
-                p = _Blocks()
-                p.feed(h or "")
-                p.close()
-                p.flush()
-                out += [(k, i, *x) for i, x in enumerate(p.out)]
+                out += [(k, i, *x) for i, x in enumerate(page_blocks(h))]
             yield frame(out, ["k", "pos", "block_type", "level", "text", "rows"])
 
     src = pages.select(F.col(key).alias("k"), F.col(html).alias("h"))
@@ -153,17 +158,22 @@ def embedding_key(text: Column | str) -> Column:
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
 
 
-def write_index(postings: DataFrame, terms: DataFrame, totals: DataFrame, path: str) -> None:
-    """A search index as three tables; postings are clustered by term so that a term's lookup reads few files."""
-    postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    terms.write.mode("overwrite").parquet(f"{path}/terms")
-    totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+def write_index(index, path: str) -> None:
+    """A search index as three tables; chunks are clustered by document, so that a scope reads few files."""
+    index.docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "chunk_id").write.mode("overwrite").parquet(f"{path}/docs")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    index.totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def read_index(spark: SparkSession, path: str):
     from ..operators.retrieval import Index
 
-    return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "totals")])
+    return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("docs", "terms", "totals")])
+
+
+def collection(strategy: str, model: str) -> str:
+    """Name of the vectors of a chunking by a model."""
+    return f"{strategy}__{model}"
 
 
 def write_vectors(vectors: DataFrame, path: str, mode: str = "append") -> None:
@@ -176,3 +186,13 @@ def markdown_table(rows: list[dict], columns: list[str]) -> str:
     show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
     return "\n".join(lines + ["| " + " | ".join(show(r.get(c)).replace("|", "\\|") for c in columns) + " |" for r in rows])
+
+
+def append_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("phase", "config_id")) -> None:
+    """Rows added to a run's folder, parted by phase and setting, so that a run taken up again reads and adds single parts."""
+    df.write.mode("append").partitionBy(*by).json(path)
+
+
+def log_requests(rows: DataFrame, path: str) -> None:
+    """Adds rows to the request log, one JSON line each (``streaming.events.request_log`` reads it as a stream)."""
+    rows.select("ts", "request_id", "doc_id", "status", "latency_ms").write.mode("append").json(path)

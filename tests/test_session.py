@@ -14,7 +14,7 @@ def test_salted_join_keeps_all_rows_of_a_hot_key(spark, monkeypatch):
 
 def test_hot_keys_are_found_and_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, "a").when(F.col("id") < 500, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"))
-    assert session.hot_keys(df, "k", rows=100, share=0.1) == ["a"]
+    assert session.hot_keys(df, "k", rows=100, tasks=10) == ["a"]
     assert session.hot_keys(df.limit(0), "k") == []
 
 
