@@ -68,15 +68,43 @@ def test_labels(spark):
     assert rep["section"]["uncovered_spans"] == 1 and rep["fixed"]["unaligned_spans"] == 2 and rep["fixed"]["ambiguous_spans"] == 1
 
 
+def poisson(key, rounds):
+    """A row's weights drawn number by number."""
+    steps, out = [24109, 48219, 60273, 64291, 65296, 65497, 65530, 65535], []
+    for r in range(rounds):
+        u = int(hashlib.md5(f"{r // 8}~{key}".encode()).hexdigest()[4 * (r % 8) : 4 * (r % 8) + 4], 16)
+        out.append(sum(u >= x for x in steps))
+    return np.array(out, dtype=float)
+
+
 def test_paired_differences_take_2000_rounds(spark):
     diffs = {f"q{i:02d}": ((i * 7) % 11 - 4) / 10 for i in range(23)}
     rows = [(c, q, "mrr", v if c == "new" else 0.0) for q, v in diffs.items() for c in ("old", "new")]
     t = spark.createDataFrame([*rows, ("old", "only", "mrr", 1.0)], "config_id string, qid string, metric string, value double")
     x = np.array([diffs[q] for q in sorted(diffs)])
     exact = np.random.default_rng(0).choice(x, size=(2000, len(x)), replace=True).mean(axis=1)
-    hashed = [np.mean([x[int(hashlib.md5(f"{r}~{i}".encode()).hexdigest()[:8], 16) % len(x)] for i in range(len(x))]) for r in range(1, 2001)]
-    for found, means in ((metrics.paired_difference_exact(t, "old", "new"), exact), (metrics.paired_difference(t, "old", "new"), hashed)):
+    w = np.stack([poisson(q, 2000) for q in sorted(diffs)])
+    for found, means in ((metrics.paired_difference_exact(t, "old", "new"), exact), (metrics.paired_difference(t, "old", "new"), x @ w / w.sum(0))):
         r = found.first()
         low, high = np.quantile(means, [0.025, 0.975])
         assert (r["metric"], r["n"]) == ("mrr", 23) and r["mean"] == pytest.approx(x.mean())
         assert (r["ci_low"], r["ci_high"]) == (pytest.approx(low), pytest.approx(high)) and r["significant"] == (low > 0 or high < 0)
+
+
+def test_weighted_intervals_are_those_of_drawing_rows():
+    x = np.random.default_rng(1).normal(size=400)
+    w = np.stack([poisson(f"k{i}", 2000) for i in range(400)])
+    drawn = np.random.default_rng(0).choice(x, size=(2000, 400), replace=True).mean(axis=1)
+    assert np.allclose(np.quantile(x @ w / w.sum(0), [0.025, 0.975]), np.quantile(drawn, [0.025, 0.975]), atol=0.02)
+
+
+def test_agreement_report_and_stage_scores(spark):
+    h = spark.createDataFrame([("q1", "yes", "no"), ("q2", "no", ""), ("q3", "yes", "partial")], "qid string, faithful string, correct string")
+    j = metrics.judge_labels(spark.createDataFrame([("q1", 1.0, 0.0), ("q2", 0.5, 1.0), ("q3", 0.2, None)], "qid string, faithfulness double, answer_correctness double"))
+    got = {r["field"]: r for r in metrics.agreement_report(h, j).collect()}
+    assert got["faithful"]["n"] == 3 and got["faithful"]["confusion"] == {"no -> no": 1, "yes -> no": 1, "yes -> yes": 1}
+    assert got["correct"]["n"] == 1 and got["correct"]["kappa"] == 1.0
+    rows = [("c", "q", s, i + 1, x) for s, ids in (("bm25", "abcd"), ("final", "ba")) for i, x in enumerate(ids)]
+    lists = spark.createDataFrame(rows, "config_id string, qid string, stage string, rank long, chunk_id string")
+    s = {r["config_id"]: r for r in metrics.score_stages(lists, held(spark, [("q", 0, "c"), ("q", 1, "b")]), ks=(1, 3)).collect()}
+    assert set(s) == {"c", "c@bm25"} and s["c@bm25"]["recall_at"] == {1: 0.0, 3: 1.0} and s["c@bm25"]["context_recall"] == 0.5 == s["c"]["context_recall"]

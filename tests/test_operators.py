@@ -39,6 +39,46 @@ def test_sections_never_leave_a_heading_alone(spark):
     got = chunking.section_chunks(b, b.select("doc_id"), 4).orderBy("chunk_index").collect()
     assert [(r["char_start"], r["char_end"]) for r in got][0][0] == 0 and all(r["char_end"] > r["char_start"] for r in got)
     assert got[-1]["char_end"] == 80
+    assert chunking.section_chunks(b.limit(0), b.select("doc_id"), 4).count() == 0 == chunking.section_chunks(b, b.select("doc_id").limit(0)).count()
+
+
+def test_section_packing():
+    p = chunking.pack_section
+    full, head = "paragraph", "heading"
+    assert p([(head, 0, 2), (full, 2, 10)], 10) == [(0, 10)]
+    assert p([(head, 0, 2), (full, 2, 12)], 10) == [(0, 10), (10, 12)]  # a heading never makes a chunk too large, and isn't left alone
+    assert p([(full, 0, 4), (full, 4, 9), (full, 9, 12)], 8) == [(0, 4), (4, 12)]
+    assert p([(full, 0, 3), (full, 3, 25), (full, 25, 27)], 10) == [(0, 10), (10, 20), (20, 25), (25, 27)]  # the rest of a large block stays by itself
+    assert p([(head, 0, 2), (head, 2, 4)], 10) == [(0, 4)] and p([], 10) == []
+    for seed in range(200):
+        import random
+
+        r, at, blocks = random.Random(seed), 0, []
+        for _ in range(r.randint(1, 8)):
+            n = r.randint(1, 14)
+            blocks.append((r.choice([head, full]), at, at + n))
+            at += n
+        got = p(blocks, 9)
+        assert [a for a, _ in got[1:]] == [b for _, b in got[:-1]] and got[0][0] == 0 and got[-1][1] == at and all(0 < b - a <= 9 for a, b in got)
+
+
+def test_short_tables_are_units_of_their_own(spark):
+    rows = [("d", "a", "heading", 0, 5, 2), ("d", "b", "table", 6, 8, 1), ("d", "c", "paragraph", 9, 12, 1), ("d", "e", "paragraph", 13, 60, 9), ("d", "f", "other", 61, 63, 1), ("d", "g", "heading", 64, 66, 1), ("h", "x", "heading", 0, 4, 1)]
+    u = chunking.attach_prefixes(spark.createDataFrame(rows, "doc_id string, block_id string, block_type string, s long, e long, tokens long"))
+    assert [tuple(r) for r in u.orderBy("doc_id", "unit").collect()] == [("d", 0, 0, 8, "b"), ("d", 1, 9, 60, "e"), ("d", 2, 61, 66, "f"), ("h", 0, 0, 4, "x")]
+
+
+def test_chunk_rows(spark):
+    text = "1. Term\n\nIt starts now. It ends later on some day.\n\n2. Fees\n\n2.1 Base\n\na b c d e"
+    d = spark.createDataFrame([("d", text), ("n", None)], "doc_id string, full_text string")
+    got = chunking.run_chunking(d, blocks(spark), ["fixed", "section", "sentence_window", "fixed"], max_tokens=6, overlap=1, window=1, min_tokens=3)
+    rows = got.collect()
+    assert all(r["text"] == text[r["char_start"] : r["char_end"]] and r["chunk_id"].split("::")[:2] == ["d", r["strategy"]] for r in rows)
+    assert len({r["chunk_id"] for r in rows}) == len(rows) and {r["strategy"] for r in rows} == set(chunking.STRATEGIES)
+    assert all((r["context_text"] is not None) == (r["strategy"] == "sentence_window") for r in rows) and max(r["token_count"] for r in rows if r["strategy"] != "sentence_window") <= 6
+    assert {tuple(r["section_path"]) for r in rows if r["has_table"] and r["strategy"] == "sentence_window"} == {("Fees", "Base")}
+    with pytest.raises(ValueError):
+        chunking.run_chunking(d, blocks(spark), ["other"])
 
 
 def test_sentence_windows(spark):
@@ -59,10 +99,12 @@ def test_blocks_offsets_margins(spark):
     d = spark.createDataFrame([("d", "ab\n\ncd\n\n\n\ne"), ("x", ""), ("n", None)], "doc_id string, full_text string")
     got = [(r["text"], r["char_start"], r["char_end"]) for r in ingest.text_blocks(d).orderBy("pos").collect()]
     assert got == [("ab", 0, 2), ("cd", 4, 6), ("e", 10, 11)]
-    b = spark.createDataFrame([("d", f"b{p}{k}", p, t) for p in (1, 2, 3) for k, t in enumerate((f"Acme page {p}", f"Body {'x' * p} text", str(p)))], "doc_id string, block_id string, page int, text string")
+    b = spark.createDataFrame([("d", f"b{p}{k}", p, t, 100 * p + k, 100 * p + k + 1) for p in (1, 2, 3) for k, t in enumerate((f"Acme page {p}", f"Body {'x' * p} text", "same in the body", f"– {p} –"))], "doc_id string, block_id string, page int, text string, char_start int, char_end int")
     m = ingest.repeated_margins(b)
-    assert {r["key"] for r in m.collect()} == {"acme page #", "#"}
-    assert {r["text"] for r in ingest.drop_margins(b, m).collect()} == {"Body x text", "Body xx text", "Body xxx text"}
+    assert {r["key"] for r in m.collect()} == {"acme page #", "– # –"}
+    assert {r["text"] for r in ingest.drop_margins(b, m).collect()} == {"Body x text", "Body xx text", "Body xxx text", "same in the body"}
+    lay = b.withColumns({"y0": F.lit(50.0), "y1": F.lit(60.0), "page_height": F.lit(100.0)})
+    assert ingest.repeated_margins(lay).count() == 0 and ingest.repeated_margins(lay.withColumn("y1", F.lit(95.0))).count() == 3
 
 
 def test_section_stack_and_tables(spark):
@@ -72,14 +114,14 @@ def test_section_stack_and_tables(spark):
     t = spark.createDataFrame([("d", 1, 0.0, 0.0, 20.0, 6.0)], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double")
     assert [r["block_id"] for r in ingest.outside_tables(b, t).collect()] == ["out"]
     lay = spark.createDataFrame([("d", "x" * 50, 11.2), ("d", "x" * 50, 10.6), ("d", "y", 30.0), ("e", "y", 9.0)], "doc_id string, text string, font_size double")
-    assert {r["doc_id"]: r["body_size"] for r in ingest.body_font(lay).collect()} == {"d": 11.0, "e": 10.0}
+    assert {r["doc_id"]: round(r["body_size"], 6) for r in ingest.body_font(lay).collect()} == {"d": 10.9, "e": 10.0}
 
 
 def test_reconcile_and_resume(spark):
-    listed = spark.createDataFrame([("acmedeal", "a"), ("betterdealwithname", "b"), ("gone", "g"), ("twofilesxx", "t")], "key string, doc_id string")
-    f = spark.createDataFrame([("acmedeal", "1"), ("betterdeal", "2"), ("twofilesxx1", "3"), ("twofilesxx2", "4")], "key string, path string")
+    listed = spark.createDataFrame([("acmedeal", "a"), ("betterdealwithname", "b"), ("gone", "g"), ("twofilesxx", "t"), ("ab", "s"), ("longname", "l"), ("twice", "w")], "key string, doc_id string")
+    f = spark.createDataFrame([("acmedeal", "1"), ("betterdeal", "2"), ("twofilesxx1", "3"), ("twofilesxx2", "4"), ("abzz", "5"), ("lon", "6"), ("twice", "7"), ("twice", "8")], "key string, path string")
     got = {r["doc_id"]: (r["path"], r["how"]) for r in ingest.reconcile(listed, f).collect()}
-    assert got == {"a": ("1", "exact"), "b": ("2", "prefix"), "g": (None, "missing"), "t": (None, "ambiguous")}
+    assert got == {"a": ("1", "exact"), "b": ("2", "prefix"), "g": (None, "missing"), "t": (None, "ambiguous"), "s": ("5", "prefix"), "l": ("6", "prefix"), "w": (None, "ambiguous")}
     done = spark.createDataFrame([("c1", "q1"), ("c1", "q2"), ("c2", "q1")], "config_id string, qid string")
     assert [r["config_id"] for r in ingest.settings_to_do(done.select("config_id").distinct(), done, 2).collect()] == ["c2"]
     assert ingest.upsert(done, done.limit(1), ["config_id", "qid"]).count() == 3
@@ -93,9 +135,9 @@ def test_sampling(spark):
     assert {r["t"]: r["count"] for r in got.groupBy("t").count().collect()} == {"A": 4, "B": 2}
     s = sampling.split_documents(df.withColumnRenamed("k", "doc_id"), 0.3)
     assert {r["split"]: r["count"] for r in s.groupBy("split").count().collect()} == {"dev": 4, "test": 9}
-    c = pd.DataFrame([{"doc_id": f"d{i % 3}", "category": f"c{i % 2}"} for i in range(6)])
+    c = pd.DataFrame([{"doc_id": f"d{i % 3}", "key": f"c{i % 2}", "categories": [f"c{i % 2}"]} for i in range(6)])
     picked = sampling.select_round_robin(c, 5, per_doc=2)
-    assert len(picked) == 5 and picked.groupby("doc_id").size().max() <= 2 and not picked.duplicated().any()
+    assert len(picked) == 5 and picked.groupby("doc_id").size().max() <= 2 and not picked[['doc_id', 'key']].duplicated().any()
 
 
 def test_question_building(spark):
@@ -181,7 +223,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_service(spark):
     from clauseforge.plans.service import QuestionService, UnknownDocument
 
-    d = spark.createDataFrame([("d", "Deal", "deal_one.pdf", 2)], "doc_id string, title string, source_path string, num_pages int")
+    d = spark.createDataFrame([("d", "Deal", "ACME,INC_06_02_2020-EX-10.7-SUPPLY AGREEMENT", 2)], "doc_id string, title string, source_path string, num_pages int")
     c = spark.createDataFrame([("d::fixed::0", "d", "fixed", "The royalty is five percent.", None, ["Fees"], 1, 1)], "chunk_id string, doc_id string, strategy string, text string, context_text string, section_path array<string>, page_start int, page_end int")
     s = QuestionService(spark, d, c)
     got = s.ask("d", "What royalty?")
@@ -189,4 +231,4 @@ def test_service(spark):
     assert s.ask("d", "unrelated words")["abstained"]
     with pytest.raises(UnknownDocument):
         s.ask("x", "y")
-    assert s.contracts().first()["source"] == "Deal One"
+    assert s.contracts().first()["source"] == "Supply Agreement · Acme, Inc · 2020"

@@ -50,21 +50,60 @@ def lists(spark, **stages):
     return spark.createDataFrame(rows, "qid string, stage string, rank long, chunk_id string, score double")
 
 
-def test_rrf(spark):
-    a = [(c, 0) for c in ("c1", "c3", "c2", "c4", "c6")]
-    b = [(c, 0) for c in ("c4", "c3", "c0", "c2", "c7")]
-    got = R.rrf(lists(spark, bm25=a, dense=b)).orderBy("rank").collect()
-    assert [r["chunk_id"] for r in got[:2]] == ["c3", "c4"] and abs(got[0]["score"] - 2 / 62) < 1e-12
-    assert ids(R.rrf(lists(spark, bm25=a, dense=b), k=1))[:2] == ["c4", "c3"]
-
-
-def test_weighted_fusion(spark):
-    l = lists(spark, bm25=[("a", 12), ("b", 3)], dense=[("b", 0.9), ("c", 0.2)])
-    got = R.weighted(l.filter("stage='bm25'"), l.filter("stage='dense'"), 0.5)
-    assert {r["chunk_id"]: round(r["score"], 9) for r in got.collect()} == {"a": 0.5, "b": 0.5, "c": 0.0}
-    assert ids(got)[:2] == ["a", "b"]
+def test_rrf_sums_reciprocal_ranks_of_every_list(spark):
+    three = lists(spark, bm25=[("m", 9), ("n", 8)], dense=[("n", 0.7), ("o", 0.6), ("m", 0.5)], other=[("o", 1)])
+    want = {"m": 1 / 8 + 1 / 10, "n": 1 / 9 + 1 / 8, "o": 1 / 9 + 1 / 8}
+    got = R.rrf(three, k=7).orderBy("rank").collect()
+    assert {r["chunk_id"]: round(r["score"], 12) for r in got} == {c: round(x, 12) for c, x in want.items()}
+    assert [r["chunk_id"] for r in got] == ["n", "o", "m"]  # n and o tie in score and best rank: the smaller id first
+    assert ids(R.rrf(three, k=7, cut=1)) == ["n"] and ids(R.rrf(three.limit(0))) == []
+
+
+def test_weighted_fusion_scales_each_list_by_itself(spark):
+    sparse, vectors = lists(spark, bm25=[("p", 40), ("q", 30), ("r", 20)]), lists(spark, dense=[("r", 0.5), ("s", 0.5)])
+    for alpha in (0.0, 0.25, 1.0):
+        want = {"p": 1 - alpha, "q": (1 - alpha) / 2, "r": alpha, "s": alpha}  # a list of equal scores counts full, a missing chunk nothing
+        got = {r["chunk_id"]: r["score"] for r in R.weighted(sparse, vectors, alpha).collect()}
+        assert all(abs(got[c] - x) < 1e-12 for c, x in want.items()) and len(got) == 4
+    assert ids(R.weighted(sparse, vectors, 0.0, cut=2)) == ["p", "q"]
     with pytest.raises(ValueError):
-        R.weighted(l, l, 1.5)
+        R.weighted(sparse, vectors, -0.1)
+
+
+def test_blocks_of_questions_and_of_vectors_change_nothing(spark, chunks, monkeypatch):
+    ix = R.build_index(chunks)
+    q = spark.createDataFrame([(f"q{i}", t, d) for i, (t, d) in enumerate([("notice law", None), ("royalties", "d2"), ("notice", "d1"), ("delaware notice cause", None)])], "qid string, question string, doc_id string")
+    v = spark.createDataFrame([(f"v{i:02}", [float(i % 3), float(i % 5), 1.0]) for i in range(40)] + [("w", [1.0, 0.0])], "chunk_id string, vec array<float>")
+    asked = v.limit(7).select(R.F.col("chunk_id").alias("qid"), R.F.col("vec").alias("qvec"))
+    whole = sorted(map(tuple, R.bm25(ix, R.query_terms(q), 2).collect())), sorted(map(tuple, R.dense(v, asked, 3).collect()))
+    monkeypatch.setattr(R, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(R, "BLOCK_VECTORS", 2)
+    monkeypatch.setattr(R, "KEPT", 3)
+    assert (sorted(map(tuple, R.bm25(ix, R.query_terms(q), 2).collect())), sorted(map(tuple, R.dense(v, asked, 3).collect()))) == whole
+
+
+def test_dense_equals_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(f"c{i:03}", [r.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    v = spark.createDataFrame([*rows, ("z", None)], "chunk_id string, vec array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+    got = R.dense(v, v.filter("chunk_id < 'c005'").selectExpr("chunk_id as qid", "vec as qvec"), 4).collect()
+    for q, x in rows[:5]:
+        want = [c for c, _ in sorted(rows, key=lambda y: (-round(cos(x, y[1]), 12), y[0]))[:4]]
+        assert [g["chunk_id"] for g in sorted(got, key=lambda g: g["rank"]) if g["qid"] == q] == want
+
+
+def test_encoded_questions_and_a_stored_index(spark, chunks, tmp_path):
+    from clauseforge.sources import files
+
+    q = R.encode_questions(ask(spark, "law of delaware"), prefix="query: ").first()
+    assert len(q["qvec"]) == 64 and abs(sum(x * x for x in q["qvec"]) - 1) < 1e-5
+    files.write_index(R.build_index(chunks), f"{tmp_path}/ix")
+    again = files.read_index(spark, f"{tmp_path}/ix")
+    assert ids(R.bm25(again, R.query_terms(ask(spark, "royalties paid")))) == ["c4"] and again.totals.first()["n"] == 5
+    assert {(r["term"], r["tf"]) for r in again.postings.filter("chunk_id = 'c4'").collect()} == {("royalties", 1), ("are", 1), ("paid", 1), ("quarterly", 1)} - {("are", 1)}
 
 
 def test_dense_leaves_out_unusable_vectors(spark):

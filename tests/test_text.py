@@ -57,7 +57,7 @@ def test_section_label_and_markdown(spark):
 def test_hyphens_margins_titles(spark):
     assert one(spark, "termi-\nnation of\nthe", T.join_hyphenated) == "termination of the"
     assert one(spark, " Page 12  of 30 ", T.repetition_key) == "page # of #"
-    assert one(spark, "some_long-name_00012345.pdf", T.display_title) == "Some Long Name"
+    assert one(spark, "BETA CORP_20190815-EX-4.1-LICENSE_AGREEMENT", T.display_title) == "License Agreement · Beta Corp · 2019" and one(spark, "plain name", T.display_title) == "plain name"
 
 
 def test_inline_form(spark):
@@ -135,3 +135,35 @@ def test_encoder_is_deterministic_and_unit_length():
     v = udfs.crc_encode("governing law governing")
     assert v == udfs.crc_encode("Law governing, GOVERNING") and abs(sum(x * x for x in v) - 1) < 1e-6
     assert not any(udfs.crc_encode("1 2 3"))
+
+
+def col(spark, row, expr):
+    return spark.createDataFrame([row], ", ".join(f"c{i} string" for i in range(len(row)))).select(expr.alias("x")).first()["x"]
+
+
+def test_names_of_agreements(spark):
+    assert col(spark, ("SUPPLY AND SERVICE AGREEMENT",), T.title_case("c0")) == "Supply and Service Agreement" and col(spark, ("Kept As it is",), T.title_case("c0")) == "Kept As it is"
+    assert col(spark, ('Acme, Inc. ("Acme"); Beta LLC (the "B"); acme, inc.; ',), T.parse_parties("c0")) == ["Acme, Inc.", "Beta LLC"] and col(spark, (None,), T.parse_parties("c0")) == []
+    name = T.agreement_name("c0", T.parse_parties("c1"), "c2")
+    assert col(spark, ('"THE SUPPLY AGREEMENT (t"', "Acme Inc. including its heirs; Beta LLC, a company", "x"), name) == "the Supply Agreement between Acme Inc. and Beta LLC"
+    assert col(spark, ("", "Acme", "Lease"), name) == "the Lease with Acme" and col(spark, (None, None, "Lease"), name) == "the Lease"
+    assert col(spark, ("Ab_c d.PDF",), T.slug("c0")) == "ab-c-d" and col(spark, ("Supply_Agreements 2",), T.canonical_type("c0", {"supply agreements": "Supply"})) == "Supply"
+
+
+def test_best_sentence_and_short_ids(spark):
+    text = "The term ends on the last day of the year. The fee is 1,500 euros for the supply. The fee is due at once every year."
+    assert col(spark, (text, "A fee of 1,500 is due"), T.best_sentence("c0", "c1")) == "The fee is 1,500 euros for the supply."
+    assert col(spark, ("Short.", "fee"), T.best_sentence("c0", "c1")) == "" and col(spark, ("d::fixed::00001",), T.short_id("c0")) == "fixed::00001"
+    assert col(spark, ("two words\n\n of re-\nlease and A-\nb",), T.join_hyphenated("c0")) == "two words of release and A- b"
+    assert col(spark, ("a  b", "a\nb "), T.whitespace_equivalent("c0", "c1"))
+
+
+def test_content_words_can_be_stemmed(spark):
+    assert col(spark, ("Terminating the terminations",), T.content_words("c0", udfs.stems)) == ["termin"]
+
+
+def test_normal_text_leads_back():
+    t = "  İstanbul's “LAW”, 2.5"
+    n = udfs.NormalText(t)
+    assert n.text == "i stanbul s law 2 5" and t[n.at(n.text.index("law")) :].startswith("LAW") and t[n.at(len(n.text) - 1)] == "5"
+    assert udfs.NormalText("").text == "" == udfs.NormalText(" .;").text
