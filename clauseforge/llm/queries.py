@@ -25,6 +25,8 @@ ORACLE["p1_found"] = """WITH d AS (SELECT DISTINCT doc_id, full_text FROM contra
 w AS (SELECT doc_id, a, md5(substr(full_text, a + 1, 300)) AS h FROM i), m AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), s AS (SELECT doc_id, a FROM w JOIN m USING (h)),
 g AS (SELECT doc_id, a, CASE WHEN a - lag(a) OVER (PARTITION BY doc_id ORDER BY a) <= 300 THEN 0 ELSE 1 END AS o FROM s), k AS (SELECT doc_id, a, sum(o) OVER (PARTITION BY doc_id ORDER BY a) AS r FROM g)
 SELECT doc_id, min(a)::INT AS char_start, (max(a) + 300)::INT AS char_end FROM k GROUP BY doc_id, r"""
+ORACLE["p1_share"] = f"""WITH f AS ({ORACLE["p1_found"]}), o AS (SELECT doc_id, sum(char_end - char_start)::BIGINT AS n FROM f GROUP BY doc_id), a AS (SELECT DISTINCT doc_id, coalesce(length(full_text), 0) AS n_chars FROM contracts)
+SELECT doc_id, n_chars::INT AS n_chars, coalesce(n, 0) AS shared_chars, round(coalesce(n, 0) / nullif(n_chars, 0), 6) AS shared_share FROM a LEFT JOIN o USING (doc_id)"""
 ORACLE["p2_found"] = """WITH u AS (SELECT DISTINCT model, key, vector::DOUBLE[] AS v FROM vectors WHERE vector IS NOT NULL AND len(vector) > 0 AND NOT list_bool_or([isnan(x) OR isinf(x) FOR x IN vector]) AND list_bool_or([x <> 0 FOR x IN vector])),
 n AS (SELECT model, len(vector) AS w, count(*) AS c FROM vectors WHERE len(vector) > 0 GROUP BY ALL), t AS (SELECT model, arg_max(w, c) AS w FROM n GROUP BY model), o AS (SELECT u.model, key, v, sqrt(list_inner_product(v, v)) AS l FROM u JOIN t ON t.model = u.model AND len(v) = w),
 c AS (SELECT a.model, a.key AS x, b.key AS y, list_inner_product(a.v, b.v) / (a.l * b.l) AS s FROM o a JOIN o b ON a.model = b.model AND a.key <> b.key), r AS (SELECT *, row_number() OVER (PARTITION BY model, x ORDER BY round(s, 13) DESC, y) AS k FROM c)

@@ -31,6 +31,8 @@ LANGUAGES = ("en", "de", "fr", "es")
 MIN_WORDS = 40
 #: Calibration: exponents of a sentence's words in its weight, and factors on its score.
 POWERS, TEMPERATURES = (0.0, 0.25, 0.5, 0.75, 1.0), (1.0, 1.5, 2.0)
+#: One in so many labelled documents is held out of the fit that the calibration is measured on.
+HELD_OUT = 5
 #: Words whose scores a worker keeps at a time.
 KEPT_WORDS = 300_000
 _OTHER = re.compile("[" + "".join(f"{a}-{b}" for a, b in SCRIPTS.values()) + "]")
@@ -201,7 +203,14 @@ def fit_levels(documents: DataFrame, labels: DataFrame) -> LevelModel:
     rows.sort(key=lambda r: (r["doc_id"], r["band"], r["text"]))
     levels = sorted({r["band"] for r in rows})
     docs = [(r["text"], r["band"]) for r in rows]
-    return LevelModel(levels).fit(docs).calibrate(docs)
+    held = [d for i, d in enumerate(docs) if i % HELD_OUT == 0]
+    seen = [d for i, d in enumerate(docs) if i % HELD_OUT]
+    if {b for _, b in seen} != set(levels):  # too few to hold any out
+        return LevelModel(levels).fit(docs).calibrate(docs)
+    # Calibrated on documents that the fit hasn't seen; the model itself is then fitted on all of them.
+    tried, model = LevelModel(levels).fit(seen).calibrate(held), LevelModel(levels).fit(docs)
+    model.power, model.temperature = tried.power, tried.temperature
+    return model
 
 
 def reading_levels(documents: DataFrame, model: LevelModel, min_words: int = MIN_WORDS) -> DataFrame:

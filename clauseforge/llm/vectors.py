@@ -10,17 +10,21 @@ projection has dimensions, so once the next cell is farther than the quantile
 ``confidence`` of it for the current k-th distance, a nearer vector that was
 missed is unlikely.
 
-The tree is fitted on a bounded sample in hash order (``SAMPLE_ROWS`` of each
-model), but every usable row is indexed and asked. The index is a table in the
-shared folder with one file per cell; a search task reads the cells it needs,
-nearest first. So vectors are shuffled once (to their cells) however many cells
-a search visits.
+The tree is fitted on a bounded sample (the rows whose key's hash falls in a
+share, ``SAMPLE_PER_CELL`` for each cell and ``MAX_SAMPLE`` in all), but every
+usable row is indexed and asked. Cells grow in number with a model's rows, in
+size from where there are more than ``CELL_ROWS``² / 4 rows on (then as their
+square root), so a query's work grows as the square root, not as the rows. The index
+is a table in the shared folder with one file per cell; a search task reads the
+cells it needs, nearest to its block of queries first, and each query stops by
+its own test. So vectors are shuffled once (to their cells) however many cells a search visits.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, exp, lgamma, log, log2
 
 import numpy as np
@@ -31,19 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import frame, scratch_path
+from ..session import frame, hot_keys, salted_join, scratch_path
 
 #: Dimensions of the projection, confidence of the stopping test, neighbours.
 DIMS, CONFIDENCE, K = 8, 0.7, 5
-#: Rows wanted in a cell, cells of a model at most, rows of a model that the tree is fitted on.
-CELL_ROWS, MAX_CELLS, SAMPLE_ROWS = 1024, 4096, 20_000
-#: Rows of all models that the trees are fitted on.
-MAX_SAMPLE = 100_000
-#: Queries taken at a time, rows of a cell read at a time, bytes of cells that a worker keeps.
-QUERY_BLOCK, ROW_BLOCK, KEPT_BYTES = 2048, 8192, 96 << 20
+#: Rows wanted in a cell; rows that the trees are fitted on: for each cell, of a model at least, of all models at most.
+CELL_ROWS, SAMPLE_PER_CELL, LEAST_SAMPLE, MAX_SAMPLE = 1024, 16, 4096, 250_000
+#: Queries taken at a time (fewer where there are many cells: ``BOX_NUMBERS`` distances at a time), rows of a cell read at a
+#: time, bytes of cells that a worker keeps.
+QUERY_BLOCK, BOX_NUMBERS, ROW_BLOCK, KEPT_BYTES = 2048, 1 << 25, 8192, 96 << 20
 #: Candidates kept beyond k before they are ordered in double precision.
 SLACK = 8
-#: More models than this are refused, since each has its tree in the driver.
+#: Models whose trees are in the driver at a time; more are taken in groups.
 MAX_MODELS = 1000
 
 
@@ -67,13 +70,18 @@ def chi2_quantile(p: float, dims: int) -> float:
     return high
 
 
+def cells_of(rows: int) -> float:
+    """Cells wanted for so many rows of a model."""
+    return max(1.0, min(rows / CELL_ROWS, 2 * rows**0.5))
+
+
 class ProjectionTree:
     """Complete kd-tree over projections; ``low`` and ``high`` are the boxes of its leaves."""
 
     def __init__(self, sample: np.ndarray, width: int, rows: int, dims: int, seed: int = 11) -> None:
         self.matrix = np.random.default_rng(seed).normal(size=(width, dims)).astype(np.float32)
         p = unit(sample).astype(np.float32) @ self.matrix
-        cells = min(MAX_CELLS, max(1, rows / CELL_ROWS), max(1, len(p) / 4))
+        cells = min(cells_of(rows), max(1, len(p) / 4))
         self.depth = max(0, ceil(log2(cells)))
         inner = 2**self.depth - 1
         self.dim, self.cut = np.zeros(inner, dtype=np.int64), np.zeros(inner, dtype=np.float32)
@@ -124,9 +132,7 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """
     v = vectors.select("model", "key", "vector").filter("model is not null and key is not null and size(vector) > 0")
     widths = v.groupBy("model", F.size("vector").alias("w")).count().groupBy("model").agg(F.max_by("w", F.struct("count", "w")).alias("w"))
-    found = {r["model"]: r["w"] for r in widths.limit(MAX_MODELS + 1).collect()}
-    if len(found) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} models")
+    found = {r["model"]: r["w"] for r in widths.collect()}
     if not found:
         return v.limit(0), {}
     width = F.create_map(*[F.lit(x) for kv in found.items() for x in kv])[F.col("model")]
@@ -140,13 +146,33 @@ def _matrix(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(-1, width)
 
 
+#: Names that Arrow has for the file systems of Hadoop's schemes.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs", "viewfs": "hdfs"}
+
+
+def arrow_path(path: str) -> str:
+    """A Hadoop path as Arrow reads it: schemes renamed, mounted folders as local ones."""
+    scheme, _, rest = path.partition(":")
+    if not rest or scheme == "file":
+        return "/" + (rest or path).lstrip("/")
+    if scheme == "dbfs":
+        return "/dbfs/" + rest.lstrip("/")
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
+def open_folder(path: str):
+    """(Arrow file system, folder) of a Hadoop path."""
+    from pyarrow import fs
+
+    at = arrow_path(path)
+    return fs.FileSystem.from_uri(at) if "://" in at else (fs.LocalFileSystem(), at)
+
+
 class _Cells:
     """Reads cells of the index; small ones are kept while they fit."""
 
     def __init__(self, path: str, widths: list[int]) -> None:
-        from pyarrow import fs
-
-        self.fs, self.root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        self.fs, self.root = open_folder(path)
         self.widths, self.kept, self.bytes = widths, OrderedDict(), 0
 
     def _files(self, slot: int) -> list[str]:
@@ -168,7 +194,7 @@ class _Cells:
                     x = _matrix(b.column("vector"), width)
                     block = (b.column("key").to_numpy(zero_copy_only=False), x, unit(x).astype(np.float32))
                     size += 2 * x.nbytes + 120 * len(x)
-                    keep = keep and size <= KEPT_BYTES // 8
+                    keep = keep and size <= KEPT_BYTES // 3
                     if keep:
                         seen.append(block)
                     yield block
@@ -228,16 +254,21 @@ def nearest_pairs(vectors: DataFrame, k: int = K, dims: int = DIMS, confidence:
     ``k`` smallest keys as neighbours.
     """
     spark = vectors.sparkSession
+    groups = ceil(vectors.agg(F.countDistinct("model")).first()[0] / MAX_MODELS)
+    if groups > 1:
+        parts = [nearest_pairs(vectors.filter(F.pmod(F.xxhash64("model"), F.lit(groups)) == i), k, dims, confidence) for i in range(groups)]
+        return reduce(DataFrame.unionByName, parts)
     rows, widths = usable(vectors)
     schema = "model string, key_a string, key_b string"
     if not widths:
         return spark.createDataFrame([], schema)
-    rows = rows.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
+    rows = rows.withColumn("same", F.concat_ws("-", F.xxhash64("model", "vector"), F.xxhash64(F.lit(1), "model", "vector")))
     counts = {r["model"]: r["count"] for r in rows.groupBy("model").count().collect()}
     models = sorted(counts)
-    # Each model gets its share of the sample's bound; hash order makes a row's part in it independent of partitioning.
-    per_model = min(SAMPLE_ROWS, MAX_SAMPLE // len(models))
-    every = {m: max(1, ceil(n / per_model)) for m, n in counts.items()}
+    # Each model gets its share of the sample's bound; by hash, so that a row's part in it doesn't depend on partitioning.
+    wanted = {m: max(LEAST_SAMPLE, SAMPLE_PER_CELL * cells_of(n)) for m, n in counts.items()}
+    shrink = min(1.0, MAX_SAMPLE / sum(wanted.values()))
+    every = {m: max(1, ceil(n / (shrink * wanted[m]))) for m, n in counts.items()}
     step = F.create_map(*[F.lit(x) for kv in every.items() for x in kv])[F.col("model")]
     sample = rows.filter(F.pmod(F.xxhash64("key", F.lit(5)), step) == 0).select("model", "vector").limit(2 * MAX_SAMPLE).toArrow()
     names = np.asarray(sample.column("model").to_pylist(), dtype=object)
@@ -249,16 +280,17 @@ def nearest_pairs(vectors: DataFrame, k: int = K, dims: int = DIMS, confidence:
         trees.append(ProjectionTree(x, widths[m], counts[m], dims))
         first.append(first[-1] + trees[-1].cells)
 
-    groups = rows.select("model", "h1", "h2", "key").distinct()
-    heavy = groups.groupBy("model", "h1", "h2").count().filter(F.col("count") > k + 1).drop("count")
+    members = rows.select("model", "same", "key").distinct()
+    heavy = members.groupBy("same").count().filter(F.col("count") > k + 1).select("same")
     rest = None
     if heavy.limit(1).count():
-        members = groups.join(heavy, ["model", "h1", "h2"])
-        rank = F.row_number().over(W.partitionBy("model", "h1", "h2").orderBy("key"))
-        smallest = members.withColumn("r", rank).filter(F.col("r") <= k + 1)
-        ends = smallest.groupBy("model", "h1", "h2").agg(F.max("key").alias("last"), F.slice(F.array_sort(F.collect_list("key")), 1, k).alias("near"))
-        rest = members.join(ends, ["model", "h1", "h2"]).filter(F.col("key") > F.col("last")).select("model", "key", "near")
-        rows = rows.join(ends.select("model", "h1", "h2", "last"), ["model", "h1", "h2"], "left").filter(F.col("last").isNull() | (F.col("key") <= F.col("last")))
+        # Only the first few keys of a group leave a task, and a group as large as a task's share is cut into pieces.
+        hot = hot_keys(members, "same")
+        members = salted_join(members, heavy, "same", hot=hot)
+        smallest = members.withColumn("r", F.row_number().over(W.partitionBy("same").orderBy("key"))).filter(F.col("r") <= k + 1)
+        ends = smallest.groupBy("same").agg(F.max("key").alias("last"), F.slice(F.array_sort(F.collect_list("key")), 1, k).alias("near"))
+        rest = salted_join(members, ends, "same", hot=hot).filter(F.col("key") > F.col("last")).select("model", "key", "near")
+        rows = salted_join(rows, ends.select("same", "last"), "same", "left", hot=hot).filter(F.col("last").isNull() | (F.col("key") <= F.col("last")))
     shared = spark.sparkContext.broadcast((models, trees, first, [widths[m] for m in models]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,18 +319,19 @@ def nearest_pairs(vectors: DataFrame, k: int = K, dims: int = DIMS, confidence:
         for units in batches:
             for slot, chunk in units.itertuples(index=False):
                 i = int(np.searchsorted(start, slot, side="right")) - 1
-                begin, passed, found = chunk * QUERY_BLOCK, 0, []
+                begin, passed, found = chunk * block, 0, []
                 for keys, x, _ in cells.blocks(slot, width[i]):
-                    a, b = max(begin - passed, 0), min(begin + QUERY_BLOCK - passed, len(keys))
+                    a, b = max(begin - passed, 0), min(begin + block - passed, len(keys))
                     passed += len(keys)
                     if a < b:
                         found += _search(cells, own[i], start[i], width[i], keys[a:b], x[a:b], limit, k)
-                    if passed >= begin + QUERY_BLOCK:
+                    if passed >= begin + block:
                         break
                 yield frame([(names[i], min(p), max(p)) for p in found], ["model", "key_a", "key_b"])
 
+    block = max(32, min(QUERY_BLOCK, BOX_NUMBERS // max(t.cells for t in trees)))
     sizes = index.groupBy("slot").count()
-    units = sizes.select("slot", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / QUERY_BLOCK).cast("int"))).alias("chunk"))
+    units = sizes.select("slot", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / block).cast("int"))).alias("chunk"))
     tasks = max(2 * spark.sparkContext.defaultParallelism, first[-1] // 16)
     pairs = units.repartitionByRange(min(tasks, max(1, first[-1])), "slot", "chunk").sortWithinPartitions("slot", "chunk").mapInPandas(search, schema)
     if rest is not None:

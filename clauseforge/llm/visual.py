@@ -56,7 +56,9 @@ def _invisible(ch: str) -> bool:
     return unicodedata.category(ch) == "Cf" and not ("؀" <= ch <= "؅" or ch in "۝܏࣢")
 
 
-INVISIBLE = frozenset(c for c in _bmp() if _invisible(c))
+# Ranges above the basic plane that hold characters drawn as nothing (tags, variation selectors, format marks).
+BEYOND = ((0x110BD, 0x110CD), (0x13430, 0x1345F), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))
+INVISIBLE = frozenset(c for c in _bmp() if _invisible(c)) | {chr(c) for a, b in BEYOND for c in range(a, b + 1) if unicodedata.category(chr(c)) == "Cf" or c >= 0xE0000}
 SPACES = frozenset(c for c in _bmp() if c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp")) | {"⠀"}
 SEEN = frozenset(
     c for c in _bmp() if unicodedata.decomposition(c).split(" ")[0] in SEEN_TAGS or ("℀" <= c <= "⅏" and unicodedata.decomposition(c).startswith("<"))

@@ -62,3 +62,22 @@ def test_tree_puts_every_row_in_the_box_of_its_cell():
     p = V.unit(x).astype(np.float32) @ t.matrix
     assert t.cells == 16
     assert (t.distances(p)[np.arange(3000), t.cell(p)] == 0).all()
+
+
+def test_models_in_groups_and_hot_groups_in_pieces(spark, monkeypatch):
+    rows = data(4, 40) + [("other", k, v[:6]) for k, v in [(k, v) for _, k, v in data(5, 30)]] + [("third", f"c{i:03d}", [1.0, 2.0, 3.0]) for i in range(30)]
+    whole = run(spark, rows)
+    monkeypatch.setattr(V, "hot_keys", lambda df, key: [r[0] for r in df.select(key).distinct().collect()])
+    assert run(spark, rows) == whole
+    monkeypatch.setattr(V, "MAX_MODELS", 1)
+    assert {p for p in run(spark, rows) if p[0] == "third"} == {p for p in whole if p[0] == "third"} and {p[0] for p in run(spark, rows)} == {"m", "other", "third"}
+
+
+def test_cells_grow_and_the_sample_is_bounded():
+    assert V.cells_of(100) == 1 and V.cells_of(1 << 20) == 1024 and V.cells_of(10**10) == 200_000
+    assert all(V.cells_of(n) <= V.cells_of(4 * n) <= 4 * V.cells_of(n) for n in (10, 10**4, 10**6, 10**9))
+
+
+def test_hadoop_paths_for_arrow():
+    assert V.arrow_path("file:/tmp/x") == V.arrow_path("file:///tmp/x") == V.arrow_path("/tmp/x") == "/tmp/x"
+    assert V.arrow_path("s3a://b/x") == "s3://b/x" and V.arrow_path("hdfs://n:8020/x") == "hdfs://n:8020/x" and V.arrow_path("dbfs:/mnt/x") == "/dbfs/mnt/x" and V.arrow_path("wasbs://c@a/x") == "abfss://c@a/x"

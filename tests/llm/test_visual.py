@@ -35,3 +35,9 @@ def test_hidden_evidence(spark):
     assert [tuple(r) for r in V.hidden_evidence(q, c).collect()] == [("q1", 1)]
     assert V.hidden_evidence(q.limit(0), c).count() == 0 and V.hidden_evidence(q, c.limit(0)).count() == 0
     assert V.forms(c, q).filter("kind = 'evidence' and form is null").count() == 0
+
+
+def test_characters_drawn_as_nothing_above_the_basic_plane():
+    from clauseforge.llm.visual import visual_form
+
+    assert visual_form("a\U000e0041b\U000e0100c\U0001d173d") == "abcd" and visual_form("a\U0001f600") == "a\U0001f600"
