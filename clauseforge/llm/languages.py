@@ -57,8 +57,8 @@ def script_counts(text: str) -> dict[str, int]:
 def votes(words: list[str]) -> dict[str, float]:
     """Stop-word votes of lower-case words; a word of several languages gives each its share."""
     out = dict.fromkeys(STOPWORDS, 0.0)
-    for w in words:
-        for k in (hit := VOTES.get(w, ())):
+    for hit in filter(None, map(VOTES.get, words)):
+        for k in hit:
             out[k] += 1 / len(hit)
     return out
 

@@ -37,6 +37,7 @@ LABELS = frozenset(
     "respuesta resultado pregunta su usted preguntó preguntaba resumen nota ha preguntado".split()
 )
 CITATION = re.compile(r"\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]")
+_SOME = re.compile(r"[^\W_]")
 _ALNUM = re.compile(r"[\W_]+")
 _OPENERS, _CLOSERS = {"(": ")", "[": "]", "{": "}", "«": "»", "„": "“", "「": "」"}, {")", "]", "}", "»", "」"}
 _LAST_CITATION = re.compile(r"\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]$")
@@ -140,12 +141,9 @@ class Prompt:
 
     def reach(self, s: str) -> int:
         """At least as many characters as matches of ``least`` and more can cover in ``s``."""
-        n, last = 0, -self.least
-        for i in range(len(s) - self.least + 1):
-            if s[i : i + self.least] in self.grams:
-                n += min(self.least, i - last)
-                last = i
-        return n
+        k, grams = self.least, self.grams
+        at = [i for i in range(len(s) - k + 1) if s[i : i + k] in grams]
+        return sum(min(k, b - a) for a, b in zip([-k, *at], at))
 
 
 def copies_question(prompt: Prompt, answer: str) -> bool:
@@ -238,9 +236,10 @@ def defects(question: str | None, answer: str | None, known: dict[str | None, Pr
 
     ``known`` keeps what was worked out for a question (its form, letters, language and automaton) for the next pair.
     """
-    stripped = CITATION.sub(" ", strip_invisible(answer or ""))
+    shown = strip_invisible(answer or "")
+    stripped = CITATION.sub(" ", shown) if "[" in shown else shown
     a = visual_form(stripped, True, False).replace("’", "'")
-    if not _letters(stripped) or all(w in LABELS for w in WORD.findall(a)) and not re.search(r"\d", a):
+    if not _SOME.search(stripped) or not any(w[0] not in LABELS for w in WORD.finditer(a)) and not re.search(r"\d", a):
         return ["empty"]
     prompt = (known or {}).get(question)
     if prompt is None:
@@ -252,7 +251,7 @@ def defects(question: str | None, answer: str | None, known: dict[str | None, Pr
         return ["copied_question"]
     if breaks_off(answer or ""):
         out.append("truncated")
-    body = re.sub(r"\([^()]*\)", " ", a)
+    body = re.sub(r"\([^()]*\)", " ", a) if "(" in a else a
     la = language(stripped, 0.5, folded=body)
     if refuses(a, la):
         out.append("refusal")

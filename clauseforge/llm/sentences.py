@@ -213,7 +213,7 @@ def _spoken(text: str, folded: str) -> frozenset[str]:
 def _ends_here(text: str, at: int, gap: int, spoken: Callable[[], frozenset[str]]) -> bool:
     """Whether the candidate ``text[at:gap]`` ends a sentence: the first rule that matches decides."""
     space = gap
-    while space < len(text) and text[space].isspace():
+    while text[space : space + 1].isspace():
         space += 1
     before, after = text[max(0, at - BEFORE) : gap], text[gap : space + AFTER]
     alphabetic = ("".join(c for c in text[max(0, at - 6) : gap] if c.isalnum()) or "a")[-1] < "԰"

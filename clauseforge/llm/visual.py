@@ -57,14 +57,15 @@ def _invisible(ch: str) -> bool:
 
 
 # Ranges above the basic plane that hold characters drawn as nothing (tags, variation selectors, format marks).
-BEYOND = ((0x110BD, 0x110CD), (0x13430, 0x1345F), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))
-INVISIBLE = frozenset(c for c in _bmp() if _invisible(c)) | {chr(c) for a, b in BEYOND for c in range(a, b + 1) if unicodedata.category(chr(c)) == "Cf" or c >= 0xE0000}
+BEYOND = ((0x13430, 0x1343F), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))
+INVISIBLE = frozenset(c for c in _bmp() if _invisible(c)) | {chr(c) for a, b in BEYOND for c in range(a, b + 1) }
 SPACES = frozenset(c for c in _bmp() if c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp")) | {"⠀"}
 SEEN = frozenset(
     c for c in _bmp() if unicodedata.decomposition(c).split(" ")[0] in SEEN_TAGS or ("℀" <= c <= "⅏" and unicodedata.decomposition(c).startswith("<"))
 )
 _MAP = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES} | {ord(c): "-" for c in HYPHENS} | {ord(k): v for k, v in LOOKALIKES.items()}
-_INVISIBLE_RE = re.compile("[" + "".join(map(re.escape, sorted(INVISIBLE))) + "]")
+# Astral characters as ranges: a class tries those that it lists one by one.
+_INVISIBLE_RE = re.compile("[" + "".join(re.escape(c) for c in sorted(INVISIBLE) if ord(c) < 0x10000) + "".join(f"{chr(a)}-{chr(b)}" for a, b in BEYOND) + "]")
 _SEEN_RE = re.compile("([" + "".join(map(re.escape, sorted(SEEN))) + "]+)")
 _RUN = re.compile("  +")
 
