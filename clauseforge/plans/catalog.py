@@ -463,7 +463,22 @@ def chk2_sentence_windows(s: SparkSession, d: str) -> DataFrame:
     return chunking.sentence_windows(table(s, d, "blocks"), table(s, d, "contracts"))
 
 
-@query()
+_PACKED = r"""b AS (SELECT DISTINCT doc_id, block_id, block_type, text, char_start, char_end FROM blocks WHERE doc_id IN (SELECT doc_id FROM contracts)),
+l AS (SELECT *, CASE WHEN block_type = 'heading' AND coalesce(lag(block_type) OVER w, 'heading') <> 'heading' THEN 1 ELSE 0 END AS o FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY char_start, char_end, block_id)),
+sx AS (SELECT *, (sum(o) OVER (PARTITION BY doc_id ORDER BY char_start, char_end, block_id ROWS UNBOUNDED PRECEDING))::BIGINT AS sec, regexp_extract_all(text, '\S+') AS tk, regexp_split_to_array(text, '\S+') AS gp FROM l),
+tt AS MATERIALIZED (SELECT *, len(tk) AS n, row_number() OVER w AS i, (sum(len(tk)) OVER w)::BIGINT AS tb FROM sx WHERE len(tk) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY char_start, char_end, block_id)),
+t AS MATERIALIZED (SELECT doc_id, i, sec, n, tb, block_type = 'heading' AS hd FROM tt),
+r AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, -1::BIGINT AS sec, NULL::BIGINT AS a, NULL::BIGINT AS b, true AS heads, []::STRUCT(s BIGINT, e BIGINT)[] AS done FROM t UNION ALL
+SELECT doc_id, i, sec, CASE WHEN fits THEN begin WHEN cut THEN NULL ELSE ta END, CASE WHEN cut THEN NULL ELSE tb END, CASE WHEN fits THEN heads AND hd WHEN cut THEN true ELSE hd END,
+CASE WHEN fits THEN done WHEN cut THEN list_concat(done, [{'s': x, 'e': least(x + 512, tb)} FOR x IN range(begin, tb, 512)]) ELSE list_append(done, {'s': begin, 'e': b}) END
+FROM (SELECT *, tb - begin <= 512 AS fits, tb - begin > 512 AND (n > 512 OR heads) AS cut FROM (SELECT *, coalesce(a, ta) AS begin FROM (SELECT t.doc_id, t.i, t.sec, t.n, t.tb - t.n AS ta, t.tb, t.hd, CASE WHEN t.sec = r.sec THEN r.a END AS a, CASE WHEN t.sec = r.sec THEN r.b END AS b, t.sec <> r.sec OR r.heads AS heads,
+CASE WHEN t.sec <> r.sec AND r.a IS NOT NULL THEN list_append(r.done, {'s': r.a, 'e': r.b}) ELSE r.done END AS done FROM r JOIN t ON t.doc_id = r.doc_id AND t.i = r.i + 1)))),
+fin AS (SELECT doc_id, CASE WHEN a IS NULL THEN done ELSE list_append(done, {'s': a, 'e': b}) END AS done FROM r WHERE i = (SELECT max(i) FROM t WHERE t.doc_id = r.doc_id)),
+ex0 AS (SELECT doc_id, generate_subscripts(done, 1) - 1 AS chunk_index, unnest(done) AS d FROM fin), ex AS MATERIALIZED (SELECT doc_id, chunk_index, d.s AS s, d.e - 1 AS z, d.e - d.s AS token_count FROM ex0), tx AS (SELECT doc_id, tb - n AS ta, char_start, generate_subscripts(tk, 1) - 1 AS k, unnest(tk) AS w, unnest(gp[1:len(tk)]) AS g FROM tt),
+tp AS MATERIALIZED (SELECT doc_id, ta + k AS gi, char_start + (sum(length(w) + length(g)) OVER (PARTITION BY doc_id, ta ORDER BY k))::BIGINT AS e, length(w) AS n FROM tx), pl AS MATERIALIZED (SELECT doc_id, list(e - n ORDER BY gi) AS ss, list(e ORDER BY gi) AS es FROM tp GROUP BY doc_id)"""
+
+
+@query(f"WITH RECURSIVE {_PACKED} SELECT doc_id, chunk_index, ss[s + 1] AS char_start, es[z + 1] AS char_end, token_count FROM ex JOIN pl USING (doc_id)")
 def chk3_sections(s: SparkSession, d: str) -> DataFrame:
     return chunking.section_chunks(table(s, d, "blocks"), table(s, d, "contracts"))
 

@@ -7,13 +7,13 @@ from pathlib import Path
 
 import pytest
 
-from clauseforge.plans import catalog
+from clauseforge.plans import catalog, catalog_records  # noqa: F401 - registers its queries
 
 DATA = Path("/root/testdata/sf0.001")
 QUICK = [
     "ret0_term_df", "ret1_bm25_corpus", "ret1_bm25_scoped", "ret2_dense", "ret3_rrf", "ret8_scoped_question", "lbl_locate", "lbl_relevant_chunks",
     "agg2_chunk_stats", "agg4_question_report", "agg6_repeated_margins", "win7_text_blocks", "chk1_fixed", "chk4_roll_up", "txt17_citations",
-    "txt10_unsupported_numbers", "smp2_split", "sel3_far_apart", "str1_sessions",
+    "txt10_unsupported_numbers", "smp2_split", "sel3_far_apart", "str1_sessions", "chk3_sections", "src13_reconcile", "src9_parse_html", "jdg5_score_answers", "snk3_rankings", "txt16_messages",
 ]
 
 
