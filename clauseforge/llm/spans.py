@@ -191,6 +191,10 @@ def _links(records: DataFrame, span: int, k: int) -> DataFrame:
 
     kind = records.schema["dk"].dataType.simpleString()
     s = materialise(records.mapInPandas(cut, f"dk {kind}, h long, c long, g long, pos int, again boolean"), "seeds")
+    # Most seeds stand in one record; they go before anything but their hash and their record's is shuffled.
+    own = F.xxhash64("dk")
+    often = s.groupBy("h").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo < hi").select("h")
+    s = materialise(salted_join(s, often, "h"), "shared")
     place = F.struct("dk", "pos", "c", "g")
     by_seed = s.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), (F.min("c") < F.max("c")).alias("ask"), (F.count("*") > 2).alias("many"), F.bool_or("again").alias("again")).filter("lo.dk < hi.dk")
     met = salted_join(s.drop("again"), by_seed, "h")
