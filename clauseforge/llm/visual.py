@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import salted_join
+from ..session import hot_keys, salted_join
 
 # Letters of other scripts that look like a Latin letter, lower case then upper case.
 LOOKALIKES = {
@@ -126,7 +126,7 @@ def hidden_evidence(questions: DataFrame, contracts: DataFrame) -> DataFrame:
     named = texts.join(questions.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = named.withColumn("form", normalise("full_text"))
     asked = spans.withColumn("span_form", normalise("span")).filter(F.length("span_form") > 0)
-    met = salted_join(asked, texts, "doc_id")
+    met = salted_join(asked, texts, "doc_id", hot=hot_keys(spans, "doc_id"))
     seen = ~F.contains("full_text", "span") & F.contains("form", "span_form")
     return met.filter(seen).select("qid", F.col("span_index").cast("int").alias("span_index")).distinct()
 
