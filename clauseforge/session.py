@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -55,8 +57,19 @@ def shared_dir(spark: SparkSession) -> str:
 _SCRATCH: list[str] = []
 
 
+def _sweep() -> None:
+    """At the end of the process: what it wrote to the shared folder is of no more use."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):
+            drop_scratch(spark)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new place in the shared folder; it stays until ``drop_scratch``."""
+    """A new place in the shared folder; it stays until ``drop_scratch``, or until the process ends with its session still there."""
+    if not _SCRATCH:
+        atexit.unregister(_sweep)
+        atexit.register(_sweep)
     _SCRATCH.append(f"{shared_dir(spark)}/clauseforge/{label}-{uuid.uuid4().hex}")
     return _SCRATCH[-1]
 
