@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.udfs import NormalText, locate
-from ..session import frame, salted_join
+from ..session import frame, hot_keys, salted_join
+
+#: Spans of a document that travel with one copy of its text.
+GROUP = 500
 
 
 def spans_of(questions: DataFrame) -> DataFrame:
@@ -34,22 +37,29 @@ def locate_exact(questions: DataFrame, documents: DataFrame) -> DataFrame:
 def align(questions: DataFrame, documents: DataFrame, least: float = 85.0) -> DataFrame:
     """``qid, doc_id, span_index, char_start, char_end, score, method, occurrences``; nulls where a span can't be placed.
 
-    The normalised search decides first, then the fuzzy one. Rows of a document
-    stand together, so its text is normalised once for all of its spans in a task.
+    The normalised search decides first, then the fuzzy one. Spans travel in
+    groups of about ``GROUP`` of one document, so a text is sent and normalised
+    once a group, however many spans ask for it. Spans without a document are not placed.
     """
-    s = salted_join(spans_of(questions), documents.select("doc_id", "full_text"), "doc_id", "left").sortWithinPartitions("doc_id")
+    s = spans_of(questions)
+    counts = s.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    hot = hot_keys(s, "doc_id")
+    groups = salted_join(s.filter("doc_id is not null"), counts, "doc_id", hot=hot)
+    part = F.pmod(F.xxhash64("qid", "span_index"), F.ceil(F.col("n") / GROUP))
+    groups = groups.groupBy("doc_id", part.alias("part")).agg(F.collect_list(F.struct("qid", "span_index", "span")).alias("spans"))
+    met = salted_join(groups, documents.select("doc_id", "full_text"), "doc_id", "left", hot=hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, known = None, None
         for b in batches:
             rows = []
-            for q, d, i, x, t in b[["qid", "doc_id", "span_index", "span", "full_text"]].itertuples(index=False):
-                if t and t != last:
-                    last, known = t, NormalText(t)
-                rows.append((q, d, i, *(locate(x, t, least, known) or (None,) * 5)))
+            for d, spans, t in b[["doc_id", "spans", "full_text"]].itertuples(index=False):
+                known = NormalText(t) if t else None
+                rows += [(x["qid"], d, x["span_index"], *(locate(x["span"], t, least, known) or (None,) * 5)) for x in spans]
             yield frame(rows, ["qid", "doc_id", "span_index", "char_start", "char_end", "score", "method", "occurrences"])
 
-    return s.mapInPandas(run, "qid string, doc_id string, span_index long, char_start long, char_end long, score double, method string, occurrences long")
+    placed = met.mapInPandas(run, "qid string, doc_id string, span_index long, char_start long, char_end long, score double, method string, occurrences long")
+    lost = s.filter("doc_id is null").select("qid", "doc_id", "span_index")
+    return placed.unionByName(lost, allowMissingColumns=True)
 
 
 def relevant_chunks(alignments: DataFrame, chunks: DataFrame, share: float = 0.5) -> DataFrame:

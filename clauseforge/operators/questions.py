@@ -8,6 +8,7 @@ and fuzzily where that fails.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from . import labels, sampling
 
 QTYPES = ("multi_span", "numeric", "unanswerable", "derived")
 FAR_APART = 1500
+#: Between the categories of a key.
+JOINED = " + "
 _TEMPLATES = "qtype string, key string, categories array<string>, template string"
 
 
@@ -115,54 +118,62 @@ def pickable(pool: DataFrame, quota: int, used: int, seed: str = "0", per_doc: i
     return pool.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy(draw, "doc_id"))).filter(F.col("_r") <= most).drop("_r")
 
 
-def build_questions(pool: DataFrame, splits: DataFrame, quotas: dict[str, dict[str, int]], seed: str = "0", per_doc: int = 2, replace: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
-    """(questions, report): candidates picked for each split and type up to its quota, numbered in order of split, type, document and key.
+def _records(picked: DataFrame) -> DataFrame:
+    """Picked candidates (``doc_id, qtype, key, categories, question, reference, evidence, name, split``) as question records, numbered in order of split, type, document and key."""
+    types = F.create_map(*[F.lit(x) for i, q in enumerate(QTYPES) for x in (q, i)])
+    place = F.row_number().over(W.orderBy(F.col("split") != "dev", types[F.col("qtype")], "doc_id", "key"))
+    rows = picked.withColumn("qid", F.concat(F.lit("q"), F.lpad(place.cast("string"), 4, "0")))
+    return rows.select(
+        "qid", "question", "doc_id", "qtype", F.col("key").alias("category"), F.col("reference").alias("reference_answer"), F.col("evidence").alias("evidence_spans"),
+        (F.col("qtype") != "unanswerable").alias("answerable"), "split", F.lit("annotations").alias("source"), F.lit("").alias("notes"), F.nullif("name", F.lit("")).alias("contract_name"),
+    )
+
+
+def build_questions(pool: DataFrame, splits: DataFrame, quotas: dict[str, dict[str, int]], seed: str = "0", per_doc: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(questions, shortfalls ``split, qtype, missing``): candidates picked for each split and type up to ``quotas[split][qtype]``.
 
-    ``quotas[split][qtype]``. ``replace`` (question id to reason) swaps a
-    question for another of the same split and type and keeps its id, so that
-    the others stay as they are; the old (document, category) doesn't come back.
-    What is picked at a time depends on what was picked before, so picking runs
-    in the driver on the candidates it can reach.
+    What can be picked depends on what was picked before, over types and splits, so picking
+    runs in the driver, on the candidates it can reach; the quotas bound them.
+    """
+    met = materialise(pool.join(splits, "doc_id"), "candidates")
+    docs, pairs = Counter(), set()
+    got: list[pd.DataFrame] = []
+    missing: list[tuple[str, str, int]] = []
+    for split, qtype in product(("dev", "test"), QTYPES):
+        if quota := int(quotas.get(split, {}).get(qtype, 0)):
+            reach = pickable(met.filter((F.col("split") == split) & (F.col("qtype") == qtype)), quota, sum(map(len, got)), seed, per_doc)
+            got.append(sampling.select_round_robin(reach.toPandas(), quota, seed, per_doc, docs, pairs))
+            missing += [(split, qtype, quota - len(got[-1]))] if len(got[-1]) < quota else []
+    plain = lambda v: list(v) if hasattr(v, "tolist") else v  # noqa: E731 - arrays come from pandas as numpy's
+    picked = pool.sparkSession.createDataFrame([tuple(map(plain, r)) for part in got for r in part[met.columns].itertuples(index=False)], met.schema)
+    return _records(picked), pool.sparkSession.createDataFrame(missing, "split string, qtype string, missing int")
+
+
+def replace_questions(asked: DataFrame, pool: DataFrame, splits: DataFrame, reasons: dict[str, str], seed: str = "0", per_doc: int = 2) -> DataFrame:
+    """``asked`` with the questions named in ``reasons`` (id to reason) swapped for others of the same split and type, under their ids.
+
+    All other questions stay. What a replaced question asked doesn't come back,
+    and no document gets more than ``per_doc`` questions. The reason is noted.
     """
+    rows = {r["qid"]: r.asDict() for r in asked.collect()}
+    if unknown := sorted(set(reasons) - set(rows)):
+        raise ValueError(f"no questions {unknown} to replace")
+    docs = Counter(r["doc_id"] for r in rows.values())
+    pairs = {(r["doc_id"], c) for r in rows.values() for c in r["category"].split(JOINED)}
     met = materialise(pool.join(splits, "doc_id"), "candidates")
-    used_docs, used_pairs, short = Counter(), set(), {}
-    chosen: list[tuple[str, dict]] = []
-    of = lambda split, qtype: met.filter((F.col("split") == split) & (F.col("qtype") == qtype))
-    for split in ("dev", "test"):
-        for qtype in QTYPES:
-            quota = int(quotas.get(split, {}).get(qtype, 0))
-            if not quota:
-                continue
-            reach = pickable(of(split, qtype), quota, len(chosen), seed, per_doc).toPandas()
-            got = sampling.select_round_robin(reach, quota, seed, per_doc, used_docs, used_pairs)
-            if len(got) < quota:
-                short[f"{split}/{qtype}"] = quota - len(got)
-            chosen += [(split, r) for r in got.to_dict("records")]
-    chosen.sort(key=lambda x: (x[0] != "dev", QTYPES.index(x[1]["qtype"]), x[1]["doc_id"], x[1]["key"]))
-    numbered = {f"q{i:04d}": [split, r, ""] for i, (split, r) in enumerate(chosen, 1)}
-    swapped = {}
-    for qid, reason in sorted((replace or {}).items()):
-        if qid not in numbered:
-            raise ValueError(f"no question {qid} to replace")
-        split, old, _ = numbered[qid]
-        used_docs[old["doc_id"]] -= 1
-        reach = pickable(of(split, old["qtype"]), 1, len(chosen), f"{seed}:{qid}", per_doc).toPandas()
-        got = sampling.select_round_robin(reach, 1, f"{seed}:{qid}", per_doc, used_docs, used_pairs)
-        if not len(got):
+    for qid in sorted(reasons):
+        old = rows[qid]
+        docs[old["doc_id"]] -= 1
+        reach = pickable(met.filter((F.col("split") == old["split"]) & (F.col("qtype") == old["qtype"])), 1, len(rows) + len(reasons), f"{seed}:{qid}", per_doc)
+        new = sampling.select_round_robin(reach.toPandas(), 1, f"{seed}:{qid}", per_doc, docs, pairs)
+        if new.empty:
             raise ValueError(f"nothing to replace {qid} with")
-        new = got.to_dict("records")[0]
-        numbered[qid] = [split, new, "replacement after review"]
-        swapped[qid] = {"reason": reason, "old": f"{old['doc_id']} / {old['key']}", "new": f"{new['doc_id']} / {new['key']}"}
-    rows = [
-        (qid, r["question"], r["doc_id"], r["qtype"], r["key"], r["reference"], list(r["evidence"]), r["qtype"] != "unanswerable", split, "annotations", note, r["name"] or None)
-        for qid, (split, r, note) in numbered.items()
-    ]
-    schema = "qid string, question string, doc_id string, qtype string, category string, reference_answer string, evidence_spans array<string>, answerable boolean, split string, source string, notes string, contract_name string"
-    report = {"questions": len(rows), "shortfalls": short, "replaced": swapped, "documents": len({r[2] for r in rows}), "by_type": dict(Counter((r[8], r[3]) for r in rows))}
-    return pool.sparkSession.createDataFrame(rows, schema), report
+        (n,) = new.to_dict("records")
+        rows[qid] = old | {"doc_id": n["doc_id"], "category": n["key"], "question": n["question"], "reference_answer": n["reference"], "evidence_spans": list(n["evidence"]), "contract_name": n["name"] or None, "notes": f"replaced: {reasons[qid]}"}
+    return asked.sparkSession.createDataFrame([tuple(r[c] for c in asked.columns) for r in rows.values()], asked.schema)
 
 
 def templates(spark, rows: list[tuple[str, tuple[str, ...], str]]) -> DataFrame:
     """A template table of (qtype, categories, template with ``{name}``); the key joins the categories."""
-    out = pd.DataFrame([(q, " + ".join(c), list(c), t) for q, c, t in rows], columns=["qtype", "key", "categories", "template"])
+    out = pd.DataFrame([(q, JOINED.join(c), list(c), t) for q, c, t in rows], columns=["qtype", "key", "categories", "template"])
     return spark.createDataFrame(out, _TEMPLATES)

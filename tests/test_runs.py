@@ -157,16 +157,17 @@ def test_questions_out_of_annotations(spark, corpus):
     assert have["d1", "derived"]["reference"] == "Ormland" and have["d1", "derived"]["question"] == f"Law of {got['d1']['name']}?"
     splits = spark.createDataFrame([("d1", "dev"), ("d2", "test"), ("d3", "test")], "doc_id string, split string")
     quotas = {"dev": {"derived": 1, "numeric": 1, "unanswerable": 1}, "test": {"numeric": 1, "unanswerable": 1}}
-    qs, rep = questions.build_questions(pool, splits, quotas)
+    qs, short = questions.build_questions(pool, splits, quotas)
     rows = qs.orderBy("qid").collect()
-    assert [(r["qid"], r["split"], r["qtype"]) for r in rows] == [("q0001", "dev", "numeric"), ("q0002", "dev", "unanswerable"), ("q0003", "test", "numeric"), ("q0004", "test", "unanswerable")] or rep["shortfalls"]
-    assert rep["shortfalls"] == {"dev/derived": 1} and not rows[1]["answerable"]  # the cap of two questions a document
+    assert [(r["qid"], r["split"], r["qtype"]) for r in rows] == [("q0001", "dev", "numeric"), ("q0002", "dev", "unanswerable"), ("q0003", "test", "numeric"), ("q0004", "test", "unanswerable")]
+    assert list(map(tuple, short.collect())) == [("dev", "derived", 1)] and not rows[1]["answerable"]  # the cap of two questions a document
     other = "d3" if rows[3]["doc_id"] == "d2" else "d2"
-    again, rep = questions.build_questions(pool, splits, quotas, replace={"q0004": "bad"})
+    again = questions.replace_questions(qs, pool, splits, {"q0004": "bad"})
     r = again.filter("qid = 'q0004'").first()
-    assert r["doc_id"] == other and r["notes"] and rep["replaced"]["q0004"]["reason"] == "bad"
+    assert r["doc_id"] == other and r["notes"] == "replaced: bad" and again.count() == 4
     with pytest.raises(ValueError):
-        questions.build_questions(pool, splits, quotas, replace={"q0099": "x"})
+        questions.replace_questions(qs, pool, splits, {"q0099": "x"})
+    assert questions.build_questions(pool, splits, {})[0].count() == 0
 
 
 def test_pickable_leaves_nothing_out_that_could_be_picked(spark):
