@@ -40,13 +40,15 @@ CITATION = re.compile(r"\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]")
 _SOME = re.compile(r"[^\W_]")
 _ALNUM = re.compile(r"[\W_]+")
 _OPENERS, _CLOSERS = {"(": ")", "[": "]", "{": "}", "«": "»", "„": "“", "「": "」"}, {")", "]", "}", "»", "」"}
+_DELIMITERS = re.compile("[" + "".join(map(re.escape, sorted({*_OPENERS, *_CLOSERS, "“", "”"}))) + "]")
 _LAST_CITATION = re.compile(r"\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]$")
 #: White space and marks of emphasis, with which an answer may end.
 _MARKUP = "".join(sorted(SPACES)) + "*_`"
 _TRAIL = _MARKUP + "."
 _DONE = re.compile(r"[.!?。！？।؟](?:\s?[\"”“’'»」)\]*_`])*$")
 _DOTS = re.compile(r"(?:\.\s?\.\s?\.?|…)(?:[\"”’»)\]*_`]|\s)*$")
-_ABBREVIATION = re.compile(r"(?:^|[\s(])(" + "|".join(re.escape(w) for k in ("en", "de", "fr", "es") for w in sorted(GOVERNING[k].split(), key=len, reverse=True)) + r")\.$")
+#: At the end of the last word.
+_ABBREVIATION = re.compile(r"(?:^|\()(" + "|".join(re.escape(w) for k in ("en", "de", "fr", "es") for w in sorted(GOVERNING[k].split(), key=len, reverse=True)) + r")\.$")
 # Words with which no sentence ends before a citation.
 _DANGLING = frozenset("the a of and or our their its der das den dem des und oder le les du des et ou el los y o del".split())
 
@@ -175,7 +177,7 @@ def _open_delimiter(text: str) -> bool:
     if text.count("```") % 2:
         return True
     stack: list[str] = []
-    for c in text:
+    for c in _DELIMITERS.findall(text):
         if c in _OPENERS:
             stack.append(_OPENERS[c])
         elif stack and c == stack[-1] or (stack and stack[-1] == "“" and c == "”"):
@@ -197,7 +199,7 @@ def breaks_off(answer: str) -> bool:
     if not t:
         return False
     if _DONE.search(t):
-        return bool(_ABBREVIATION.search(t)) and not cited
+        return not cited and t.endswith(".") and bool(_ABBREVIATION.search(t.rsplit(None, 1)[-1]))
     if not cited:
         return True
     last = WORD.findall(t)
