@@ -27,6 +27,8 @@ K1, B, CANDIDATES, FINAL = 1.5, 0.75, 50, 8
 BLOCK_ROWS, BLOCK_VECTORS = 200_000, 10_000
 #: Candidates that a task keeps before it cuts them to the best k of each question.
 KEPT = 1 << 20
+#: Numbers in a task's matrix of questions and chunks.
+CELLS = 1 << 22
 
 
 def distinct_chunks(chunks: DataFrame, strategy: str | None = None) -> DataFrame:
@@ -126,27 +128,58 @@ def bm25(index: Index, terms: DataFrame, k: int = CANDIDATES, k1: float = K1, b:
     return _ranked(_union(parts), "bm25", k, F.asc("chunk_id"))
 
 
+def _free_scores(rows: pd.DataFrame, ids: np.ndarray, free: dict[str, tuple[np.ndarray, np.ndarray]], questions: int, k: int) -> Iterator[pd.DataFrame]:
+    """The best ``k`` chunks of each question, a part of the batch at a time: each term adds its weights times its frequencies to a matrix of questions and chunks."""
+    rows = rows[rows["term"].isin(free.keys())]
+    if not len(rows):
+        return
+    # Columns in the order of ids, so that a stable sort leaves ties with the smaller one.
+    place = np.empty(len(ids), dtype=np.int64)
+    order = np.argsort(ids, kind="stable")
+    place[order] = np.arange(len(ids))
+    column, tf = place[rows["c"].to_numpy()], rows["tf"].to_numpy()
+    width = max(1, CELLS // max(1, questions))
+    for low in range(0, len(ids), width):
+        mine = np.flatnonzero((column >= low) & (column < low + width))
+        if not len(mine):
+            continue
+        m = np.zeros((questions, min(width, len(ids) - low)))
+        for term, at in rows.iloc[mine].groupby("term", sort=False).indices.items():
+            q, w = free[term]
+            own = mine[at]
+            m[np.ix_(q, column[own] - low)] += np.outer(w, tf[own])
+        asked = np.flatnonzero(m.any(1))
+        m = m[asked]
+        best = np.argsort(-m.round(12), axis=1, kind="stable")[:, :k]
+        score = np.take_along_axis(m, best, 1)
+        hit = score > 0
+        yield pd.DataFrame({"q": np.repeat(asked, best.shape[1])[hit.ravel()], "chunk_id": ids[order[low + best[hit]]], "score": score[hit]})
+
+
 def _scorer(shared, k: int, k1: float, b: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         free, bound, names, avgdl = shared.value
         kept: list[pd.DataFrame] = []
-        known_terms, known_docs = set(free["term"]), set(bound["doc_id"]) if len(bound) else set()
+        of_term = {t: (x["q"].to_numpy(), x["w"].to_numpy()) for t, x in free.groupby("term", sort=False)}
+        known_docs = set(bound["doc_id"]) if len(bound) else set()
         size = 0
         for batch in batches:
-            rows = [(i, d, t, n) for i, (d, c) in enumerate(zip(batch["doc_id"], batch["toks"])) for t, n in Counter(c).items() if t in known_terms or d in known_docs]
+            ids = batch["chunk_id"].to_numpy(dtype=object)
+            rows = [(i, d, t, n) for i, (d, c) in enumerate(zip(batch["doc_id"], batch["toks"])) for t, n in Counter(c).items() if t in of_term or d in known_docs]
             if not rows:
                 continue
             tf = pd.DataFrame(rows, columns=["c", "doc_id", "term", "n"])
             dl = batch["dl"].to_numpy(dtype=float)[tf["c"]]
             tf["tf"] = tf["n"] / (tf["n"] + k1 * (1 - b + b * dl / avgdl))
-            met = [tf.merge(side, on=on)[["q", "c", "tf", "w"]] for side, on in ((free, ["term"]), (bound, ["doc_id", "term"])) if len(side)]
-            m = pd.concat(met, ignore_index=True)
-            if not len(m):
+            parts = list(_free_scores(tf, ids, of_term, len(names), k)) if of_term else []
+            if known_docs and len(m := tf.merge(bound, on=["doc_id", "term"])):
+                m["score"] = m["tf"] * m["w"]
+                x = m.groupby(["q", "c"], sort=False)["score"].sum().reset_index()
+                x["chunk_id"] = ids[x["c"]]
+                parts.append(x[["q", "chunk_id", "score"]])
+            if not parts:
                 continue
-            m["score"] = m["tf"] * m["w"]
-            s = m.groupby(["q", "c"], sort=False)["score"].sum().reset_index()
-            s["chunk_id"] = batch["chunk_id"].to_numpy(dtype=object)[s["c"]]
-            kept.append(_cut([s], k))
+            kept.append(_cut(parts, k))
             size += len(kept[-1])
             if size > KEPT:
                 kept = [_cut(kept, k)]
