@@ -90,17 +90,15 @@ def _questions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "questions").dropDuplicates(["qid"])
 
 
-_INDEXES: dict[tuple, tuple[str, retrieval.Index]] = {}
+_INDEXES: dict[tuple, retrieval.Index] = {}
 
 
 def _index(s: SparkSession, d: str, stemmed: bool = False) -> retrieval.Index:
     """The index of a folder's fixed chunks: built once, kept in the shared folder and read by all queries of a session."""
     key = (s.sparkContext.applicationId, d, stemmed)
-    if key not in _INDEXES or not files.path_exists(s, _INDEXES[key][0]):
-        path = scratch_path(s, "index")
-        files.write_index(retrieval.build_index(_fixed(s, d), stemmed=stemmed), path)
-        _INDEXES[key] = (path, files.read_index(s, path))
-    return _INDEXES[key][1]
+    if key not in _INDEXES or not files.path_exists(s, _INDEXES[key].docs.inputFiles()[0]):
+        _INDEXES[key] = retrieval.build_index(_fixed(s, d), stemmed=stemmed)
+    return _INDEXES[key]
 
 
 def _bm25_list(s: SparkSession, d: str, k: int, scoped: bool = True) -> DataFrame:

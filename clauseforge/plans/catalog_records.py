@@ -101,7 +101,9 @@ def snk6_vectors(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {C._INDEX} SELECT doc_id, count(*) AS postings, sum(tf)::BIGINT AS tokens FROM post GROUP BY doc_id")
 def snk7_index(s: SparkSession, d: str) -> DataFrame:
     """The stored index, read back: postings and tokens of each document."""
-    return C._index(s, d).postings.groupBy("doc_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    path = scratch_path(s, "stored")
+    files.write_index(C._index(s, d), path)
+    return files.read_index(s, path).postings.groupBy("doc_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
 
 
 # ---------- filters and projections ----------
